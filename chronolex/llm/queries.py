@@ -4,10 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from chronolex.llm.bpe import round_trip
 from chronolex.llm.common import bound_batches, read_table
 from chronolex.llm.exact_dedup import duplicate_groups
+from chronolex.llm.simhash import near_groups
+
+#: The rank file of op2; another can be given to the operator.
+RANKS = "byte_bpe_multi_50k.tiktoken"
+
+
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
+    return near_groups(read_table(spark, sf_dir, "documents"))
+
+
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
+    return round_trip(read_table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +32,8 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash": op1_simhash,
+    "op2_byte_bpe": op2_byte_bpe,
     "op8_exact_dedup": op8_exact_dedup,
 }
 
