@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from chronolex.llm.bpe import round_trip
 from chronolex.llm.common import bound_batches, read_table
 from chronolex.llm.exact_dedup import duplicate_groups
+from chronolex.llm.mixing import mix_amounts
+from chronolex.llm.sharding import balanced_shards
 from chronolex.llm.simhash import near_groups
 
 #: The rank file of op2; another can be given to the operator.
@@ -26,6 +28,15 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(read_table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
+    return balanced_shards(read_table(spark, sf_dir, "documents"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_amounts(read_table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     bound_batches(spark)
     return duplicate_groups(read_table(spark, sf_dir, "documents"))
@@ -34,6 +45,8 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_sharding": op3_sharding,
+    "op7_mixing": op7_mixing,
     "op8_exact_dedup": op8_exact_dedup,
 }
 
