@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from chronolex.llm import fingerprint_log, suffixes
 from chronolex.llm.bpe import round_trip
 from chronolex.llm.common import bound_batches, read_table
 from chronolex.llm.exact_dedup import duplicate_groups
@@ -33,10 +34,20 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balanced_shards(read_table(spark, sf_dir, "documents"))
 
 
+def op6_fingerprint_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
+    return fingerprint_log.remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_amounts(read_table(spark, sf_dir, "documents"))
 
 
+def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
+    return suffixes.remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     bound_batches(spark)
     return duplicate_groups(read_table(spark, sf_dir, "documents"))
@@ -46,8 +57,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_sharding": op3_sharding,
+    "op6_fingerprint_log": op6_fingerprint_log,
     "op7_mixing": op7_mixing,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_suffixes": op9_suffixes,
 }
 
 ORACLE_SQL: dict[str, str] = {
