@@ -9,7 +9,10 @@ the byte table and joins bytes before it reads characters, so a character that i
 from __future__ import annotations
 
 import base64
+import gc
 import os
+import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
@@ -18,13 +21,12 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MEMO = 150_000
-#: Below this character the classes of the two pattern engines agree (tested for each character); others take the library's own splitter.
-LATIN_END = "Ͱ"
+MEMO = 400_000
+#: Texts below this character are split by a pattern with the classes written out; others take the library's own splitter.
+LATIN_END = "\u0370"
 #: Texts of other scripts are cut into parts of about so many characters, at spaces between words, where the pattern always splits.
 PART = 1 << 16
 
@@ -41,6 +43,31 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
+def narrowed(pattern: str) -> re.Pattern:
+    r"""The pattern for texts below LATIN_END, with \p{L}, \p{N} and \s written out as the characters they are there."""
+    below = list(map(chr, range(ord(LATIN_END))))
+    letters = [c for c in below if unicodedata.category(c)[0] == "L"]
+    numbers = [c for c in below if unicodedata.category(c)[0] == "N"]
+    spaces = [c for c in below if c.isspace() and not "\x1c" <= c <= "\x1f"]
+    classes = {name: "".join(map(re.escape, chars)) for name, chars in ((r"\p{L}", letters), (r"\p{N}", numbers), (r"\s", spaces))}
+
+    def inside(found: re.Match) -> str:
+        body = found[2]
+        for name, chars in classes.items():
+            body = body.replace(name, chars)
+        return f"[{found[1]}{body}]"
+
+    bracketed = re.split(r"(\[\^?[^\]]*\])", pattern)
+    for i, part in enumerate(bracketed):
+        if i % 2:
+            bracketed[i] = re.sub(r"^\[(\^?)(.*)\]$", inside, part)
+        else:
+            for name, chars in classes.items():
+                part = part.replace(name, f"[{chars}]")
+            bracketed[i] = part.replace(r"\S", f"[^{classes[r'\s']}]")
+    return re.compile("".join(bracketed))
+
+
 class ByteBPE:
     """Encoder and decoder of one rank file."""
 
@@ -67,7 +94,7 @@ class ByteBPE:
         back = {c: b for b, c in table.items()}
         self.bytes_of = {rank: bytes(map(back.__getitem__, text)) for text, rank in vocabulary.items()}
         self.digits_of = {rank: b"%d" % rank for rank in self.bytes_of}
-        self.find, self.memo, self.most = regex.compile(pattern).findall, {}, memo
+        self.find, self.memo, self.most = narrowed(pattern).findall, {}, memo
 
     def encode(self, text: str) -> list[int]:
         if not text:
@@ -79,10 +106,18 @@ class ByteBPE:
             if len(self.memo) + len(new) > self.most:
                 self.memo.clear()
                 new = set(pieces)
-            new = list(new)
-            self.memo.update(zip(new, (e.ids for e in self.piece.encode_batch(new, add_special_tokens=False)), strict=True))
+            self._learn(list(new))
         return list(chain.from_iterable(map(self.memo.__getitem__, pieces)))
 
+    def _learn(self, pieces: list[str]) -> None:
+        """All new pieces in one call; the library says which piece each id is of."""
+        found = self.piece.encode(pieces, is_pretokenized=True, add_special_tokens=False)
+        ids = [[] for _ in pieces]
+        for i, piece in zip(found.ids, found.word_ids, strict=True):
+            ids[piece].append(i)
+        self.memo.update(zip(pieces, map(tuple, ids), strict=True))
+        gc.freeze()  # the memo's many small objects are no garbage
+
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
