@@ -12,6 +12,7 @@ from chronolex.llm.bpe import round_trip
 from chronolex.llm.common import bound_batches, read_table
 from chronolex.llm.exact_dedup import duplicate_groups
 from chronolex.llm.mixing import mix_amounts
+from chronolex.llm.quality import rate
 from chronolex.llm.sharding import balanced_shards
 from chronolex.llm.simhash import near_groups
 
@@ -34,6 +35,11 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balanced_shards(read_table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
+    return rate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op6_fingerprint_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     bound_batches(spark)
     return fingerprint_log.remove_repeats(read_table(spark, sf_dir, "documents"))
@@ -57,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_sharding": op3_sharding,
+    "op5_quality": op5_quality,
     "op6_fingerprint_log": op6_fingerprint_log,
     "op7_mixing": op7_mixing,
     "op8_exact_dedup": op8_exact_dedup,
