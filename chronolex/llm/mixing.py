@@ -109,8 +109,12 @@ def slots(sources: DataFrame, block: int = BLOCK, per_shard: int = SLOTS, most:
 
 
 def mixed_pieces(sources: DataFrame, packed: DataFrame) -> DataFrame:
-    """shard, q, pass_no, source_no, block, row, first, words: the mix, one row for each piece of a document in a taken block."""
-    return slots(sources).join(pieces(packed), ["source_no", "block"])
+    """shard, q, pass_no, source_no, block, row, first, words: the mix, one row for each piece of a document in a taken block.
+
+    Both sides grow with the data, though their estimated sizes are those of the small tables they are made of; so neither
+    is broadcast.
+    """
+    return slots(sources).hint("merge").join(pieces(packed).hint("merge"), ["source_no", "block"])
 
 
 def mix_amounts(docs: DataFrame) -> DataFrame:
@@ -124,7 +128,7 @@ def mix_amounts(docs: DataFrame) -> DataFrame:
     rows = work.save("rows", rows)
     sources, packed = pack(rows, work)
     taken = mixed_pieces(sources, packed).groupBy("row").agg(F.sum("words").alias("taken"))
-    return packed.join(taken, "row", "left").join(sources.select("source_no", "source_size", "target"), "source_no").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return packed.hint("merge").join(taken, "row", "left").join(sources.select("source_no", "source_size", "target"), "source_no").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from chronolex.llm import fingerprint_log, suffixes
 from chronolex.llm.bpe import round_trip
 from chronolex.llm.common import bound_batches, read_table
 from chronolex.llm.exact_dedup import duplicate_groups
+from chronolex.llm.html_text import extract
 from chronolex.llm.mixing import mix_amounts
 from chronolex.llm.quality import rate
 from chronolex.llm.sharding import balanced_shards
@@ -59,6 +60,11 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate_groups(read_table(spark, sf_dir, "documents"))
 
 
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
+    return extract(read_table(spark, sf_dir, "pages"), keep=("url",))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_byte_bpe": op2_byte_bpe,
@@ -68,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_mixing": op7_mixing,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_suffixes": op9_suffixes,
+    "op10_html": op10_html,
 }
 
 ORACLE_SQL: dict[str, str] = {
