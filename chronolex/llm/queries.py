@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from chronolex.llm import fingerprint_log, suffixes
 from chronolex.llm.bpe import round_trip
 from chronolex.llm.common import bound_batches, read_table
 from chronolex.llm.exact_dedup import duplicate_groups
 from chronolex.llm.html_text import extract
+from chronolex.llm.media import match_recordings, voiced
 from chronolex.llm.mixing import mix_amounts
 from chronolex.llm.quality import rate
 from chronolex.llm.sharding import balanced_shards
@@ -36,6 +38,13 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balanced_shards(read_table(spark, sf_dir, "documents"))
 
 
+def op4_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The test tables hold no audio, so the turns of conversations are rendered as tones, and that media column is searched."""
+    bound_batches(spark)
+    recordings = voiced(read_table(spark, sf_dir, "conversations"), ["conv_id", "turn"])
+    return match_recordings(recordings, ["conv_id", "turn"], F.col("conv_id") % 50 == 0)
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     bound_batches(spark)
     return rate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
@@ -69,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_sharding": op3_sharding,
+    "op4_chroma": op4_chroma,
     "op5_quality": op5_quality,
     "op6_fingerprint_log": op6_fingerprint_log,
     "op7_mixing": op7_mixing,
