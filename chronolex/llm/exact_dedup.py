@@ -79,9 +79,9 @@ def duplicate_groups(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
 def drop_copies(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; texts are shuffled once."""
     groups = duplicate_groups(docs, counters)
-    kept = groups.filter("kept").select(F.col("doc_id").alias("_keep"), F.unhex("text_sha256").alias("_sha"))
-    own = docs.withColumn("_digest", F.unhex(F.sha2(squeeze_spaces(text_or_empty()), 256)))
-    stay = own.join(kept, F.col("doc_id").eqNullSafe(F.col("_keep")) & (F.col("_digest") == F.col("_sha")), "left_semi")
+    kept = groups.filter("kept").select(F.col("doc_id").alias("_chronolex_keep"), F.unhex("text_sha256").alias("_chronolex_sha"))
+    own = docs.withColumn("_chronolex_digest", F.unhex(F.sha2(squeeze_spaces(text_or_empty()), 256)))
+    stay = own.join(kept, F.col("doc_id").eqNullSafe(F.col("_chronolex_keep")) & (F.col("_chronolex_digest") == F.col("_chronolex_sha")), "left_semi")
     if not groups.groupBy("doc_id", "text_sha256").count().filter("count > 1").isEmpty():
-        stay = stay.dropDuplicates(["doc_id", "_digest"])
+        stay = stay.dropDuplicates(["doc_id", "_chronolex_digest"])
     return stay.select(*docs.columns)

@@ -168,18 +168,18 @@ def score(docs: DataFrame, model: Ordinal, least: float = 0.5) -> DataFrame:
             scores = np.array([weights[features.of(t.as_py())].sum(dtype=np.float64) for t in texts])
             tails = own.tails(scores)[:, -1] if len(scores) else np.empty(0)
             more = [pa.array(own.expected(scores) if len(scores) else tails), pa.array(tails), pa.array(tails >= least)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "_expected", "_tail", "_kept"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "_chronolex_expected", "_chronolex_tail", "_chronolex_kept"])
 
     schema = ", ".join(f"`{c}` {kind}" for c, kind in docs.dtypes)
-    return docs.mapInArrow(run, f"{schema}, _expected double, _tail double, _kept boolean")
+    return docs.mapInArrow(run, f"{schema}, _chronolex_expected double, _chronolex_tail double, _chronolex_kept boolean")
 
 
 def rate(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row for each row of ``docs``: doc_id, expected_grade (0 to 2), tail_probability, kept. Reads doc_id and text."""
     scored = score(docs.select("doc_id", "text"), train(docs, labels))
-    return scored.select("doc_id", F.col("_expected").alias("expected_grade"), F.col("_tail").alias("tail_probability"), F.col("_kept").alias("kept"))
+    return scored.select("doc_id", F.col("_chronolex_expected").alias("expected_grade"), F.col("_chronolex_tail").alias("tail_probability"), F.col("_chronolex_kept").alias("kept"))
 
 
 def drop_rejected(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the classifier keeps, with all their columns."""
-    return score(docs, train(docs, labels)).filter("_kept").select(*docs.columns)
+    return score(docs, train(docs, labels)).filter("_chronolex_kept").select(*docs.columns)
