@@ -138,14 +138,14 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     joined by one space, and n_chars is counted anew. Documents of which the mix takes no block are not in the result.
     """
     work = Workspace(docs.sparkSession, "mix")
-    own = work.save("own", docs.withColumn("_row", F.monotonically_increasing_id()).withColumn("_size", n_words(text_or_empty())))
-    sources, packed = pack(own.select(F.col("_row").alias("row"), "doc_id", "source", F.col("_size").alias("size")), work)
-    spans = mixed_pieces(sources, packed).groupBy("row", "pass_no").agg(F.sum("words").alias("words"), F.sort_array(F.collect_list(F.struct("first", "words"))).alias("_spans"))
-    spans = spans.select(F.col("row").alias("_row"), F.col("words").alias("_words"), "_spans")
+    own = work.save("own", docs.withColumn("_chronolex_row", F.monotonically_increasing_id()).withColumn("_chronolex_size", n_words(text_or_empty())))
+    sources, packed = pack(own.select(F.col("_chronolex_row").alias("row"), "doc_id", "source", F.col("_chronolex_size").alias("size")), work)
+    spans = mixed_pieces(sources, packed).groupBy("row", "pass_no").agg(F.sum("words").alias("words"), F.sort_array(F.collect_list(F.struct("first", "words"))).alias("_chronolex_spans"))
+    spans = spans.select(F.col("row").alias("_chronolex_row"), F.col("words").alias("_chronolex_words"), "_chronolex_spans")
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
-    joined = own.join(spans, "_row").withColumn("_list", F.when(F.col("_words") < F.col("_size"), words))
-    some = F.array_join(F.flatten(F.transform("_spans", lambda s: F.slice(F.col("_list"), (s["first"] + 1).cast("int"), s["words"].cast("int")))), " ")
-    out = joined.withColumn("text", F.when(F.col("_words") < F.col("_size"), some).otherwise(F.col("text")))
+    joined = own.join(spans, "_chronolex_row").withColumn("_chronolex_list", F.when(F.col("_chronolex_words") < F.col("_chronolex_size"), words))
+    some = F.array_join(F.flatten(F.transform("_chronolex_spans", lambda s: F.slice(F.col("_chronolex_list"), (s["first"] + 1).cast("int"), s["words"].cast("int")))), " ")
+    out = joined.withColumn("text", F.when(F.col("_chronolex_words") < F.col("_chronolex_size"), some).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_words") < F.col("_size"), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(F.col("_chronolex_words") < F.col("_chronolex_size"), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
