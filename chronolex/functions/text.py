@@ -52,7 +52,7 @@ def author_key(name: Column) -> Column:
 
 def first_date(created: Column) -> Column:
     """Day of an RFC-2822 date as written; null where there is none."""
-    return F.to_date(F.regexp_extract(created, r"([0-9]{1,2} [A-Za-z]{3} [0-9]{4})", 1), "d MMM yyyy")
+    return F.try_to_date(F.regexp_extract(created, r"([0-9]{1,2} [A-Za-z]{3} [0-9]{4})", 1), "d MMM yyyy")
 
 
 def tokens(text: Column) -> Column:
