@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Upper bound of one Arrow batch; very long texts still come whole, one to a batch.
 ARROW_BYTES = 8 << 20
 
@@ -44,7 +45,13 @@ class Workspace:
         self.root = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
     def save(self, name: str, frame: DataFrame) -> DataFrame:
-        frame.write.mode("overwrite").parquet(f"{self.root}/{name}")
+        """Write a table; the shuffle files that made it go at once, as nothing else reads them."""
+        held = self.spark.conf.get(CLEAN, "false")
+        self.spark.conf.set(CLEAN, "true")
+        try:
+            frame.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/{name}")
+        finally:
+            self.spark.conf.set(CLEAN, held)
         return self.load(name, frame)
 
     def load(self, name: str, like: DataFrame) -> DataFrame:

@@ -92,27 +92,25 @@ class FingerprintLog:
         self.runs = [(name, merged)]
 
 
-def first_windows(table: pa.Table, window: int = WORDS.window) -> tuple[list[bytes], list[bytes]]:
-    """For each segment of a bucket where each of its windows starts first: documents and starts. Windows are compared as text."""
-    least: dict[bytes, tuple[int, int]] = {}
-    rows = list(zip(table["seg"].to_pylist(), table["ord"].to_pylist(), table["start"].to_pylist(), strict=True))
-
-    def windows(seg: bytes):
-        begins, ends = WORDS.bounds(seg)
-        begins, ends = begins.tolist(), ends.tolist()
-        return [seg[a:b] for a, b in zip(begins[: len(begins) - window + 1], ends[window - 1 :], strict=True)]
-
-    for seg, ordinal, start in rows:
-        for j, w in enumerate(windows(seg)):
-            here = (ordinal, start + j)
-            if (seen := least.get(w)) is None or here < seen:
-                least[w] = here
-    ords, starts = [], []
-    for seg, _, _ in rows:
-        found = np.array([least[w] for w in windows(seg)], np.int64)
-        ords.append(found[:, 0].tobytes())
-        starts.append(found[:, 1].tobytes())
-    return ords, starts
+def first_windows(table: pa.Table, window: int = WORDS.window) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of each segment of a bucket, and where each window starts first: document and start. Windows are compared as text."""
+    pieces = table["seg"].to_pylist()
+    lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    offsets = np.cumsum(lengths) - lengths
+    text = b"".join(pieces)
+    space = np.flatnonzero(np.frombuffer(text, np.uint8) == 32)
+    begins, ends = np.sort(np.concatenate([offsets, space + 1])), np.sort(np.concatenate([space, offsets + lengths]))
+    n_words = np.bincount(np.searchsorted(offsets, begins, "right") - 1, minlength=len(pieces))
+    n = n_words - window + 1
+    owner = np.repeat(np.arange(len(pieces)), n)
+    place = np.arange(len(owner)) - (np.cumsum(n) - n)[owner]
+    at = (np.cumsum(n_words) - n_words)[owner] + place
+    known: dict[bytes, int] = {}
+    same = np.array([known.setdefault(text[a:b], len(known)) for a, b in zip(begins[at].tolist(), ends[at + window - 1].tolist(), strict=True)], np.int64)
+    ords, starts = table["ord"].to_numpy()[owner], table["start"].to_numpy()[owner] + place
+    order = np.lexsort((starts, ords, same))
+    head = order[np.flatnonzero(np.diff(same[order], prepend=-1))]
+    return n, ords[head][same], starts[head][same]
 
 
 def remove_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
@@ -124,7 +122,8 @@ def remove_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     empty table gives an empty result.
     """
     task = Repeats(docs, WORDS, F.trim(squeeze_spaces(text_or_empty())), "log")
-    cuts = task.texts.approxQuantile("ord", [i / batches for i in range(1, batches)], 0.01)
+    shares = [i / batches for i in range(1, batches)]
+    cuts = shares and task.texts.agg(F.percentile_approx("ord", shares)).first()[0] or []
     batch = sum((F.when(F.col("ord") > int(c), 1).otherwise(0) for c in cuts), F.lit(0)).cast("long")
     task.texts = task.texts.withColumn("batch", batch)
     blobs = task.work.save("blobs", task.blobs("batch"))
@@ -132,9 +131,6 @@ def remove_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     hits = blobs.filter(f"kind = {HIT}").select("kind", "key", "blob")
     for b in range(batches):
         hits = hits.union(log.add(blobs.filter(F.col("batch") == b)))
-    task.release()
     segments = task.work.save("segments", task.segments(hits))
-    task.release()
     firsts = task.work.save("firsts", task.firsts(segments, first_windows))
-    task.release()
     return task.outcome(segments, firsts).withColumnRenamed("size", "n_words")

@@ -13,6 +13,7 @@ of all documents is one row a task. Nothing is gathered on the driver but row co
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -23,6 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from chronolex.llm.common import Workspace
 
@@ -39,7 +41,7 @@ def _power(n: int) -> np.uint64:
     return U(pow(BASE, n, 1 << 64))
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=8)
 def _powers(n: int, inverse: bool) -> np.ndarray:
     base = pow(BASE, -1, 1 << 64) if inverse else BASE
     steps = np.full(n, U(base))
@@ -115,7 +117,11 @@ class Unit:
         if not self.words:
             return None, None
         space = np.flatnonzero(np.frombuffer(text, np.uint8) == 32)
-        return np.r_[0, space + 1] if text else space, np.r_[space, len(text)] if text else space
+        if not text:
+            return space, space
+        begins, ends = np.empty(len(space) + 1, np.int64), np.empty(len(space) + 1, np.int64)
+        begins[0], begins[1:], ends[:-1], ends[-1] = 0, space + 1, space, len(text)
+        return begins, ends
 
     def count(self, text: bytes) -> int:
         return len(text) if not self.words else text.count(b" ") + bool(text)
@@ -143,12 +149,13 @@ class Unit:
         for a in range(0, n, LONG):
             b = min(n, a + LONG)
             h = self._hashes(text, begins, ends, a, b + self.window - 1)
-            c = fold(sliding_min(gram_hashes(h, self.gram), self.window - self.gram + 1)) >> U(16)
-            cut = np.flatnonzero(c[1:] != c[:-1]) + 1
-            start = np.r_[0, cut]
-            cls.append(c[start])
-            first.append(start + a)
-            last.append(np.r_[cut, len(c)] - 1 + a)
+            c = sliding_min(gram_hashes(h, self.gram), self.window - self.gram + 1)
+            cut = np.flatnonzero(c[1:] != c[:-1])
+            start, end = np.empty(len(cut) + 1, np.int64), np.empty(len(cut) + 1, np.int64)
+            start[0], start[1:], end[:-1], end[-1] = a, cut + (a + 1), cut + a, len(c) - 1 + a
+            cls.append(fold(c[start - a]) >> U(16))
+            first.append(start)
+            last.append(end)
             if self.within:
                 whole.append(np.stack([gram_hashes(h, self.window), c]))
         own = np.empty(0, np.uint64)
@@ -156,7 +163,9 @@ class Unit:
             h, c = np.concatenate(whole, axis=1)
             order = np.argsort(h)
             twin = h[order][1:] == h[order][:-1]
-            own = np.unique(c[order[1:][twin]])
+            own = np.unique(fold(c[order[1:][twin]]) >> U(16))
+        if len(cls) == 1:
+            return Runs(cls[0], first[0], last[0], begins, ends, own)
         return Runs(*map(np.concatenate, (cls, first, last)), begins, ends, own)
 
 
@@ -211,7 +220,24 @@ def as_rows(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
 
 
 ROWS = "kind int, key long, blob binary"
-BUCKET, HIT = 0, 1
+BUCKET, HIT, NONE = 0, 1, -1
+
+
+def segment_id(seg: bytes) -> int:
+    """With the class of 48 bits, the name of a segment whose text has been compared already."""
+    return xxh3_64_intdigest(seg) - (1 << 63)
+
+
+def pack_firsts(ords: np.ndarray, starts: np.ndarray, cuts: np.ndarray) -> bytes:
+    """Runs of windows whose first document is the same and, if starts count, whose first starts follow each other."""
+    at = np.flatnonzero(cuts)
+    return np.stack([at, ords[at], starts[at]]).astype(np.int64).tobytes()
+
+
+def unpack_firsts(blob: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    at, ords, starts = np.frombuffer(blob, np.int64).reshape(3, -1)
+    sizes = np.diff(np.append(at, n))
+    return np.repeat(ords, sizes), np.repeat(starts - at, sizes) + np.arange(n)
 
 
 class Repeats:
@@ -231,10 +257,6 @@ class Repeats:
         one = one.select(F.when(key == 0, F.lit(1).cast("long")).otherwise(key).alias("doc"), "ord", "text")
         self.texts = self.work.save("texts", one.withColumn("g", F.pmod("doc", F.lit(self.groups))))
 
-    def release(self) -> None:
-        """Let the cleaner remove the shuffle files of steps whose results are written."""
-        self.work.spark._jvm.System.gc()
-
     def blobs(self, *more: str) -> DataFrame:
         """Classes by bucket, and those known to be repeated by group (kind HIT). more: columns of texts, put before the others."""
         unit, n_buckets, n_groups = self.unit, self.buckets, self.groups
@@ -269,7 +291,11 @@ class Repeats:
         return self.texts.select(*more, "doc", "text").mapInArrow(run, "".join(f"{c} {kinds[c]}, " for c in more) + ROWS)
 
     def segments(self, hits: DataFrame) -> DataFrame:
-        """From (key, blob) of kind HIT: g, cls, seg, ord, start, n: the distinct segments of each group's documents."""
+        """From (key, blob) of kind HIT: the distinct segments of each group's documents.
+
+        g, cls, sid (hash of the segment), seg, ord and start of its first occurrence, n. One more row a group has class
+        NONE and in seg the documents that have any.
+        """
         unit = self.unit
 
         def run(docs: pa.Table, found: pa.Table) -> pa.Table:
@@ -277,6 +303,7 @@ class Repeats:
             order = np.argsort(owners, kind="stable")
             values, owners = values[order], owners[order]
             segs: dict[bytes, list] = {}
+            having: list[int] = []
             texts = pc.cast(docs["text"], pa.binary())
             for i, (doc, ordinal) in enumerate(zip(docs["doc"].to_pylist(), docs["ord"].to_pylist(), strict=True)):
                 low, high = np.searchsorted(owners, doc), np.searchsorted(owners, doc, "right")
@@ -284,6 +311,7 @@ class Repeats:
                     continue
                 text = texts[i].as_py()
                 r = unit.runs(text)
+                having.append(doc)
                 for j in np.flatnonzero(np.isin(r.cls, values[low:high])).tolist():
                     piece = r.piece(text, j, unit.window)
                     here = (ordinal, int(r.first[j]))
@@ -291,66 +319,103 @@ class Repeats:
                         segs[piece] = [int(r.cls[j]), here, 1]
                     else:
                         seen[1], seen[2] = min(seen[1], here), seen[2] + 1
-            kept = segs.values()
-            g = docs["g"][0].as_py() if docs.num_rows else 0
-            columns = [[g] * len(kept), [s[0] for s in kept], list(segs), [s[1][0] for s in kept], [s[1][1] for s in kept], [s[2] for s in kept]]
-            return pa.table([pa.array(c, pa.binary() if k == 2 else pa.int64()) for k, c in enumerate(columns)], ["g", "cls", "seg", "ord", "start", "n"])
+            if having:
+                segs[np.array(having, np.int64).tobytes()] = [NONE, (0, 0), 0]
+            g, rows = docs["g"][0].as_py() if docs.num_rows else 0, segs.values()
+            columns = [[g] * len(segs), [r[0] for r in rows], [segment_id(x) for x in segs], list(segs), [r[1][0] for r in rows], [r[1][1] for r in rows], [r[2] for r in rows]]
+            return pa.table([pa.array(c, pa.binary() if k == 3 else pa.int64()) for k, c in enumerate(columns)], ["g", "cls", "sid", "seg", "ord", "start", "n"])
 
         hits = hits.select(F.col("key").alias("g"), "blob")
-        return self.texts.groupBy("g").cogroup(hits.groupBy("g")).applyInArrow(run, "g long, cls long, seg binary, ord long, start long, n long")
+        return self.texts.groupBy("g").cogroup(hits.groupBy("g")).applyInArrow(run, "g long, cls long, sid long, seg binary, ord long, start long, n long")
 
-    def firsts(self, segments: DataFrame, verify: Callable[[pa.Table], tuple[list[bytes], list[bytes]]]) -> DataFrame:
-        """cls, seg, ords, starts: where each window of a segment first starts, for segments that hold a repeated window.
+    def firsts(self, segments: DataFrame, verify: Callable[[pa.Table], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> DataFrame:
+        """cls, sid, least, firsts: where each window of a segment first starts, for segments that hold a repeated window.
 
-        verify gets the distinct segments of a bucket (seg, ord, start) and gives for each the first document and start of
-        its windows, as arrays of int64 in bytes.
+        verify gets the distinct segments of a bucket (seg, ord, start) and gives the number of windows of each, and the
+        first document and start of all their windows in turn. least is the smallest of the documents; firsts packs both.
         """
-        least = F.min(F.struct("ord", "start"))
-        distinct = segments.groupBy("cls", "seg").agg(least.alias("least"), F.sum("n").alias("n"))
-        distinct = distinct.select("cls", "seg", "least.ord", "least.start", "n", F.pmod("cls", F.lit(self.buckets)).alias("bucket"))
+        first = F.min(F.struct("ord", "start"))
+        distinct = segments.filter(F.col("cls") != NONE).groupBy("cls", "sid", "seg").agg(first.alias("first"), F.sum("n").alias("n"))
+        distinct = distinct.select("cls", "sid", "seg", "first.ord", "first.start", "n", F.pmod("cls", F.lit(self.buckets)).alias("bucket"))
         unit = self.unit
 
         def run(table: pa.Table) -> pa.Table:
-            ords, starts = verify(table)
-            keep = []
-            for i, (o, s, n) in enumerate(zip(table["ord"].to_pylist(), table["start"].to_pylist(), table["n"].to_pylist(), strict=True)):
-                first = np.frombuffer(ords[i], np.int64)
-                other = (first != o).any() or unit.within and (np.frombuffer(starts[i], np.int64) != s + np.arange(len(first))).any()
-                keep.append(n > 1 or bool(other))
-            out = pa.table([table["cls"], table["seg"], pa.array(ords, pa.binary()), pa.array(starts, pa.binary())], ["cls", "seg", "ords", "starts"])
-            return out.filter(pa.array(keep))
+            sizes, ords, starts = verify(table)
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            begins = np.cumsum(sizes) - sizes
+            place = np.arange(len(owner)) - begins[owner]
+            own_ord, own_start, n = (table[c].to_numpy() for c in ("ord", "start", "n"))
+            other = ords != own_ord[owner]
+            cuts = np.ones(len(owner), bool)
+            cuts[1:] = ords[1:] != ords[:-1]
+            if unit.within:
+                other |= starts != own_start[owner] + place
+                cuts[1:] |= starts[1:] != starts[:-1] + 1
+            else:
+                starts = place
+            cuts[begins] = True
+            use = np.flatnonzero((n > 1) | (np.bincount(owner[other], minlength=len(sizes)) > 0))
+            simple = np.bincount(owner[cuts], minlength=len(sizes))[use] == 1
+            cls, sid = table["cls"].to_numpy()[use].tolist(), table["sid"].to_numpy()[use].tolist()
+            out: list[tuple] = []
+            for k, (b, size, one) in enumerate(zip(begins[use].tolist(), sizes[use].tolist(), simple.tolist(), strict=True)):
+                if one:
+                    least = int(ords[b])
+                    blob = struct.pack("=3q", 0, least, int(starts[b]))
+                else:
+                    part = slice(b, b + size)
+                    least, blob = int(ords[part].min()), pack_firsts(ords[part], starts[part], cuts[part])
+                out.append((cls[k], sid[k], least, blob))
+            columns = zip(*out, strict=True) if out else ((), (), (), ())
+            return pa.table([pa.array(c, pa.int64() if k < 3 else pa.binary()) for k, c in enumerate(columns)], ["cls", "sid", "least", "firsts"])
 
-        return distinct.groupBy("bucket").applyInArrow(run, "cls long, seg binary, ords binary, starts binary")
+        return distinct.groupBy("bucket").applyInArrow(run, "cls long, sid long, least long, firsts binary")
 
     def outcome(self, segments: DataFrame, firsts: DataFrame) -> DataFrame:
         """doc_id, size, n_removed, n_spans, kept_sha256 for each row of the documents."""
         unit = self.unit
 
         def run(docs: pa.Table, found: pa.Table) -> pa.Table:
-            known = np.unique(found["cls"].to_numpy()).astype(np.uint64)
-            at = dict(zip(found["seg"].to_pylist(), zip(found["ords"], found["starts"], strict=True), strict=True))
+            at, having = {}, set()
+            for cls, sid, firsts in zip(*(found[c].to_pylist() for c in ("cls", "sid", "firsts")), strict=True):
+                if cls == NONE:
+                    having.update(np.frombuffer(firsts, np.int64).tolist())
+                else:
+                    at[cls, sid] = firsts
+            known = np.unique(np.array([cls for cls, _ in at], np.uint64))
             out: list[tuple] = []
             if at:
                 texts = pc.cast(docs["text"], pa.binary())
-                for i, ordinal in enumerate(docs["ord"].to_pylist()):
-                    text = texts[i].as_py()
-                    if (r := unit.runs(text)) is None:
+                for i, (doc, ordinal) in enumerate(zip(docs["doc"].to_pylist(), docs["ord"].to_pylist(), strict=True)):
+                    if doc not in having:
                         continue
-                    edge = None
-                    for j in np.flatnonzero(np.isin(r.cls, known)).tolist():
-                        if (hit := at.get(r.piece(text, j, unit.window))) is None:
+                    text = texts[i].as_py()
+                    r = unit.runs(text)
+                    opens: list[int] = []
+                    shuts: list[int] = []
+                    place = np.minimum(np.searchsorted(known, r.cls), len(known) - 1)
+                    for j in np.flatnonzero(known[place] == r.cls).tolist():
+                        if (hit := at.get((int(r.cls[j]), segment_id(r.piece(text, j, unit.window))))) is None:
                             continue
-                        first = np.frombuffer(hit[0].as_buffer(), np.int64)
-                        gone = first < ordinal
-                        here = int(r.first[j]) + np.arange(len(first))
+                        a, b = int(r.first[j]), int(r.last[j])
+                        if len(hit) == 24:  # all windows first start side by side
+                            _, first, start = struct.unpack("=3q", hit)
+                            if first < ordinal or unit.within and first == ordinal and start < a:
+                                opens.append(a)
+                                shuts.append(b + unit.window)
+                            continue
+                        firsts, starts = unpack_firsts(hit, b - a + 1)
+                        here = np.arange(a, b + 1)
+                        gone = firsts < ordinal
                         if unit.within:
-                            gone |= (first == ordinal) & (np.frombuffer(hit[1].as_buffer(), np.int64) < here)
-                        if gone.any():
-                            if edge is None:
-                                edge = np.zeros(unit.count(text) + 1, np.int32)
-                            here = here[gone]
-                            edge[here] += 1
-                            np.subtract.at(edge, here + unit.window, 1)
+                            gone |= (firsts == ordinal) & (starts < here)
+                        here = here[gone].tolist()
+                        opens += here
+                        shuts += [h + unit.window for h in here]
+                    edge = None
+                    if opens:
+                        n = unit.count(text) + 1
+                        edge = np.bincount(opens, minlength=n) - np.bincount(shuts, minlength=n)
                     if edge is not None:
                         gone = np.cumsum(edge)[:-1] > 0
                         spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
@@ -362,10 +427,13 @@ class Repeats:
             columns = zip(*out, strict=True) if out else ((), (), (), ())
             return pa.table([pa.array(c, k) for c, k in zip(columns, (pa.binary(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["digest", "n_removed", "n_spans", "kept_sha256"])
 
-        back = segments.select("g", "cls", "seg").join(firsts, ["cls", "seg"])
+        having = segments.filter(F.col("cls") == NONE).select("g", "cls", "sid", F.col("seg").alias("firsts"))
+        back = segments.filter(F.col("cls") != NONE).select("g", "cls", "sid", "ord", "n").join(firsts, ["cls", "sid"])
+        if not unit.within:  # a first occurrence loses nothing
+            back = back.filter((F.col("least") < F.col("ord")) | (F.col("n") > 1))
+        back = back.select("g", "cls", "sid", "firsts").union(having)
         done = self.texts.groupBy("g").cogroup(back.groupBy("g")).applyInArrow(run, "digest binary, n_removed long, n_spans long, kept_sha256 string")
         done = self.work.save("changed", done)
-        self.release()
         ids = self.rows.groupBy("digest").agg(F.coalesce(F.min("doc_id"), F.lit(LAST)).alias("ord"))
         per_text = self.work.save("per_text", ids.join(done, "digest", "left"))
         rows = self.rows.join(per_text, "digest")
