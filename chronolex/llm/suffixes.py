@@ -82,10 +82,9 @@ def by_prefix(words: np.ndarray, suffixes: np.ndarray, offsets: tuple[int, ...])
 
 def cover_ranks(words: np.ndarray, suffixes: np.ndarray) -> np.ndarray:
     """At each sample position that a tie of ``suffixes`` can ask for, its rank by the next DEPTH bytes; equal text, equal rank."""
-    near = np.zeros(len(words) + 1, np.int32)
-    np.add.at(near, suffixes, 1)
-    np.add.at(near, np.minimum(suffixes + PERIOD, len(words)), -1)
-    positions = np.flatnonzero(np.cumsum(near[:-1]) > 0)
+    n = len(words) + PERIOD + 1
+    near = np.bincount(suffixes, minlength=n) - np.bincount(suffixes + PERIOD, minlength=n)
+    positions = np.flatnonzero(np.cumsum(near)[: len(words)] > 0)
     positions = positions[IN_COVER[positions % PERIOD]]
     order = by_prefix(words, positions, tuple(range(0, DEPTH, 8)))
     ranks = np.zeros(len(words), np.int32)
@@ -128,8 +127,8 @@ def sort_suffixes(text: np.ndarray, suffixes: np.ndarray, window: int = BYTES.wi
     return order.at, same
 
 
-def first_documents(table: pa.Table, window: int = BYTES.window) -> tuple[list[bytes], list[bytes]]:
-    """For each segment of a bucket the smallest document of each of its windows."""
+def first_documents(table: pa.Table, window: int = BYTES.window) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of each segment of a bucket, and the smallest document of each window; starts do not count."""
     pieces = table["seg"].to_pylist()
     sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
     begins = np.cumsum(sizes) - sizes
@@ -145,9 +144,7 @@ def first_documents(table: pa.Table, window: int = BYTES.window) -> tuple[list[b
     least = np.minimum.reduceat(ords[back], heads) if len(heads) else ords
     first = np.empty_like(ords)
     first[back] = np.repeat(least, np.diff(np.r_[heads, len(back)]))
-    cuts = np.cumsum(n)
-    ords_of = [first[b - k : b].tobytes() for b, k in zip(cuts.tolist(), n.tolist(), strict=True)]
-    return ords_of, [b""] * len(pieces)
+    return n, first, first
 
 
 def repeated_classes(blobs: DataFrame, n_groups: int) -> DataFrame:
@@ -171,11 +168,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     task = Repeats(docs, BYTES, text_or_empty(), "suffixes")
     blobs = task.work.save("blobs", task.blobs())
     hits = task.work.save("hits", repeated_classes(blobs, task.groups).union(blobs.filter(f"kind = {HIT}")))
-    task.release()
     segments = task.work.save("segments", task.segments(hits))
     for name in ("blobs", "hits"):
         task.work.drop(name)
-    task.release()
     firsts = task.work.save("firsts", task.firsts(segments, first_documents))
-    task.release()
     return task.outcome(segments, firsts).withColumnRenamed("size", "n_bytes")
