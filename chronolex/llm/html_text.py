@@ -48,7 +48,6 @@ SCOPE = frozenset("table td th caption html".split())
 DEEPEST = 256
 WIDEST = 1000
 
-_SPACES = re.compile(r"[ \t\n\r\f]+")
 _UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
 
 

@@ -93,4 +93,14 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
                doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
         FROM n""",
+    "op6_fingerprint_log": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        t AS (SELECT doc_id, unnest(range(len(w))) AS i, unnest(w) AS word FROM d),
+        g AS (SELECT *, string_agg(word, ' ') OVER f AS win, count(*) OVER f AS n FROM t WINDOW f AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)),
+        r AS (SELECT doc_id, i, word, n = 20 AND row_number() OVER (PARTITION BY win, n ORDER BY doc_id, i) > 1 AS again FROM g),
+        c AS (SELECT doc_id, i, word, max(again::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM r),
+        s AS (SELECT *, gone = 1 AND coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), 0) = 0 AS opens FROM c)
+        SELECT doc_id, len(any_value(w)) AS n_words, coalesce(sum(gone), 0)::BIGINT AS n_removed, count(*) FILTER (opens) AS n_spans,
+               sha256(coalesce(string_agg(word, ' ' ORDER BY i) FILTER (gone = 0), '')) AS kept_sha256
+        FROM d LEFT JOIN s USING (doc_id) GROUP BY doc_id""",
 }
