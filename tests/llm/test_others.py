@@ -207,7 +207,7 @@ def test_quality_of_awkward_rows(spark):
         ("<table><tr><td rowspan=2>a<td>b<tr><td>c</table>", "a  b\n   c"),
         ("<head><title>t</title><style>p{}</style></head><body>x<script>var a='</p>'</script>y", "xy"),
         ("a<div hidden>no</div><span style='color:red; DISPLAY : none'>no</span><i>b</i>", "ab"),
-        ("<pre>\n a\n  b &lt;</pre>", "a\n  b <"),
+        ("<pre>\n a\n  b &lt;</pre>", " a\n  b <"),
         ("a<br>b<hr>c", "a\nb\n\nc"),
         ("<blockquote>q<p>r</blockquote>s", "  q\n\n  r\n\ns"),
         ("<details><summary>s</summary>body</details>", "s"),
