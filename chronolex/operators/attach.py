@@ -15,7 +15,7 @@ def overlaps(profile: DataFrame, nodes: DataFrame, population: DataFrame) -> Dat
     size = nodes.groupBy("region_id").agg(F.count(F.lit(1)).alias("region_size"))
     drawn = profile.groupBy("concept").agg(F.count(F.lit(1)).alias("profile_size"))
     both = profile.select("concept", F.col("member").alias("node")).join(nodes, "node").groupBy("concept", "region_id").agg(F.count(F.lit(1)).alias("overlap"))
-    rows = both.join(size, "region_id").join(drawn, "concept").crossJoin(F.broadcast(population))
+    rows = both.join(size, "region_id").join(drawn, "concept").withColumn("v", population.scalar())
     return rows.withColumn("surprise", hypergeom_tail(F.col("overlap"), F.col("v"), F.col("region_size"), F.col("profile_size"))).drop("v")
 
 

@@ -69,8 +69,7 @@ def bootstrap(a: DataFrame, b: DataFrame, n: int, seed: int = 7) -> DataFrame:
     ratio = F.sum(F.col("n_births") * F.col("recall_at_k")) / F.nullif(F.sum(F.col("n_births") * F.col("base")), F.lit(0.0))
     lifts = draws.join(rows, "i").groupBy("rep").agg(ratio.alias("lift")).withColumn("r", F.row_number().over(Window.orderBy("lift", "rep")) - 1)
     at = lambda q: F.max(F.when(F.col("r") == int(q * n), F.col("lift")))
-    point = rows.agg(ratio.alias("lift"))
-    return point.crossJoin(lifts.agg(at(0.025).alias("low"), at(0.975).alias("high")))
+    return rows.agg(ratio.alias("lift")).select("lift", lifts.agg(at(0.025)).scalar().alias("low"), lifts.agg(at(0.975)).scalar().alias("high"))
 
 
 def greedy_oracle(truth: DataFrame, k: int) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -138,7 +138,7 @@ def profiles(concepts: DataFrame, births: DataFrame, cfg: Config) -> DataFrame:
     total = own.agg(F.countDistinct("paper_id").alias("total"))
     with_ = first.join(own.select(F.col("concept").alias("member"), "paper_id"), "paper_id").filter("concept != member")
     counts = with_.groupBy("concept", "member").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= cfg.profile_min_count)
-    rows = counts.join(n_first, "concept").join(df, "member").crossJoin(F.broadcast(total))
+    rows = counts.join(n_first, "concept").join(df, "member").withColumn("total", total.scalar())
     lift = (F.col("n") / F.col("n_papers")) / F.greatest(F.lit(1e-9), F.col("df") / F.col("total"))
     rows = rows.withColumn("lift", lift)
     by_lift = Window.partitionBy("concept").orderBy(F.desc(F.round("lift", 9)), "member")
@@ -181,6 +181,3 @@ def unit_features(sets: DataFrame, concepts: DataFrame, authors: DataFrame, orig
     out = out.join(joint, "region_id", "left").na.fill(0, ["joint_papers_t", "joint_papers_window"]).join(influx, "region_id", "left")
     return out.select("*", (F.col("joint_papers_t") / F.col("n_t")).alias("joint_share"), (F.col("joint_papers_window") > 0).alias("members_have_met"), (F.col("joint_papers_window") / 3.0).alias("pace")).withColumnRenamed("region_id", "unit_id")
 
-
-def missing_flag(column: Column) -> Column:
-    return column.isNull()

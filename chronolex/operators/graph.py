@@ -47,7 +47,7 @@ def project(concepts: DataFrame, origin: int, cfg: Config) -> DataFrame:
     edges = paper_pairs(capped(every, cfg)).groupBy("u", "v").agg(F.sum("share").alias("weight"), F.count(F.lit(1)).alias("n_papers"))
     d = every.groupBy("concept").agg(F.count(F.lit(1)).alias("d"))
     total = every.agg(F.countDistinct("paper_id").alias("total"))
-    edges = edges.join(d.select(F.col("concept").alias("u"), F.col("d").alias("du")), "u").join(d.select(F.col("concept").alias("v"), F.col("d").alias("dv")), "v").crossJoin(F.broadcast(total))
+    edges = edges.join(d.select(F.col("concept").alias("u"), F.col("d").alias("du")), "u").join(d.select(F.col("concept").alias("v"), F.col("d").alias("dv")), "v").withColumn("total", total.scalar())
     return edges.select("u", "v", "weight", "n_papers", (F.col("n_papers") * F.col("total") / (F.col("du") * F.col("dv"))).alias("lift"))
 
 
@@ -120,9 +120,10 @@ def lineage(now: DataFrame, before: DataFrame, least: float) -> DataFrame:
     return out.select("region_id", F.when(matched, F.col("parent_id")).alias("parent_id"), "jaccard", F.when(matched, "matched").otherwise("born").alias("event"))
 
 
-def lineage_stats(lines: DataFrame, before: DataFrame, overlaps: DataFrame | None = None) -> DataFrame:
+def lineage_stats(lines: DataFrame, before: DataFrame) -> DataFrame:
     """n_matched, n_born, n_splits (earlier regions with several heirs), n_died (earlier regions without)."""
     heirs = lines.filter("event = 'matched'").groupBy("parent_id").agg(F.count(F.lit(1)).alias("n"))
     died = before.join(heirs, before["region_id"] == heirs["parent_id"], "left_anti").agg(F.count(F.lit(1)).alias("n_died"))
     out = lines.agg(F.sum((F.col("event") == "matched").cast("long")).alias("n_matched"), F.sum((F.col("event") == "born").cast("long")).alias("n_born"))
-    return out.crossJoin(heirs.agg(F.coalesce(F.sum((F.col("n") > 1).cast("long")), F.lit(0)).alias("n_splits"))).crossJoin(died)
+    splits = heirs.agg(F.coalesce(F.sum((F.col("n") > 1).cast("long")), F.lit(0)).alias("n_splits"))
+    return out.select("*", splits.scalar().alias("n_splits"), died.scalar().alias("n_died"))

@@ -14,15 +14,14 @@ def prepare(rows: DataFrame, columns: list[str], fit_on) -> DataFrame:
     """Impute by median, winsorise at the 99th percentile and z-score, all measured on the rows of ``fit_on`` only."""
     tune = rows.filter(fit_on)
     stats = tune.agg(*[F.median(c).alias(f"{c}_med") for c in columns], *[F.percentile(c, F.lit(0.99)).alias(f"{c}_p99") for c in columns])
-    out = rows.crossJoin(F.broadcast(stats))
+    out = rows.withColumn("_of", stats.select(F.struct("*")).scalar())
     for c in columns:
-        out = out.withColumn(c, F.least(F.coalesce(F.col(c).cast("double"), F.col(f"{c}_med"), F.lit(0.0)), F.coalesce(F.col(f"{c}_p99"), F.lit(0.0))))
-    out = out.drop(*[f"{c}_{s}" for c in columns for s in ("med", "p99")])
+        out = out.withColumn(c, F.least(F.coalesce(F.col(c).cast("double"), F.col(f"_of.{c}_med"), F.lit(0.0)), F.coalesce(F.col(f"_of.{c}_p99"), F.lit(0.0))))
     moments = out.filter(fit_on).agg(*[F.avg(c).alias(f"{c}_m") for c in columns], *[F.stddev_samp(c).alias(f"{c}_s") for c in columns])
-    out = out.crossJoin(F.broadcast(moments))
+    out = out.withColumn("_of", moments.select(F.struct("*")).scalar())
     for c in columns:
-        out = out.withColumn(c, F.coalesce(F.when(F.col(f"{c}_s") > 0, (F.col(c) - F.col(f"{c}_m")) / F.col(f"{c}_s")), F.lit(0.0)))
-    return out.drop(*[f"{c}_{s}" for c in columns for s in ("m", "s")])
+        out = out.withColumn(c, F.coalesce(F.when(F.col(f"_of.{c}_s") > 0, (F.col(c) - F.col(f"_of.{c}_m")) / F.col(f"_of.{c}_s")), F.lit(0.0)))
+    return out.drop("_of")
 
 
 def log_score(y, rate):
@@ -40,7 +39,7 @@ def poisson_ladder(rows: DataFrame, rungs: dict[str, list[str]], target: str, ex
     for name, columns in rungs.items():
         vectors = VectorAssembler(inputCols=columns, outputCol="_x")
         glm = GeneralizedLinearRegression(family="poisson", link="log", labelCol=target, featuresCol="_x", offsetCol="_offset", regParam=0.01, predictionCol="_mu")
-        scored = glm.fit(vectors.transform(tune)).transform(vectors.transform(rows.filter(test_on))).crossJoin(F.broadcast(null))
+        scored = glm.fit(vectors.transform(tune)).transform(vectors.transform(rows.filter(test_on))).withColumn("_rate", null.scalar())
         gain = F.sum(log_score(F.col(target), F.col("_mu")) - log_score(F.col(target), F.col("_rate") * F.col(exposure)))
         one = scored.agg(gain.alias("log_score_gain"), (F.sum(target) / F.sum("_mu")).alias("calibration")).select(F.lit(name).alias("rung"), "log_score_gain", "calibration")
         out = one if out is None else out.union(one)

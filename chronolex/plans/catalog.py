@@ -440,7 +440,7 @@ def _(b: Baskets) -> DataFrame:
 def _(b: Baskets) -> DataFrame:
     n = evaluate.node_features(b.blocks(), b.labels, b.strong(BEFORE), BEFORE).select("region_id", "node", "n_t")
     cut = n.agg(F.percentile("n_t", F.lit(0.95)).alias("cut"))
-    return n.crossJoin(F.broadcast(cut)).filter("n_t <= cut").drop("cut")
+    return n.filter(F.col("n_t") <= cut.scalar())
 
 
 @query("node_z_scores", with_("SELECT region_id, node, round(coalesce((n_t - avg(n_t) OVER w) / nullif(stddev_samp(n_t) OVER w, 0), 0), 6) AS z_n_t FROM nt WINDOW w AS (PARTITION BY region_id)", "pp lt ev ky lb bk", _EVAL))
