@@ -189,12 +189,13 @@ def voiced(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     notes = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(576)).cast("int"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sound = []
-            for row in batch.column(batch.num_columns - 1):
-                at = np.array(row.values, np.int64)
-                sound.append(wav(_chords()[at // 24, at % 24].ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sound, pa.binary())], [*keys, "media"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 64):  # sound is some hundred times as large as its notes
+                batch, sound = whole.slice(at, 64), []
+                for row in batch.column(batch.num_columns - 1):
+                    notes = np.array(row.values, np.int64)
+                    sound.append(wav(_chords()[notes // 24, notes % 24].ravel()))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sound, pa.binary())], [*keys, "media"])
 
     kinds = dict(texts.dtypes)
     return texts.select(*keys, notes.alias("notes")).mapInArrow(run, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", media binary")
