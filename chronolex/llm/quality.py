@@ -91,13 +91,19 @@ def fit(rows: list[np.ndarray], ratings: np.ndarray, grades: int = GRADES) -> Or
     """
     if not rows:
         return Ordinal(np.zeros(DIM, np.float32), np.full(grades - 1, -np.inf))
-    sizes = np.fromiter(map(len, rows), np.int64, len(rows))
-    slots = np.concatenate(rows)
-    off = np.repeat(ratings - ratings.mean(), sizes)
-    z = np.bincount(slots, off, DIM) / np.sqrt(np.maximum(np.bincount(slots, off**2, DIM), 1e-9))
-    often = (np.bincount(slots, minlength=DIM) >= LEAST_ROWS) & (np.abs(z) >= LEAST_Z)
-    owner = np.repeat(np.arange(len(rows)), sizes)[often[slots]]
-    used, column = np.unique(slots[often[slots]], return_inverse=True)
+    mean = ratings.mean()
+    seen, pull, spread = np.zeros(DIM), np.zeros(DIM), np.zeros(DIM)
+    for at in range(0, len(rows), 500):
+        part = rows[at : at + 500]
+        slots = np.concatenate(part)
+        off = np.repeat(ratings[at : at + 500] - mean, [len(r) for r in part])
+        seen += np.bincount(slots, minlength=DIM)
+        pull += np.bincount(slots, off, DIM)
+        spread += np.bincount(slots, off**2, DIM)
+    often = (seen >= LEAST_ROWS) & (np.abs(pull) >= LEAST_Z * np.sqrt(np.maximum(spread, 1e-9)))
+    kept = [r[often[r]] for r in rows]
+    owner = np.repeat(np.arange(len(rows)), [len(k) for k in kept])
+    used, column = np.unique(np.concatenate(kept), return_inverse=True)
     n, beyond = len(rows), ratings[:, None] > np.arange(grades - 1)
     share = np.clip(beyond.mean(axis=0), 1e-3, 1 - 1e-3)
     start = np.minimum.accumulate(share)
