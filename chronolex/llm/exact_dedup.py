@@ -81,7 +81,7 @@ def drop_copies(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
     groups = duplicate_groups(docs, counters)
     kept = groups.filter("kept").select(F.col("doc_id").alias("_chronolex_keep"), F.unhex("text_sha256").alias("_chronolex_sha"))
     own = docs.withColumn("_chronolex_digest", F.unhex(F.sha2(squeeze_spaces(text_or_empty()), 256)))
-    stay = own.join(kept, F.col("doc_id").eqNullSafe(F.col("_chronolex_keep")) & (F.col("_chronolex_digest") == F.col("_chronolex_sha")), "left_semi")
+    stay = own.join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_chronolex_keep")) & (F.col("_chronolex_digest") == F.col("_chronolex_sha")), "left_semi")
     if not groups.groupBy("doc_id", "text_sha256").count().filter("count > 1").isEmpty():
         stay = stay.dropDuplicates(["doc_id", "_chronolex_digest"])
     return stay.select(*docs.columns)

@@ -106,7 +106,7 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     groups = near_groups(docs, work)
     kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("_chronolex_n"))
     kept = work.save("kept", kept.select(F.col("doc_id").alias("_chronolex_keep"), "_chronolex_n"))
-    stay = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_chronolex_keep")))
+    stay = docs.join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_chronolex_keep")))  # kept grows with the data
     once = stay.filter("_chronolex_n = 1").select(*[docs[c] for c in docs.columns])
     if kept.filter("_chronolex_n > 1").isEmpty():
         return once
