@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from xxhash import xxh64_intdigest
 
-from chronolex.llm import exact_dedup, fingerprint_log, simhash, suffixes
+from chronolex.llm import exact_dedup, fingerprint_log, near_copies, simhash, suffixes
 from chronolex.llm.common import Workspace
 from chronolex.llm.components import connected_components
 
@@ -109,6 +109,60 @@ def test_near_stage_keeps_one_of_each_group(spark):
     assert kept.columns == docs.columns and kept.count() == len(groups)
 
 
+def similar_cases(spark):
+    """Texts of 80 words with one to four words changed, on both sides of a similarity of 0.8, and a chain."""
+    rng = random.Random(11)
+    make = lambda n: [f"w{rng.randint(0, 900)}" for _ in range(n)]
+    texts = []
+    for _ in range(12):
+        base = make(80)
+        texts.append(" ".join(base))
+        for changes in (1, 2, 3, 4):
+            w = list(base)
+            for at in rng.sample(range(80), changes):
+                w[at] = f"z{rng.randint(0, 900)}"
+            texts.append(" ".join(w))
+    chain = make(120)
+    texts += [" ".join(chain[i : i + 60]) for i in range(0, 30, 3)]
+    docs = documents(spark)
+    rows = [(1000 - i, t) for i, t in enumerate(texts)]
+    return docs.select("doc_id", "text").union(spark.createDataFrame(rows, "doc_id long, text string")).repartition(3)
+
+
+def slow_similar(texts, size, least):
+    """Component label of each text."""
+    def runs(t):
+        w = [x.lower() for x in words(t)]
+        return {tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))}
+    s = [runs(t) for t in texts]
+    near = [[j for j, y in enumerate(s) if len(x & y) / len(x | y) >= least] for x in s]
+    label = list(range(len(s)))
+    while (new := [min(label[j] for j in js) for js in near]) != label:
+        label = new
+    return label
+
+
+@pytest.mark.parametrize(("size", "least"), [(5, 0.8), (3, 0.6)])
+def test_similar_stage_keeps_one_of_each_group(spark, size, least):
+    docs = similar_cases(spark)
+    rows = rows_of(docs)
+    label = slow_similar([r["text"] for r in rows], size, least)
+    expected = Counter(min((r["doc_id"] for r, x in zip(rows, label, strict=True) if x == g), key=order) for g in set(label))
+    kept = near_copies.drop_similar(docs, size, least)
+    assert kept.columns == docs.columns and Counter(r["doc_id"] for r in rows_of(kept)) == expected
+    assert near_copies.drop_similar(empty(spark)).count() == 0
+
+
+def test_pipeline_drops_similar_texts(spark):
+    import corpus_pipeline
+
+    base = [f"w{i}" for i in range(120)]
+    other = base[:60] + ["new"] + base[61:]
+    docs = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(other))], "doc_id long, text string")
+    assert (slow_fingerprint(" ".join(base)) ^ slow_fingerprint(" ".join(other))).bit_count() > 3
+    assert [r.doc_id for r in corpus_pipeline.near(spark, docs, "").collect()] == [1]
+
+
 # --- passages ---------------------------------------------------------------------------------------------------------
 
 
