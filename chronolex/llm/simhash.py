@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from chronolex.llm.common import Workspace
+from chronolex.llm.common import Workspace, text_or_empty
 from chronolex.llm.components import connected_components
 
 SHINGLE, SEED, SEGMENTS, TAU = 3, 42, 4, 3
@@ -42,16 +42,17 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > total, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the fingerprint's bits as a signed long) for each row; null text counts as empty."""
+def fingerprints(docs: DataFrame, digest: bool = False) -> DataFrame:
+    """doc_id, fp (the fingerprint's bits as a signed long) and, if asked for, the text's digest for each row; null text counts as empty."""
+    more = [F.unhex(F.sha2(text_or_empty(), 256)).alias("digest")] if digest else []
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = pc.fill_null(pc.cast(batch.column(1), pa.binary()), b"")
             prints = np.array([fingerprint(t.as_py()) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pc.cast(batch.column(0), pa.int64()), pa.array(prints)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([pc.cast(batch.column(0), pa.int64()), pa.array(prints), *batch.columns[2:]], ["doc_id", "fp", *["digest"] * digest])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(compute, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), "text", *more).mapInArrow(compute, "doc_id long, fp long" + ", digest binary" * digest)
 
 
 def _segment(fp: Column, i: int) -> Column:
@@ -77,6 +78,19 @@ def links(prints: DataFrame) -> DataFrame:
     return probe.join(index, "key").filter((F.col("a") < F.col("b")) & chain).select("a", "b").distinct()
 
 
+def _grouped(docs: DataFrame, work: Workspace, digest: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The fingerprints of all rows; fp, root, component_id and n_links of each distinct one."""
+    rows = work.save("fingerprints", fingerprints(docs, digest))
+    reps = work.save("distinct", rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    pairs = work.save("links", links(reps.select("fp")))
+    roots = connected_components(pairs, work)
+    degree = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).groupBy("fp").agg(F.count(F.lit(1)).alias("n_links"))
+    linked = reps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    least = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    member = linked.join(least, "root").join(degree, "fp", "left").select("fp", "root", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return rows, work.save("members", member)
+
+
 def near_groups(docs: DataFrame, work: Workspace | None = None) -> DataFrame:
     """One row for each row of ``docs``: doc_id, fingerprint (16 hex digits), component_id, n_links.
 
@@ -84,31 +98,24 @@ def near_groups(docs: DataFrame, work: Workspace | None = None) -> DataFrame:
     the row's own. Texts without words have fingerprint zero and link like any other; null texts count as empty. A null
     doc_id gets a row and never is a component_id, unless the component has no other. Repeated rows are all returned.
     """
-    work = work or Workspace(docs.sparkSession, "simhash")
-    rows = work.save("fingerprints", fingerprints(docs))
-    reps = work.save("distinct", rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    pairs = work.save("links", links(reps.select("fp")))
-    roots = connected_components(pairs, work)
-    degree = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).groupBy("fp").agg(F.count(F.lit(1)).alias("n_links"))
-    linked = reps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    least = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    member = linked.join(least, "root").join(degree, "fp", "left").select("fp", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    member = work.save("members", member)
+    rows, member = _grouped(docs, work or Workspace(docs.sparkSession, "simhash"))
     return rows.join(member, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", F.col("n_links").cast("long"))
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay: of each group of near copies the one with the smallest doc_id, with all columns.
 
-    Of several rows with that doc_id and fingerprint one stays. A group whose doc_ids are all null keeps one row.
+    A null doc_id comes after all others; a group whose doc_ids are all null keeps one row. Rows are told apart by doc_id and
+    text, so groups that share a doc_id each keep their own, and of equal rows one stays.
     """
     work = Workspace(docs.sparkSession, "simhash")
-    groups = near_groups(docs, work)
-    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("_chronolex_n"))
-    kept = work.save("kept", kept.select(F.col("doc_id").alias("_chronolex_keep"), "_chronolex_n"))
-    stay = docs.join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_chronolex_keep")))  # kept grows with the data
-    once = stay.filter("_chronolex_n = 1").select(*[docs[c] for c in docs.columns])
-    if kept.filter("_chronolex_n > 1").isEmpty():
-        return once
-    again = stay.filter("_chronolex_n > 1").select(*[docs[c] for c in docs.columns])
-    return once.unionByName(again.dropDuplicates(["doc_id"]))
+    rows, member = _grouped(docs, work, digest=True)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")).alias("k")
+    kept = rows.join(member.select("fp", "root"), "fp").groupBy("root").agg(first)
+    kept = work.save("kept", kept.select(F.col("k.doc_id").alias("_chronolex_keep"), F.col("k.digest").alias("_chronolex_sha")))
+    own = docs.withColumn("_chronolex_digest", F.unhex(F.sha2(text_or_empty(), 256)))
+    same = F.col("doc_id").eqNullSafe(F.col("_chronolex_keep")) & (F.col("_chronolex_digest") == F.col("_chronolex_sha"))
+    stay = own.join(kept.hint("merge"), same, "left_semi")  # kept grows with the data
+    if not rows.groupBy("doc_id", "digest").count().filter("count > 1").isEmpty():
+        stay = stay.dropDuplicates(["doc_id", "_chronolex_digest"])
+    return stay.select(*docs.columns)

@@ -153,6 +153,16 @@ def test_similar_stage_keeps_one_of_each_group(spark, size, least):
     assert near_copies.drop_similar(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("drop", [simhash.drop_near_copies, near_copies.drop_similar])
+def test_near_stages_keep_rows_without_or_with_clashing_ids(spark, drop):
+    rng = random.Random(6)
+    make = lambda: " ".join(f"w{rng.randint(0, 9000)}" for _ in range(50))
+    lone, copied, twice = [make() for _ in range(4)], make(), [make(), make()]
+    rows = [(None, t) for t in lone] + [(None, lone[0]), (None, copied), (3, copied), (9, copied)] + [(5, t) for t in twice] + [(5, twice[0])]
+    kept = Counter((r["doc_id"], r["text"]) for r in rows_of(drop(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))))
+    assert kept == Counter([(None, t) for t in lone] + [(3, copied)] + [(5, t) for t in twice])
+
+
 def test_pipeline_drops_similar_texts(spark):
     import corpus_pipeline
 
