@@ -645,7 +645,7 @@ def _(b: Baskets) -> DataFrame:
 
 @query("strip_markup")
 def _(b: Baskets) -> DataFrame:
-    return b.read("documents").select("doc_id", text.strip_markup(F.concat(F.lit(r"\emph{\textbf{deep}} net $x^2$ \cite{a} \alpha "), F.substring("text", 1, 200))).alias("text"))
+    return b.read("documents").select("doc_id", text.strip_markup(F.concat(F.lit(r"\emph{\textbf{deep}} net $x^2$ \cite{a} \alpha "), F.col("text"))).alias("text"))
 
 
 # --- judge ------------------------------------------------------------------------------------------------------------
