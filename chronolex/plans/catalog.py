@@ -618,12 +618,21 @@ def _(b: Baskets) -> DataFrame:
     return merges.plural_edges(_terms(b))
 
 
+def _order_suppliers(lines: DataFrame) -> DataFrame:
+    return label_components(lines.select(F.col("l_orderkey").cast("string").alias("a"), F.concat(F.lit("s"), "l_suppkey").alias("b")))
+
+
 @query("union_components", with_("SELECT node, min(o) AS root FROM rc GROUP BY 1", "", {
     "e": "SELECT CAST(l_orderkey AS VARCHAR) AS a, 's' || l_suppkey AS b FROM lineitem WHERE l_quantity > 49",
     "s": "SELECT a, b FROM e UNION SELECT b, a FROM e", "rc": "SELECT a AS node, a AS o FROM s UNION SELECT rc.node, s.b FROM rc JOIN s ON s.a = rc.o"}, recursive=True))
 def _(b: Baskets) -> DataFrame:
-    rows = b.read("lineitem").filter("l_quantity > 49").select(F.col("l_orderkey").cast("string").alias("a"), F.concat(F.lit("s"), "l_suppkey").alias("b"))
-    return label_components(rows)
+    return _order_suppliers(b.read("lineitem").filter("l_quantity > 49"))
+
+
+# The SQL of the query above holds a filter; without it recursion over the whole table is too slow for SQL.
+@query("union_components_all")
+def _(b: Baskets) -> DataFrame:
+    return _order_suppliers(b.read("lineitem"))
 
 
 @query("ingest_drop_reasons", """WITH r AS (SELECT doc_id AS id, lang || ' ' || source AS categories, text AS abstract, CASE WHEN doc_id % 17 = 0 THEN 'Withdrawn by the author' END AS comments,
@@ -653,14 +662,23 @@ def _(b: Baskets) -> DataFrame:
 _LINES = "SELECT (l_orderkey % 50)::INT AS batch, CASE l_linenumber % 3 WHEN 0 THEN l_orderkey || ' keep' WHEN 1 THEN l_orderkey || ', DROP' ELSE 'not a verdict' END AS value FROM lineitem WHERE l_linenumber <= 3"
 
 
-@query("judge_ingest", with_("SELECT batch, malformed, verdict, count(*) AS n FROM (SELECT batch, NOT regexp_matches(value, '(?i)^\\s*(\\d+)\\s*[\\t,: ]\\s*(KEEP|DROP)\\s*$') AS malformed, nullif(upper(regexp_extract(value, '(?i)(KEEP|DROP)\\s*$', 1)), '') AS verdict FROM li) GROUP BY ALL", "", {"li": _LINES}))
-def _(b: Baskets) -> DataFrame:
+def _verdict_counts(rows: DataFrame) -> DataFrame:
     k = F.col("l_orderkey").cast("string")
     value = F.when(F.col("l_linenumber") % 3 == 0, F.concat(k, F.lit(" keep"))).when(F.col("l_linenumber") % 3 == 1, F.concat(k, F.lit(", DROP"))).otherwise("not a verdict")
-    lines = b.read("lineitem").filter("l_linenumber <= 3").select((F.col("l_orderkey") % 50).cast("int").alias("batch"), value.alias("value"))
+    lines = rows.select((F.col("l_orderkey") % 50).cast("int").alias("batch"), value.alias("value"))
     return judge.parse_verdicts(lines).groupBy("batch", "malformed", "verdict").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("judge_ingest", with_("SELECT batch, malformed, verdict, count(*) AS n FROM (SELECT batch, NOT regexp_matches(value, '(?i)^\\s*(\\d+)\\s*[\\t,: ]\\s*(KEEP|DROP)\\s*$') AS malformed, nullif(upper(regexp_extract(value, '(?i)(KEEP|DROP)\\s*$', 1)), '') AS verdict FROM li) GROUP BY ALL", "", {"li": _LINES}))
+def _(b: Baskets) -> DataFrame:
+    return _verdict_counts(b.read("lineitem").filter("l_linenumber <= 3"))
+
+
+@query("judge_ingest_all")
+def _(b: Baskets) -> DataFrame:
+    return _verdict_counts(b.read("lineitem"))
+
+
 @query("judge_audit",
     with_("", SERIES + " cry dec cens").rstrip() + ", " + _REG + """ SELECT stratum, n_persisted, n_declined, round(CASE WHEN n_persisted >= 1 AND n_declined >= 1 THEN kp - kd END, 6) AS gap FROM (SELECT CASE WHEN total_papers < 26 THEN '9-25' WHEN total_papers < 61 THEN '26-60' WHEN total_papers < 151 THEN '61-150' WHEN total_papers < 501 THEN '151-500' ELSE '501+' END AS stratum,
     count(*) FILTER (fate = 'persisted') AS n_persisted, count(*) FILTER (fate LIKE '%declined') AS n_declined, avg((length(concept) % 2)::DOUBLE) FILTER (fate = 'persisted') AS kp, avg((length(concept) % 2)::DOUBLE) FILTER (fate LIKE '%declined') AS kd FROM reg GROUP BY 1)""")

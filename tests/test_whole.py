@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+from chronolex.operators.components import union_find
 from chronolex.plans import catalog
 
 
@@ -16,3 +19,18 @@ def test_strip_markup_reads_whole_texts(spark, tmp_path):
     texts = [far + r"\emph{late} $y$ end", r"a \begin{eq}" + far + r"\end{eq} b", "short", None]
     found = dict(run(spark, tmp_path, "strip_markup", documents=(list(enumerate(texts)), "doc_id long, text string")))
     assert found == {0: "deep net " + far + "late end", 1: "deep net a b", 2: "deep net short", 3: None}
+
+
+LINES = [(order, supplier, number, quantity) for order, supplier, number, quantity in zip((1, 1, 2, 2, 3, 4, 51, 51), (7, 8, 8, 9, 5, 5, 6, 6), (1, 4, 2, 3, 7, 5, 6, 3), (50.0, 1.0, 2.0, 50.0, 3.0, 50.0, 4.0, 5.0))]
+LINEITEM = (LINES, "l_orderkey long, l_suppkey long, l_linenumber int, l_quantity double")
+
+
+def test_union_components_of_all_rows(spark, tmp_path):
+    found = dict(run(spark, tmp_path, "union_components_all", lineitem=LINEITEM))
+    assert found == union_find((str(o), f"s{s}") for o, s, _, _ in LINES) and len(found) == 10
+
+
+def test_judge_ingest_of_all_rows(spark, tmp_path):
+    verdict = lambda n: ("KEEP", "DROP", None)[n % 3]
+    expected = Counter((o % 50, n % 3 == 2, verdict(n)) for o, _, n, _ in LINES)
+    assert {r[:3]: r[3] for r in run(spark, tmp_path, "judge_ingest_all", lineitem=LINEITEM)} == expected
