@@ -531,6 +531,17 @@ def _(b: Baskets) -> DataFrame:
     return corpus.ledger_yearly(_postings(b, (2,))).filter("n_papers >= 3")
 
 
+# The SQL of the two queries above holds floors and sizes; these have every candidate and year, as the reference's ledgers.
+@query("ngram_ledger_all")
+def _(b: Baskets) -> DataFrame:
+    return corpus.ledger(_postings(b, (1, 2, 3)))
+
+
+@query("ledger_yearly_all")
+def _(b: Baskets) -> DataFrame:
+    return corpus.ledger_yearly(_postings(b, (1, 2, 3)))
+
+
 @query("dominant_pos", with_("SELECT lemma, dominant_pos, n_tokens, round(dominance, 6) AS dominance FROM dp", DOCS + " tg dp"))
 def _(b: Baskets) -> DataFrame:
     return termhood.dominant_pos(termhood.lemma_pos_counts(b.tagged)).select("lemma", "dominant_pos", "n_tokens", *r6("dominance"))
@@ -579,6 +590,11 @@ def _(b: Baskets) -> DataFrame:
     return corpus.dictionary_postings(b.documents, _terms(b).filter("df >= 100"), (1, 2, 3)).select("id", "cand")
 
 
+@query("term_postings_all")
+def _(b: Baskets) -> DataFrame:
+    return corpus.dictionary_postings(b.documents, _terms(b), (1, 2, 3)).select("id", "cand")
+
+
 @query("quantile_grid", with_("", TERMS).rstrip() + """ SELECT f.floor::DOUBLE AS floor, count(CASE WHEN df > f.floor THEN 1 END) AS n_above FROM tm, (SELECT unnest([10, 20, 50, 100, 200]) AS floor) f GROUP BY 1""")
 def _(b: Baskets) -> DataFrame:
     return termhood.floors(_terms(b), "df", [10, 20, 50, 100, 200])

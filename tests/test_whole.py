@@ -34,3 +34,27 @@ def test_judge_ingest_of_all_rows(spark, tmp_path):
     verdict = lambda n: ("KEEP", "DROP", None)[n % 3]
     expected = Counter((o % 50, n % 3 == 2, verdict(n)) for o, _, n, _ in LINES)
     assert {r[:3]: r[3] for r in run(spark, tmp_path, "judge_ingest_all", lineitem=LINEITEM)} == expected
+
+
+def grams(text):
+    w = text.split()
+    return {" ".join(w[i : i + n]) for n in (1, 2, 3) for i in range(len(w) - n + 1)}
+
+
+TEXTS = [f"common pair {chr(97 + i)}word" if i < 9 else "rare pair" for i in range(11)] + ["alone"]
+DOCUMENTS = (list(enumerate(TEXTS)), "doc_id long, text string")
+ORDERS = ([(1,)], "o_orderkey long")
+
+
+def test_ledgers_have_every_candidate(spark, tmp_path):
+    df = Counter(g for t in TEXTS for g in grams(t))
+    found = run(spark, tmp_path, "ngram_ledger_all", documents=DOCUMENTS)
+    assert {(r[0], r[1], r[4]) for r in found} == {(g, n, len(g.split())) for g, n in df.items()} and len(found) == len(df)
+    yearly = run(spark, tmp_path, "ledger_yearly_all", documents=DOCUMENTS)
+    assert {(c, y): n for c, y, n in yearly} == {(g, 2016): n for g, n in df.items()}
+
+
+def test_term_postings_take_the_configured_floor(spark, tmp_path):
+    df = Counter(g for t in TEXTS for g in grams(t))
+    expected = Counter((i, g) for i, t in enumerate(TEXTS) for g in grams(t) if df[g] >= 9)
+    assert Counter(run(spark, tmp_path, "term_postings_all", documents=DOCUMENTS, orders=ORDERS)) == expected and expected
