@@ -628,6 +628,11 @@ def _(b: Baskets) -> DataFrame:
     return merges.string_variants(b.spark.createDataFrame(rows, "cand string, df int"))
 
 
+@query("string_variants_all")
+def _(b: Baskets) -> DataFrame:
+    return merges.string_variants(_terms(b))
+
+
 @query("plural_edges", with_("""SELECT a.cand AS member, b.cand AS canonical FROM tm a JOIN tm b ON b.cand = regexp_extract(a.cand, '^(.*?)[^ ]+$', 1) || (SELECT CASE WHEN length(l) < 4 THEN NULL WHEN l LIKE '%ies' THEN regexp_replace(l, 'ies$', 'y')
     WHEN regexp_matches(l, '(ses|xes|zes|ches|shes)$') THEN regexp_replace(l, 'es$', '') WHEN l LIKE '%s' AND NOT regexp_matches(l, '(ss|us|is)$') THEN regexp_replace(l, 's$', '') END FROM (SELECT string_split(a.cand, ' ')[-1] AS l))""", TERMS))
 def _(b: Baskets) -> DataFrame:

@@ -58,3 +58,9 @@ def test_term_postings_take_the_configured_floor(spark, tmp_path):
     df = Counter(g for t in TEXTS for g in grams(t))
     expected = Counter((i, g) for i, t in enumerate(TEXTS) for g in grams(t) if df[g] >= 9)
     assert Counter(run(spark, tmp_path, "term_postings_all", documents=DOCUMENTS, orders=ORDERS)) == expected and expected
+
+
+def test_string_variants_of_the_data(spark, tmp_path):
+    texts = ["colour"] * 9 + ["color"] * 10 + ["pre-train"] * 12 + ["pretrain"] * 9 + ["honour"] * 8 + ["honor"] * 20
+    found = run(spark, tmp_path, "string_variants_all", documents=(list(enumerate(texts)), "doc_id long, text string"), orders=ORDERS)
+    assert sorted(found) == [("colour", "color"), ("pretrain", "pre-train")]
