@@ -32,7 +32,7 @@ class Config:
     acronym_len: int = 3
     acronym_dominance: float = 0.70
     acronym_min: int = 3
-    bootstrap: int = 200
+    bootstrap: int = 2000
     power_floor: int = 50
     judge_min_n: int = 30
     judge_flag: float = 0.05

@@ -46,7 +46,7 @@ def poisson_ladder(rows: DataFrame, rungs: dict[str, list[str]], target: str, ex
     return out
 
 
-def boosted_scores(rows: DataFrame, columns: list[str], label: str, fit_on, depth: int = 3, leaf: int = 20, rounds: int = 20, step: float = 0.1) -> DataFrame:
+def boosted_scores(rows: DataFrame, columns: list[str], label: str, fit_on, depth: int = 3, leaf: int = 20, rounds: int = 300, step: float = 0.03) -> DataFrame:
     """rows with score: probability of the label by boosted trees, fitted on the rows of ``fit_on``."""
     vectors = VectorAssembler(inputCols=columns, outputCol="_x")
     trees = GBTClassifier(featuresCol="_x", labelCol=label, maxDepth=depth, minInstancesPerNode=leaf, maxIter=rounds, stepSize=step, seed=7)

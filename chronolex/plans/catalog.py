@@ -452,7 +452,7 @@ def _(b: Baskets) -> DataFrame:
 def _(b: Baskets) -> DataFrame:
     truth = _truth(b)
     chance = evaluate.ranked(b.blocks().withColumn("score", evaluate.random_score(7, "region_id", "node")))
-    return evaluate.bootstrap(evaluate.scores(_degree_ranks(b), truth, 20), evaluate.scores(chance, truth, 20), 200)
+    return evaluate.bootstrap(evaluate.scores(_degree_ranks(b), truth, 20), evaluate.scores(chance, truth, 20), b.cfg.bootstrap)
 
 
 @query("oracle_greedy")
@@ -736,13 +736,13 @@ def _(b: Baskets) -> DataFrame:
 @query("gbt_rank")
 def _(b: Baskets) -> DataFrame:
     rows = _yearly_units(b).withColumn("up", (F.col("n_next") > F.col("n_papers")).cast("double")).withColumn("x", F.col("n_papers").cast("double")).withColumn("y", F.col("n_last").cast("double"))
-    scored = models.boosted_scores(rows, ["x", "y"], "up", F.col("year") <= 1997, rounds=5)
+    scored = models.boosted_scores(rows, ["x", "y"], "up", F.col("year") <= 1997)
     return evaluate.ranked(scored.filter("year = 1999").select(F.split("concept", " ")[1].alias("region_id"), F.col("concept").alias("node"), "score")).select("region_id", "node", "rank")
 
 
 @query("word2vec_spread")
 def _(b: Baskets) -> DataFrame:
-    vectors = models.embed(models.bags(b.labels.filter(F.col("year") <= BEFORE)), dim=16, epochs=1, partitions=4)
+    vectors = models.embed(models.bags(b.labels.filter(F.col("year") <= BEFORE)), partitions=4)
     return features.embedding_spread(vectors.select(F.split("concept", " ")[1].alias("region_id"), "vec"), "region_id")
 
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import inspect
 from collections import Counter
 
+import pytest
+
+from chronolex.operators import evaluate, models
 from chronolex.operators.components import union_find
 from chronolex.plans import catalog
 
@@ -64,3 +68,25 @@ def test_string_variants_of_the_data(spark, tmp_path):
     texts = ["colour"] * 9 + ["color"] * 10 + ["pre-train"] * 12 + ["pretrain"] * 9 + ["honour"] * 8 + ["honor"] * 20
     found = run(spark, tmp_path, "string_variants_all", documents=(list(enumerate(texts)), "doc_id long, text string"), orders=ORDERS)
     assert sorted(found) == [("colour", "color"), ("pretrain", "pre-train")]
+
+
+class Called(Exception):
+    pass
+
+
+@pytest.mark.parametrize(
+    ("name", "module", "operator", "expected"),
+    [("word2vec_spread", models, "embed", {"dim": 200, "epochs": 5, "window": 5}), ("gbt_rank", models, "boosted_scores", {"rounds": 300, "step": 0.03}), ("bootstrap_ci", evaluate, "bootstrap", {"n": 2000})],
+)
+def test_queries_run_at_full_settings(spark, monkeypatch, name, module, operator, expected):
+    signature = inspect.signature(getattr(module, operator))
+
+    def record(*args, **more):
+        bound = signature.bind(*args, **more)
+        bound.apply_defaults()
+        raise Called({k: bound.arguments[k] for k in expected})
+
+    monkeypatch.setattr(module, operator, record)
+    with pytest.raises(Called) as call:
+        catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert call.value.args[0] == expected
