@@ -240,9 +240,87 @@ def test_deep_and_long_pages():
     assert html_text.render("<p>x" * 20_000).count("x") == 20_000
 
 
+@pytest.mark.parametrize(
+    ("html", "expected"),
+    [
+        ("<ol start=1990><li>a<li value=2024>b<li>c</ol>", "1990. a\n2024. b\n2025. c"),
+        ("<ol start=99999999999><li>a</ol>", "1. a"),
+        ("<div>" * 260 + "<script>var secret=1;</script><style>p{}</style><p hidden>HID</p>vis" + "</div>" * 260 + "out", "vis\nout"),
+        ("<div>" * 300 + "<div hidden><div>HID<b>HID</b></div></div>vis", "vis"),
+        ("<div style='visibility:hidden'>no<b style='visibility:visible'>yes</b>no</div>after", "yes\nafter"),
+        ("<table style='visibility:hidden'><tr><td>a<td style='visibility:visible'>b</table>", "b"),
+        ("<ul><li style='visibility:hidden'>a<br><li>b</ul>", "- b"),
+        ("<p style='display:none; display:block'>x</p><p hidden style='display:block'>y</p><p style='display:none!important;display:block'>z</p>", "x\n\ny"),
+        ("<table><tr><td rowspan=0>a<td>b<tr><td>c<tr><td>d</table>", "a  b\n   c\n   d"),
+        ("<table><tr><td colspan=2>a<td>b<tr><td>c<td>d<td>e</table>", "a     b\nc  d  e"),
+    ],
+)
+def test_numbers_depth_and_visibility(html, expected):
+    assert html_text.render(html) == expected
+
+
+def test_layout_is_bounded_by_the_page():
+    pages = [
+        "<table><tr><td>" + "x" * 50_000 + "<td>y" + "<tr><td>a<td>b" * 2000 + "</table>",
+        "<table><tr>" + "<td colspan=1000 rowspan=65534>x" * 300 + "<tr><td>q" * 50 + "</table>",
+        "<table>" + "<tr><td colspan=1000><td>x" * 1000 + "<tr>" + "<td>a" * 1001 + "</table>",
+        "<blockquote>" * 250 + "a<br>" * 20_000,
+        "<ul><li>" * 3000 + "x",
+    ]
+    for page in pages:
+        assert len(html_text.render(page)) <= 10 * len(page)
+        assert Counter(html_text.render(page).replace("-", "").split()) == Counter(re.sub(r"<[^>]*>", " ", page).split())
+
+
+def test_random_pages_against_a_plain_model():
+    """Blocks with inline content only: the model knows each block's lines and whether blank lines stand around it."""
+    rng = random.Random(12)
+    word = lambda: rng.choice("alpha beta gamma delta 12 é".split())
+
+    def inline():
+        html, text = [], []
+        for _ in range(rng.randint(1, 6)):
+            w, kind = word(), rng.randrange(5)
+            html.append([f" {w}\n", f" <b>{w}</b> ", f" <i hidden>{w}</i>", f" <span style='display:none'>{w}<u>{w}</u></span> ", f" <em style='visibility:hidden'>{w} <u style='visibility:visible'>{w}</u></em> "][kind])
+            text += [w] * (kind in (0, 1, 4))
+        return "".join(html), " ".join(text)
+
+    for _ in range(200):
+        page, blocks = [], []
+        for _ in range(rng.randint(1, 7)):
+            kind = rng.choice(["p", "div", "ul", "ol", "table", "hidden"])
+            cells = [[inline() for _ in range(2)] for _ in range(rng.randint(1, 4))]
+            rows = [r[0] for r in cells]
+            if kind in ("p", "div", "hidden"):
+                page.append(f"<{kind.replace('hidden', 'section hidden')}>{rows[0][0]}</{kind.replace('hidden', 'section')}>")
+                lines = [rows[0][1]] if kind != "hidden" else []
+            elif kind in ("ul", "ol"):
+                start = rng.choice([1, 7, 2000])
+                page.append(f"<{kind} start={start}>" + "".join(f"<li>{h}" for h, _ in rows) + f"</{kind}>")
+                lines = [f"{'-' if kind == 'ul' else f'{start + i}.'} {t}" for i, (_, t) in enumerate(rows) if t]
+            else:
+                page.append("<table>" + "".join("<tr>" + "".join(f"<td>{h}" for h, _ in r) for r in cells) + "</table>")
+                texts = [[t for _, t in r] for r in cells]
+                wide = max((len(a) for a, _ in texts if len(a) <= html_text.CELL), default=0)
+                first = wide + 2 if any(a for a, _ in texts) else 0
+                lines = [(((a + "  ") if a else "").ljust(first) + b if b else a) for a, b in texts if a or b]
+            blocks.append((kind in ("p", "ul", "ol", "table"), [x for x in lines if x]))
+        out, gap = [], False
+        for spaced, lines in blocks:
+            gap |= spaced
+            if lines:
+                out += [""] * (gap and bool(out)) + lines
+                gap = spaced
+        assert html_text.render("".join(page)).split("\n") == (out or [""]), "".join(page)
+
+
 def test_pages(spark):
     pages = spark.createDataFrame([(1, "u", "<p>a", "c"), (1, "u", "<p>a", "c"), (None, None, None, None), (2, "v", "", None)], "page_id long, url string, html string, text string")
     assert Counter(tuple(r.values()) for r in rows_of(html_text.extract(pages, keep=("url",)))) == Counter([(1, "u", "a", 1, 1)] * 2 + [(None, None, "", 0, 0), (2, "v", "", 0, 0)])
+    clash = html_text.extract(pages, keep=("text", "url"))
+    assert clash.columns == ["page_id", "page_text", "url", "text", "n_chars", "n_lines"]
+    assert Counter((r["page_text"], r["text"]) for r in rows_of(clash)) == Counter([("c", "a")] * 2 + [(None, "")] * 2)
+    assert html_text.extract(pages.limit(0)).count() == 0
 
 
 # --- media ------------------------------------------------------------------------------------------------------------
