@@ -1,10 +1,11 @@
 """Mixing sources to target weights, in DataFrame operations only.
 
-Words of a source's texts form one stream, packed into blocks of ``block`` words. Each output shard takes a multinomial
-number of blocks of each source: the whole part of its expected share, and multinomial draws for the rest of its slots.
-The q-th slot of a source takes block perm(q mod n) of its n blocks, where perm is another pseudorandom permutation for
-each pass over the source; slots and blocks join by the block's index. All draws are hashes of the seed and their place,
-so reruns agree.
+Words of a source's texts form one stream, packed into blocks of ``block`` words. A source's target is a number of blocks;
+all sources' blocks are put into the places of the output by one pseudorandom permutation, and ``per_shard`` places are a
+shard. So every slot of a shard is drawn, and a shard's counts are multinomial given that the sources' totals are their
+targets (a plain multinomial would leave a source of 30 blocks 18 % off). The q-th slot of a source takes block perm(q mod n)
+of its n blocks, where perm is another permutation for each pass over the source; slots and blocks join by the block's index.
+All draws are hashes of the seed and their place, so reruns agree.
 """
 
 from __future__ import annotations
@@ -13,18 +14,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from chronolex.llm.common import WORD, Workspace, text_or_empty
+from chronolex.llm.common import WORD, Workspace, n_partitions, text_or_empty
 
 BLOCK, SLOTS, SEED, ROUNDS = 128, 4096, 7, 16
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
-#: Documents in each of the buckets over which the positions in a stream are summed.
-BUCKET = 20_000
+#: Documents in each of the buckets over which the positions in a stream are summed; slots dealt to tasks together, and slots of a task.
+BUCKET, CHUNK, TASK = 20_000, 4096, 1_000_000
 
 
 def n_words(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("long")
 
 
+def _mixed() -> Column:
+    return F.xxhash64("doc_id", "text", F.lit(SEED))
+
+
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """For each row of (source, source_size): source_no, weight, target.
 
@@ -58,14 +63,14 @@ def permuted(index: Column, n: Column, *key: Column, rounds: int = ROUNDS) -> Co
 
 
 def pack(rows: DataFrame, work: Workspace, **law) -> tuple[DataFrame, DataFrame]:
-    """From (row, doc_id, source, size): the sources with targets, and each row with its place ``off`` in its source's stream.
+    """From (row, doc_id, source, size, mixed): the sources with targets, and each row with its place ``off`` in its source's stream.
 
-    A stream's order is a hash of doc_id. Positions are summed over buckets first and then within a bucket, so a source
+    A stream's order is that of ``mixed``, a hash of doc_id and text. Positions are summed over buckets first and then within a bucket, so a source
     with most of the rows is spread over all tasks.
     """
     sources = work.save("sources", source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), **law))
     n_buckets = max(64, rows.count() // BUCKET)
-    placed = rows.withColumn("mixed", F.xxhash64("doc_id", F.lit(SEED))).withColumn("bucket", F.pmod("mixed", F.lit(n_buckets)))
+    placed = rows.withColumn("bucket", F.pmod("mixed", F.lit(n_buckets)))
     own = sources.select(F.col("source").alias("_source"), "source_no")
     placed = placed.join(own, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     sums = placed.groupBy("source_no", "bucket").agg(F.sum("size").alias("bucket_size"))
@@ -86,26 +91,21 @@ def pieces(packed: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def slots(sources: DataFrame, block: int = BLOCK, per_shard: int = SLOTS, most: float = MOST) -> DataFrame:
-    """The blocks that the mix takes: shard, source_no, q (place in the source's sequence), pass_no, block."""
-    blocks = sources.filter("source_size > 0").withColumn("n", F.ceil(F.col("source_size") / block))
-    blocks = blocks.withColumn("expected", F.col("target") * F.col("n") / F.col("source_size"))
-    every = Window.partitionBy()
-    blocks = blocks.withColumn("all", F.round(F.sum("expected").over(every)).cast("long")).withColumn("part", F.col("expected") / F.sum("expected").over(every))
-    shards = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), F.ceil(F.col("all") / per_shard) - 1))))
-    room = F.least(F.lit(per_shard), F.col("all") - F.col("shard") * per_shard)
-    shards = shards.withColumn("share", room * F.col("part")).withColumn("whole", F.floor("share")).withColumn("rest", F.col("share") - F.col("whole"))
-    shard = Window.partitionBy("shard").orderBy("source_no")
-    shards = shards.withColumn("high", F.sum("rest").over(shard.rowsBetween(Window.unboundedPreceding, 0)))
-    shards = shards.withColumn("low", F.coalesce(F.sum("rest").over(shard.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-    shards = shards.withColumn("draws", F.round(F.sum("rest").over(Window.partitionBy("shard"))).cast("int"))
-    drawn = lambda j: F.shiftrightunsigned(F.xxhash64(F.lit(SEED), "shard", j), 11) / F.lit(float(1 << 53)) * F.col("draws")
-    hits = F.size(F.filter(F.sequence(F.lit(1), F.col("draws")), lambda j: (drawn(j) >= F.col("low")) & (drawn(j) < F.col("high"))))
-    counts = shards.withColumn("count", F.col("whole") + F.when(F.col("draws") > 0, hits).otherwise(0))
-    earlier = Window.partitionBy("source_no").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("start", F.coalesce(F.sum("count").over(earlier), F.lit(0))).filter("count > 0")
-    taken = counts.withColumn("q", F.explode(F.expr("sequence(start, start + count - 1)"))).filter(F.col("q") < F.col("n") * int(most))
+    """The blocks that the mix takes: shard, source_no, q (place in the source's sequence), pass_no, block.
+
+    Only the table of sources is numbered in one task; its slots are dealt to tasks in chunks.
+    """
+    order = Window.orderBy("source_no").rowsBetween(Window.unboundedPreceding, -1)
+    rows = sources.filter("source_size > 0").withColumn("n", F.ceil(F.col("source_size") / block))
+    rows = rows.withColumn("amount", F.least(F.round(F.col("target") * F.col("n") / F.col("source_size")), F.floor(F.col("n") * float(most))).cast("long"))
+    rows = rows.withColumn("begin", F.coalesce(F.sum("amount").over(order), F.lit(0))).withColumn("all", F.sum("amount").over(Window.partitionBy()))
+    total = rows.agg(F.sum("amount")).first()[0] or 0
+    parts = rows.filter("amount > 0").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("amount") - 1) / CHUNK))))
+    parts = parts.repartition(max(n_partitions(sources.sparkSession), total // TASK), "source_no", "part")
+    taken = parts.withColumn("q", F.explode(F.sequence(F.col("part") * CHUNK, F.least((F.col("part") + 1) * CHUNK, F.col("amount")) - 1)))
     taken = taken.withColumn("pass_no", F.floor(F.col("q") / F.col("n")))
-    return taken.select("shard", "source_no", "q", "pass_no", permuted(F.pmod("q", "n"), F.col("n"), F.lit(SEED), F.col("source_no"), F.col("pass_no")).alias("block"))
+    place, block_no = permuted(F.col("begin") + F.col("q"), F.col("all"), F.lit(SEED)), permuted(F.pmod("q", "n"), F.col("n"), F.lit(SEED), F.col("source_no"), F.col("pass_no"))
+    return taken.select(F.floor(place / per_shard).alias("shard"), "source_no", "q", "pass_no", block_no.alias("block"))
 
 
 def mixed_pieces(sources: DataFrame, packed: DataFrame) -> DataFrame:
@@ -120,11 +120,11 @@ def mixed_pieces(sources: DataFrame, packed: DataFrame) -> DataFrame:
 def mix_amounts(docs: DataFrame) -> DataFrame:
     """One row for each row of ``docs``: doc_id, size, source_size, target, taken (words the mix takes, repeats counted).
 
-    Null text has size 0. A text without words, and all of a table without words, takes no part. Repeated rows are
-    documents of their own. Only doc_id, source and text are read. An empty table gives an empty result.
+    Null text has size 0; null is a source. A text without words, and all of a table without words, takes no part. Repeated
+    rows and rows with a null doc_id are documents of their own. Only doc_id, source and text are read. An empty table gives an empty result.
     """
     work = Workspace(docs.sparkSession, "mix")
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", n_words(text_or_empty()).alias("size"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", n_words(text_or_empty()).alias("size"), _mixed().alias("mixed"))
     rows = work.save("rows", rows)
     sources, packed = pack(rows, work)
     taken = mixed_pieces(sources, packed).groupBy("row").agg(F.sum("words").alias("taken"))
@@ -139,7 +139,7 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     """
     work = Workspace(docs.sparkSession, "mix")
     own = work.save("own", docs.withColumn("_chronolex_row", F.monotonically_increasing_id()).withColumn("_chronolex_size", n_words(text_or_empty())))
-    sources, packed = pack(own.select(F.col("_chronolex_row").alias("row"), "doc_id", "source", F.col("_chronolex_size").alias("size")), work)
+    sources, packed = pack(own.select(F.col("_chronolex_row").alias("row"), "doc_id", "source", F.col("_chronolex_size").alias("size"), _mixed().alias("mixed")), work)
     spans = mixed_pieces(sources, packed).groupBy("row", "pass_no").agg(F.sum("words").alias("words"), F.sort_array(F.collect_list(F.struct("first", "words"))).alias("_chronolex_spans"))
     spans = spans.select(F.col("row").alias("_chronolex_row"), F.col("words").alias("_chronolex_words"), "_chronolex_spans")
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))

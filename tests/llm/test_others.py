@@ -14,9 +14,11 @@ import public_tokenizers
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 import corpus_pipeline
 from chronolex.llm import bpe, html_text, media, mixing, quality, sharding
+from chronolex.llm.common import Workspace
 
 from tests.llm.cases import documents, empty, rows_of
 
@@ -141,6 +143,55 @@ def test_permutations(spark):
         assert sorted(out) == list(range(n)) and (n < 100 or out != sorted(out))
 
 
+def spark_hash(*values):
+    """xxhash64 of Spark: each value is hashed with the last result as the seed, nulls are left out; 32-bit numbers as 32 bits."""
+    h = 42
+    for v, kind in values:
+        if v is not None:
+            h = xxh64_intdigest(v.encode() if kind == "s" else int(v).to_bytes(4 if kind == "i" else 8, "little", signed=True), h)
+    return h - (1 << 64) if h >= 1 << 63 else h
+
+
+def slow_permuted(at, n, *key):
+    for r in range(1, mixing.ROUNDS + 1):
+        other = (spark_hash(*key, (r, "i")) % n - at) % n
+        if spark_hash(*key, (r, "i"), (max(at, other), "l")) & 1:
+            at = other
+    return at
+
+
+def test_taken_words_against_plain_code(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CHUNK", 7)
+    rng = random.Random(8)
+    rows = [(rng.choice([i, i, None]), " ".join(f"w{rng.randint(0, 9)}" for _ in range(rng.randint(0, 900))), rng.choice(["a", "a", "b", None])) for i in range(150)]
+    found = Counter((r["doc_id"], r["size"], r["taken"]) for r in rows_of(mixing.mix_amounts(spark.createDataFrame(rows, "doc_id long, text string, source string"))))
+    sizes = Counter()
+    for _, text, source in rows:
+        sizes[source] += len(text.split())
+    names, targets = sorted(sizes, key=lambda s: (s is None, s or "")), slow_targets(sizes, (5, 2, 1))
+    n = {s: -(-sizes[s] // mixing.BLOCK) for s in names}
+    amount = {s: min(2 * n[s], math.floor(targets[s] * n[s] / sizes[s] + 0.5)) for s in names}
+    total, begin, shards, blocks = sum(amount.values()), 0, Counter(), Counter()
+    for no, s in enumerate(names):
+        for q in range(amount[s]):
+            shards[slow_permuted(begin + q, total, (7, "i")) // 8, s] += 1
+            blocks[s, slow_permuted(q % n[s], n[s], (7, "i"), (no, "i"), (q // n[s], "l"))] += 1
+        begin += amount[s]
+    expected = Counter()
+    for s in names:
+        off = 0
+        own = [(spark_hash((i, "l"), (t, "s"), (7, "i")), i, len(t.split())) for i, t, x in rows if x == s]
+        for _, i, size in sorted(own, key=lambda r: (r[0] % 64, r[0])):
+            expected[i, size, sum(blocks[s, at // mixing.BLOCK] for at in range(off, off + size))] += 1
+            off += size
+    assert found == expected
+    work = Workspace(spark, "t")
+    table = mixing.source_targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long"))
+    drawn = mixing.slots(work.save("sources", table), per_shard=8).groupBy("shard", "source_no").count()
+    assert {(r["shard"], names[r["source_no"]]): r["count"] for r in rows_of(drawn)} == dict(shards)
+    assert max(sum(c for (x, _), c in shards.items() if x == y) for y in {x for x, _ in shards}) == 8
+
+
 def test_mix_of_awkward_rows(spark):
     docs = documents(spark)
     found = rows_of(mixing.mix_amounts(docs))
