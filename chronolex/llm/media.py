@@ -25,7 +25,9 @@ PITCHES, LONGEST, STEP, SILENCE = 12, 16, 0.05, 1e-3
 #: (kind, lowest pitch, pitches, frames) of each filter; kinds: 0 against all pitches, 1 high against low, 2 early against late, 3 crosswise.
 FILTERS = tuple((i % 4, (5 * i) % (PITCHES + 1 - h), h, w) for i in range(16) for h in ((4, 6, 12, 8)[i // 4],) for w in ((4, 8, 12, 16)[(i + i // 4) % 4],))
 GRAY = np.array([0, 1, 3, 2], np.uint32)
-LEAST_VOTES, LEAST_OVERLAP, MOST_ERROR = 2, 8, 0.25
+LEAST_VOTES, LEAST_OVERLAP, MOST_ERROR = 1, 8, 0.25
+#: Frames that the stand-in sound of a text fills at least: as many as a fingerprint of LEAST_OVERLAP integers needs.
+SPOKEN = LONGEST + FRAME // HOP + LEAST_OVERLAP
 
 
 def samples_of(media: bytes | None) -> np.ndarray:
@@ -103,17 +105,18 @@ def fingerprint(media: bytes | None) -> tuple[np.ndarray, np.ndarray]:
     return codes.view(np.int32), np.flatnonzero(new & sounds).astype(np.int32)
 
 
-def fingerprints(media: DataFrame, keys: list[str], column: str = "media") -> DataFrame:
-    """keys, codes, marks for each row; recordings that are null, unreadable or shorter than the longest filter have empty arrays."""
+def fingerprints(media: DataFrame, column: str = "media") -> DataFrame:
+    """The other columns, then _chronolex_codes and _chronolex_marks; recordings that are null, unreadable or shorter than the longest filter have empty arrays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [fingerprint(m.as_py()) for m in batch.column(batch.num_columns - 1)]
             arrays = [pa.array([m[k] for m in made], pa.list_(pa.int32())) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *arrays], [*keys, "codes", "marks"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *arrays], [*batch.schema.names[:-1], "_chronolex_codes", "_chronolex_marks"])
 
-    kinds = dict(media.dtypes)
-    return media.select(*keys, column).mapInArrow(run, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", codes array<int>, marks array<int>")
+    kinds = {c: k for c, k in media.dtypes if c != column}
+    rows = media.select(*[F.col(f"`{c}`") for c in kinds], F.col(f"`{column}`"))
+    return rows.mapInArrow(run, ", ".join([*(f"`{c}` {k}" for c, k in kinds.items()), "_chronolex_codes array<int>, _chronolex_marks array<int>"]))
 
 
 def _part(codes: Column, start: Column, n: Column) -> Column:
@@ -123,45 +126,52 @@ def _part(codes: Column, start: Column, n: Column) -> Column:
 def alignments(classes: DataFrame) -> DataFrame:
     """From (id, asks, codes, marks), one row for each distinct fingerprint: id, other, offset, votes, overlap, error.
 
-    For each id that asks, every other one with LEAST_VOTES marks at one offset whose bit error there is at most MOST_ERROR.
-    offset: frames by which the place in the other recording is later. Ties of votes go to the smaller distance, then offset.
+    For each id that asks, every other one that shares LEAST_VOTES marks at one offset and whose bit error at the offset with most
+    votes is at most MOST_ERROR. offset: frames by which the place in the other recording is later. Ties of votes go to the
+    smaller error, then distance, then offset.
     """
     marks = classes.select("id", "asks", F.explode("marks").alias("at"), "codes").select("id", "asks", "at", F.element_at("codes", F.col("at") + 1).alias("code"))
     ask = marks.filter("asks").select("id", F.col("at").alias("own"), "code")
     votes = ask.join(marks.select(F.col("id").alias("other"), "at", "code"), "code").filter("id != other")
     votes = votes.groupBy("id", "other", (F.col("at") - F.col("own")).alias("offset")).agg(F.count(F.lit(1)).alias("votes")).filter(F.col("votes") >= LEAST_VOTES)
-    best = votes.groupBy("id", "other").agg(F.max(F.struct("votes", -F.abs("offset"), -F.col("offset"))).alias("best"))
-    best = best.select("id", "other", F.col("best.votes").alias("votes"), (-F.col("best.col3")).alias("offset"))
-    best = best.join(classes.select("id", F.col("codes").alias("mine")), "id").join(classes.select(F.col("id").alias("other"), "codes"), "other")
+    best = votes.withColumn("most", F.max("votes").over(Window.partitionBy("id", "other"))).filter("votes = most").drop("most")
+    best = best.join(classes.select("id", F.col("codes").alias("mine")).hint("merge"), "id").join(classes.select(F.col("id").alias("other"), "codes").hint("merge"), "other")
     skip, late = F.greatest(F.lit(0), -F.col("offset")), F.greatest(F.lit(0), F.col("offset"))
-    best = best.withColumn("overlap", F.least(F.size("mine") - skip, F.size("codes") - late))
+    best = best.withColumn("overlap", F.least(F.size("mine") - skip, F.size("codes") - late)).filter(F.col("overlap") >= LEAST_OVERLAP)
     bits = F.zip_with(_part(F.col("mine"), skip, F.col("overlap")), _part(F.col("codes"), late, F.col("overlap")), lambda a, b: F.bit_count(a.bitwiseXOR(b).cast("long").bitwiseAND(F.lit(0xFFFFFFFF))))
-    best = best.withColumn("error", F.aggregate(bits, F.lit(0), lambda s, b: s + b) / (32 * F.col("overlap")))
-    return best.filter((F.col("overlap") >= LEAST_OVERLAP) & (F.col("error") <= MOST_ERROR)).select("id", "other", "offset", "votes", "overlap", "error")
+    best = best.withColumn("error", F.aggregate(bits, F.lit(0), lambda s, b: s + b) / (32 * F.col("overlap"))).filter(F.col("error") <= MOST_ERROR)
+    order = F.struct("error", F.abs("offset").alias("distance"), "offset", "votes", "overlap")
+    return best.groupBy("id", "other").agg(F.min(order).alias("b")).select("id", "other", "b.offset", "b.votes", "b.overlap", "b.error")
 
 
 def match_recordings(media: DataFrame, keys: list[str], asks: Column, column: str = "media") -> DataFrame:
     """One row for each row of ``media``: the keys, n_codes, class_id, class_size, asks, n_matches, best_class, offset, votes, bit_error.
 
-    Recordings with equal fingerprints are one class; its id is a hash of the fingerprint. Classes with a recording that
+    Recordings with equal fingerprints are one class; its id is the SHA-256 of the fingerprint. Classes with a recording that
     asks are aligned with all other classes; n_matches counts those that match, best_class has the least bit error (then
-    most votes, then smallest id), null where none matches or nobody asks. Recordings without a fingerprint are one class
-    that matches nothing. Repeated rows and null keys come out as they are; ``asks`` null counts as false.
+    most votes, then smallest id), null where none matches or nobody asks. A recording without a fingerprint has a null
+    class_id, is alone and matches nothing. Repeated rows and null keys come out as they are; ``asks`` null counts as false; an
+    empty table gives an empty result. A key named as a column of the result is called ``key_`` and its name.
     """
     work = Workspace(media.sparkSession, "media")
-    rows = fingerprints(media.withColumn("_asks", F.coalesce(asks, F.lit(False))), [*keys, "_asks"], column)
-    rows = work.save("prints", rows.withColumn("class_id", F.xxhash64("codes")))
-    classes = rows.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"), F.max("_asks").alias("asks"), F.first("codes").alias("codes"), F.first("marks").alias("marks"))
+    made = ("n_codes", "class_id", "class_size", "asks", "n_matches", "best_class", "offset", "votes", "bit_error")
+    names = {c: f"_chronolex_key_{i}" for i, c in enumerate(keys)}
+    own = media.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()], F.coalesce(asks, F.lit(False)).alias("_chronolex_asks"), F.col(f"`{column}`").alias("_chronolex_media"))
+    rows = fingerprints(own, "_chronolex_media").withColumnsRenamed({"_chronolex_codes": "codes", "_chronolex_marks": "marks", "_chronolex_asks": "asks"})
+    name = F.when(F.size("codes") > 0, F.sha2(F.array_join(F.transform("codes", lambda c: F.hex(c.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))), ","), 256))
+    rows = work.save("prints", rows.withColumn("class_id", name))
+    classes = rows.filter("class_id is not null").groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"), F.max("asks").alias("asks"), F.first("codes").alias("codes"), F.first("marks").alias("marks"))
     classes = work.save("classes", classes)
     found = alignments(classes.select(F.col("class_id").alias("id"), "asks", "codes", "marks"))
-    order = F.struct("error", -F.col("votes"), "other", "offset", "votes")
+    order = F.struct("error", (-F.col("votes")).alias("least_votes"), "other", "offset", "votes")
     summary = work.save("matches", found.groupBy("id").agg(F.count(F.lit(1)).alias("n_matches"), F.min(order).alias("best")))
     per_class = classes.select("class_id", "class_size").join(summary.withColumnRenamed("id", "class_id"), "class_id", "left")
-    out = rows.select(*keys, F.col("_asks").alias("asks"), F.size("codes").alias("n_codes"), "class_id").join(per_class, "class_id")
+    out = rows.select(*names.values(), "asks", F.size("codes").alias("n_codes"), "class_id").join(per_class, "class_id", "left")
     mine = lambda c: F.when(F.col("asks"), c)
     return out.select(
-        *keys, "n_codes", "class_id", "class_size", "asks", mine(F.coalesce("n_matches", F.lit(0))).alias("n_matches"), mine(F.col("best.other")).alias("best_class"),
-        mine(F.col("best.offset")).alias("offset"), mine(F.col("best.votes")).alias("votes"), mine(F.col("best.error")).alias("bit_error"),
+        *[F.col(n).alias(f"key_{c}" if c in made else c) for c, n in names.items()],
+        "n_codes", "class_id", F.coalesce("class_size", F.lit(1)).alias("class_size"), "asks", mine(F.coalesce("n_matches", F.lit(0))).alias("n_matches"),
+        mine(F.col("best.other")).alias("best_class"), mine(F.col("best.offset")).alias("offset"), mine(F.col("best.votes")).alias("votes"), mine(F.col("best.error")).alias("bit_error"),
     )
 
 
@@ -184,7 +194,8 @@ def wav(samples: np.ndarray, rate: int = RATE) -> bytes:
 
 
 def voiced(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """keys, media: a stand-in recording of each text, two tones for each word. Null and empty texts have a recording without samples."""
+    """keys, media: a stand-in recording of each text, two tones for each word, or as many times them as SPOKEN frames take, so that
+    short texts have a fingerprint too. Null and empty texts have a recording without samples."""
     words = F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
     notes = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(576)).cast("int"))
 
@@ -194,6 +205,7 @@ def voiced(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
                 batch, sound = whole.slice(at, 64), []
                 for row in batch.column(batch.num_columns - 1):
                     notes = np.array(row.values, np.int64)
+                    notes = np.repeat(notes, max(1, -(-SPOKEN // max(1, len(notes)))))
                     sound.append(wav(_chords()[notes // 24, notes % 24].ravel()))
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sound, pa.binary())], [*keys, "media"])
 
