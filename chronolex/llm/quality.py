@@ -82,10 +82,11 @@ class Ordinal:
         return self.tails(score).sum(axis=1)
 
 
-def fit(rows: list[np.ndarray], ratings: np.ndarray, grades: int = GRADES) -> Ordinal:
-    """Adam steps on the mean log loss with a ridge. Features in under LEAST_ROWS rows, or whose rows' ratings together lie
-    less than LEAST_Z standard errors from the mean, get no weight: neutral words must not add up in long texts. No weight
-    is above zero: features can only lower a grade, so good words don't make up for a bad one.
+def fit(rows: list[np.ndarray], ratings: np.ndarray, grades: int = GRADES, least_rows: int = LEAST_ROWS, least_z: float = LEAST_Z, most_weight: float = 0.0) -> Ordinal:
+    """Adam steps on the mean log loss with a ridge. Features in under ``least_rows`` rows, or whose rows' ratings together lie
+    less than ``least_z`` standard errors from the mean, get no weight: neutral words must not add up in long texts. No weight
+    is above ``most_weight``: at zero, features can only lower a grade, so good words don't make up for a bad one; at infinity
+    the regression is unrestricted.
 
     Without rows the thresholds are minus infinity: everything passes.
     """
@@ -100,7 +101,7 @@ def fit(rows: list[np.ndarray], ratings: np.ndarray, grades: int = GRADES) -> Or
         seen += np.bincount(slots, minlength=DIM)
         pull += np.bincount(slots, off, DIM)
         spread += np.bincount(slots, off**2, DIM)
-    often = (seen >= LEAST_ROWS) & (np.abs(pull) >= LEAST_Z * np.sqrt(np.maximum(spread, 1e-9)))
+    often = (seen >= least_rows) & (np.abs(pull) >= least_z * np.sqrt(np.maximum(spread, 1e-9)))
     kept = [r[often[r]] for r in rows]
     owner = np.repeat(np.arange(len(rows)), [len(k) for k in kept])
     used, column = np.unique(np.concatenate(kept), return_inverse=True)
@@ -128,7 +129,7 @@ def fit(rows: list[np.ndarray], ratings: np.ndarray, grades: int = GRADES) -> Or
         grad = np.concatenate([np.bincount(column, by_score[owner], k) + RIDGE * theta[:k], [by_cut.sum()], gaps * np.cumsum(by_cut[::-1])[::-1][1:]])
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         theta -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        np.minimum(theta[:k], 0, out=theta[:k])
+        np.minimum(theta[:k], most_weight, out=theta[:k])
     weights = np.zeros(DIM, np.float32)
     weights[used] = theta[:k]
     return Ordinal(weights, theta[k] + np.r_[0, np.cumsum(np.exp(theta[k + 1 :]))])
@@ -137,13 +138,15 @@ def fit(rows: list[np.ndarray], ratings: np.ndarray, grades: int = GRADES) -> Or
 def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, text, rating of at most ``sample`` labelled documents: 0 toxic, 1 poor, 2 good.
 
-    Labels with a null are left out; of several labels of one document the least rating counts.
+    Labels with a null are left out; of several labels of one document the least rating counts, and of several rows of
+    ``docs`` with one doc_id the first text in order, so that no more than ``sample`` rows come out.
     """
     rating = F.when(F.col("toxic") > 0, 0).when(F.col("quality") > 0, GRADES - 1).otherwise(1).alias("rating")
     rows = labels.filter("doc_id is not null and quality is not null and toxic is not null").select("doc_id", rating)
     rows = rows.groupBy("doc_id").agg(F.min("rating").alias("rating"))
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    return docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id")
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(rows), "doc_id")
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("rating").alias("rating"))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal:
@@ -181,7 +184,10 @@ def score(docs: DataFrame, model: Ordinal, least: float = 0.5) -> DataFrame:
 
 
 def rate(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, expected_grade (0 to 2), tail_probability, kept. Reads doc_id and text."""
+    """One row for each row of ``docs``: doc_id, expected_grade (0 to 2), tail_probability, kept. Reads doc_id and text.
+
+    Null texts count as empty, null doc_ids and repeated rows are rated like others; without labels all are kept.
+    """
     scored = score(docs.select("doc_id", "text"), train(docs, labels))
     return scored.select("doc_id", F.col("_chronolex_expected").alias("expected_grade"), F.col("_chronolex_tail").alias("tail_probability"), F.col("_chronolex_kept").alias("kept"))
 
