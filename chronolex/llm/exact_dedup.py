@@ -12,7 +12,7 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -49,9 +49,19 @@ def frequent_digests(rows: DataFrame, counters: int = COUNTERS) -> DataFrame:
     return partial.groupBy("digest").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "digest").limit(counters).select("digest")
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """doc_id, digest (SHA-256 of the text, white space squeezed; null counts as empty)."""
-    return docs.select("doc_id", F.unhex(F.sha2(squeeze_spaces(text_or_empty()), 256)).alias("digest"))
+def _digest() -> Column:
+    return F.unhex(F.sha2(squeeze_spaces(text_or_empty()), 256))
+
+
+def _winners(rows: DataFrame, work: Workspace, counters: int, first: Column) -> DataFrame:
+    """digest, first and group_size of the frequent digests, at most ``counters`` rows, from (digest, doc_id, tie)."""
+    frequent = frequent_digests(rows, counters)
+    heavy = rows.join(F.broadcast(frequent), "digest").groupBy("digest").agg(first.alias("first"), F.count(F.lit(1)).alias("group_size"))
+    return F.broadcast(work.save("winners", heavy))
+
+
+def _first(doc_id: str = "doc_id", tie: str = "tie") -> Column:
+    return F.min(F.struct(F.col(doc_id).isNull().alias("last"), F.col(doc_id).alias("doc_id"), F.col(tie).alias("tie")))
 
 
 def duplicate_groups(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
@@ -62,14 +72,11 @@ def duplicate_groups(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
     table gives an empty result.
     """
     work = Workspace(docs.sparkSession, "exact")
-    rows = work.save("digests", digests(docs).withColumn("tie", F.monotonically_increasing_id()))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tie"))
-    frequent = frequent_digests(rows, counters)
-    heavy = rows.join(F.broadcast(frequent), "digest").groupBy("digest").agg(first.alias("first"), F.count(F.lit(1)).alias("group_size"))
-    heavy = F.broadcast(work.save("winners", heavy))
+    rows = work.save("digests", docs.select("doc_id", _digest().alias("digest")).withColumn("tie", F.monotonically_increasing_id()))
+    heavy = _winners(rows, work, counters, _first())
     large = rows.join(heavy, "digest")
     same = Window.partitionBy("digest")
-    small = rows.join(heavy, "digest", "left_anti").select("*", first.over(same).alias("first"), F.count(F.lit(1)).over(same).alias("group_size"))
+    small = rows.join(heavy, "digest", "left_anti").select("*", _first().over(same).alias("first"), F.count(F.lit(1)).over(same).alias("group_size"))
     return large.unionByName(small).select(
         "doc_id", F.col("first.doc_id").alias("keep_id"), F.col("group_size").cast("long"),
         (F.col("tie") == F.col("first.tie")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"),
@@ -77,11 +84,17 @@ def duplicate_groups(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; texts are shuffled once."""
-    groups = duplicate_groups(docs, counters)
-    kept = groups.filter("kept").select(F.col("doc_id").alias("_chronolex_keep"), F.unhex("text_sha256").alias("_chronolex_sha"))
-    own = docs.withColumn("_chronolex_digest", F.unhex(F.sha2(squeeze_spaces(text_or_empty()), 256)))
-    stay = own.join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_chronolex_keep")) & (F.col("_chronolex_digest") == F.col("_chronolex_sha")), "left_semi")
-    if not groups.groupBy("doc_id", "text_sha256").count().filter("count > 1").isEmpty():
-        stay = stay.dropDuplicates(["doc_id", "_chronolex_digest"])
-    return stay.select(*docs.columns)
+    """The rows of ``docs`` that stay, with all their columns: of equal texts the one that ``duplicate_groups`` keeps.
+
+    Copies of frequent texts go where they are read, against the broadcast winners; the texts of all others are shuffled once,
+    by their digest, of which each task sends on only its first. Nulls, ties and repeated rows as in ``duplicate_groups``;
+    columns may have any name but those that begin with _chronolex.
+    """
+    work = Workspace(docs.sparkSession, "exact")
+    own = work.save("own", docs.withColumn("_chronolex_digest", _digest()).withColumn("_chronolex_tie", F.monotonically_increasing_id()))
+    rows = own.select("doc_id", F.col("_chronolex_digest").alias("digest"), F.col("_chronolex_tie").alias("tie"))
+    winners = _winners(rows, work, counters, _first()).select(F.col("digest").alias("_chronolex_digest"), F.col("first.tie").alias("_chronolex_first"))
+    large = own.join(F.broadcast(winners), "_chronolex_digest").filter("_chronolex_tie = _chronolex_first").select(*docs.columns)
+    place = F.row_number().over(Window.partitionBy("_chronolex_digest").orderBy(F.col("doc_id").asc_nulls_last(), "_chronolex_tie"))
+    small = own.join(F.broadcast(winners), "_chronolex_digest", "left_anti").withColumn("_chronolex_place", place).filter("_chronolex_place = 1")
+    return large.union(small.select(*docs.columns))
