@@ -29,6 +29,8 @@ MEMO = 400_000
 LATIN_END = "\u0370"
 #: Texts of other scripts are cut into parts of about so many characters, at spaces between words, where the pattern always splits.
 PART = 1 << 16
+# Fixed value: the split pattern that both shortcuts are exact for.
+KNOWN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def byte_characters() -> dict[int, str]:
@@ -69,9 +71,14 @@ def narrowed(pattern: str) -> re.Pattern:
 
 
 class ByteBPE:
-    """Encoder and decoder of one rank file."""
+    """Encoder and decoder of one rank file.
+
+    ``shortcuts``: split texts below LATIN_END by the written-out pattern and cut long texts of other scripts into parts. Both
+    hold for patterns that only join a single leading space to what follows, as KNOWN does, so they are off for any other.
+    """
 
     def __init__(self, path: str, pattern: str, memo: int = MEMO):
+        self.shortcuts = pattern == KNOWN
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
@@ -99,6 +106,8 @@ class ByteBPE:
     def encode(self, text: str) -> list[int]:
         if not text:
             return []
+        if not self.shortcuts:
+            return self.whole.encode(text, add_special_tokens=False).ids
         if max(text) >= LATIN_END:
             return list(chain.from_iterable(self.whole.encode(part, add_special_tokens=False).ids for part in parts(text)))
         pieces = self.find(text)
@@ -150,17 +159,22 @@ def coder(path: str, pattern: str) -> ByteBPE:
 
 
 def encode_texts(docs: DataFrame, path: str, pattern: str, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, ids (array of int), starts (byte offset of each token) for each row; null text counts as empty."""
+    """key, ids (array of int), starts (byte offset of each token) for each row; a key of one of these names is called ``key_`` and its name.
+
+    Null and empty texts have no tokens, null keys and repeated rows come out as they are, an empty table gives an empty result.
+    A text is encoded whole, one at a time, however long.
+    """
+    name = f"key_{key}" if key in ("ids", "starts") else key
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(path, pattern)
         for batch in batches:
             for i in range(batch.num_rows):
                 ids = bpe.encode(batch.column(1)[i].as_py() or "")
-                yield pa.RecordBatch.from_arrays([batch.column(0)[i : i + 1], pa.array([ids], pa.list_(pa.int32())), pa.array([bpe.offsets(ids)], pa.list_(pa.int64()))], [key, "ids", "starts"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i : i + 1], pa.array([ids], pa.list_(pa.int32())), pa.array([bpe.offsets(ids)], pa.list_(pa.int64()))], [name, "ids", "starts"])
 
     kind = dict(docs.dtypes)[key]
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, ids array<int>, starts array<bigint>")
+    return docs.select(F.col(f"`{key}`").alias(name), F.col(f"`{text}`").alias("_chronolex_text")).mapInArrow(run, f"`{name}` {kind}, ids array<int>, starts array<bigint>")
 
 
 def decode_ids(coded: DataFrame, path: str, pattern: str, *, key: str = "doc_id") -> DataFrame:
@@ -177,7 +191,12 @@ def decode_ids(coded: DataFrame, path: str, pattern: str, *, key: str = "doc_id"
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 for each row: ids and decoded bytes are digested where they are made."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 for each row: ids and decoded bytes are digested where they are made.
+
+    Null and empty texts have no tokens and the digests of the empty string. Null doc_ids and repeated rows come out as they
+    are; an empty table gives an empty result. Only doc_id and text are read, so other columns may have any name. A text is
+    encoded whole, one at a time, so memory holds the longest one and its ids.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(path, pattern)

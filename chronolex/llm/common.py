@@ -27,11 +27,13 @@ def bound_batches(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder the cluster names in spark.checkpoint.dir; a temporary one only where that is unset and all runs on one machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="chronolex-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -43,6 +45,7 @@ class Workspace:
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+        self.names: set[str] = set()
 
     def save(self, name: str, frame: DataFrame) -> DataFrame:
         """Write a table; the shuffle files that made it go at once, as nothing else reads them."""
@@ -52,13 +55,28 @@ class Workspace:
             frame.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/{name}")
         finally:
             self.spark.conf.set(CLEAN, held)
+        self.names.add(name)
         return self.load(name, frame)
 
     def load(self, name: str, like: DataFrame) -> DataFrame:
         return self.spark.read.schema(like.schema).parquet(f"{self.root}/{name}")
 
     def drop(self, name: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        self._remove(f"{self.root}/{name}")
+        self.names.discard(name)
+
+    def only(self, *kept: str) -> None:
+        """Remove all tables but these, which the result still reads."""
+        for name in sorted(self.names - set(kept)):
+            self.drop(name)
+
+    def close(self) -> None:
+        """Remove the whole workspace; for callers that have written the result elsewhere."""
+        self._remove(self.root)
+        self.names.clear()
+
+    def _remove(self, place: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(place)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

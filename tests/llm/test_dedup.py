@@ -61,6 +61,21 @@ def test_exact_stage_keeps_one_row_with_all_columns(spark):
     assert len(texts) == len(set(texts)) == len({re.sub(r"[\x20\x09-\x0D]+", " ", r["text"] or "") for r in rows_of(docs)})
 
 
+@pytest.mark.parametrize("counters", [1, 1000])
+def test_exact_stage_against_brute_force(spark, counters):
+    docs = documents(spark)
+    norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
+    best = {}
+    for r in rows_of(docs):
+        best[norm(r["text"])] = min(best.get(norm(r["text"]), float("inf")), order(r["doc_id"]))
+    kept = rows_of(exact_dedup.drop_copies(docs, counters))
+    assert Counter((norm(r["text"]), order(r["doc_id"])) for r in kept) == Counter(best.items())
+    rows = [(None, "a"), (None, "b"), (None, "a"), (5, "c"), (5, "d"), (5, "c"), (7, "a")]
+    kept = exact_dedup.drop_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), counters)
+    assert Counter(map(tuple, kept.collect())) == Counter([(7, "a"), (None, "b"), (5, "c"), (5, "d")])
+    assert exact_dedup.drop_copies(empty(spark)).count() == 0
+
+
 # --- near -------------------------------------------------------------------------------------------------------------
 
 

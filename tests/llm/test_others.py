@@ -49,6 +49,10 @@ def test_random_texts(coders):
         text = "".join(rng.choice(bits[: 16 if k % 2 else None]) for _ in range(rng.randint(0, 40)))
         ids = own.encode(text)
         assert ids == other.encode_ordinary(text) and own.decode(ids) == text.encode()
+    assert own.shortcuts and PATTERN == bpe.KNOWN
+    words = bpe.ByteBPE(PATH, r"\p{L}+|\P{L}+")
+    theirs = tiktoken.Encoding("words", pat_str=r"\p{L}+|\P{L}+", mergeable_ranks=bpe.read_ranks(PATH), special_tokens={})
+    assert not words.shortcuts and all(words.encode(t) == theirs.encode_ordinary(t) for t in ("a b  c", "é1 _x", "漢字 a" * 20_000))
     long = " ".join(rng.choice(["漢字", "かな", "abc", " ", "\n", "한글"]) for _ in range(70_000))
     assert len(list(bpe.parts(long))) > 1 and own.encode(long) == other.encode_ordinary(long)
 
@@ -65,6 +69,8 @@ def test_round_trip_and_offsets(spark, coders):
     row, back = coded.first(), bpe.decode_ids(coded, PATH, PATTERN).first()
     assert bytes(back.text_bytes).decode() == docs.filter("doc_id = 3").first().text
     assert row.starts[0] == 0 and len(row.starts) == len(row.ids)
+    clash = bpe.encode_texts(docs.select(F.col("doc_id").alias("ids"), "text"), PATH, PATTERN, key="ids")
+    assert clash.columns == ["key_ids", "ids", "starts"] and clash.count() == docs.count()
     assert bpe.round_trip(empty(spark), PATH, PATTERN).count() == 0
 
 
@@ -233,6 +239,42 @@ def test_ordinal_regression_on_held_out_rows():
     assert np.corrcoef(model.expected(score), truth)[0, 1] > 0.8
 
 
+def test_fit_is_the_best_of_all_weights():
+    """The likelihood is concave: no random step from the fitted weights and thresholds, nor any plain search, does better."""
+    rng = random.Random(7)
+    rows, ratings = [], []
+    for _ in range(300):
+        own = sorted(rng.sample(range(4), rng.randint(0, 4)))
+        score = 1.5 - 2.0 * (0 in own) - 0.7 * (1 in own) + 1.2 * (2 in own) + math.log(1 / rng.uniform(1e-9, 1 - 1e-9) - 1)
+        rows.append(np.array(own, np.int32))
+        ratings.append((score > 0) + (score > 2))
+
+    def loss(weights, cuts):
+        total = 0.0
+        for own, k in zip(rows, ratings, strict=True):
+            s = sum(weights[i] for i in own)
+            above = [1.0, *(1 / (1 + math.exp(-(s - c))) for c in cuts), 0.0]
+            total -= math.log(max(above[k] - above[k + 1], 1e-12))
+        return total / len(rows)
+
+    for most in (0.0, math.inf):
+        model = quality.fit(rows, np.array(ratings), least_rows=1, least_z=0.0, most_weight=most)
+        weights, cuts = [float(w) for w in model.weights[:4]], [float(c) for c in model.thresholds]
+        own = loss(weights, cuts)
+        for _ in range(400):
+            step = rng.choice([0.02, 0.1, 0.5, 2])
+            w, c = [min(most, x + rng.gauss(0, step)) for x in weights], sorted(x + rng.gauss(0, step) for x in cuts)
+            assert loss(w, c) >= own - 2e-4
+        assert all(w <= most for w in weights) and (most > 0 or weights[2] == 0)
+
+
+def test_sample_is_bounded_by_rows(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(2, None), (3, "c"), (None, "d")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (2, 1, 0), (3, 1, 1)], "doc_id long, quality int, toxic int")
+    assert Counter((r["doc_id"], r["text"], r["rating"]) for r in rows_of(quality.labelled(docs, labels))) == Counter([(1, "text 0", 1), (2, "", 2), (3, "c", 0)])
+    assert quality.labelled(docs, labels, 1).count() == 1
+
+
 def test_quality_of_awkward_rows(spark):
     docs = documents(spark)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
@@ -411,6 +453,47 @@ def test_recordings_align(spark):
         assert (r["n_matches"], r["best_class"], r["offset"]) == (1, found[i * 50 + 1]["class_id"], 20) and r["bit_error"] < 0.1
     assert found[1]["class_size"] == 2 and found[7]["class_id"] == found[1]["class_id"]
     assert all(found[i]["n_matches"] == 0 and found[i]["best_class"] is None for i in (5000, 5050, 5100, 5150))
+    assert all((found[i]["class_id"], found[i]["class_size"]) == (None, 1) for i in (5050, 5100, None))
+
+
+def test_alignments_against_all_offsets(spark):
+    """Noisy excerpts: every offset of every pair is tried, and all pairs that match so must be found at that offset."""
+    rng = np.random.default_rng(3)
+    sound = lambda n: media._chords()[rng.integers(0, 24, n), rng.integers(0, 24, n)].ravel().astype(float)
+    base = [sound(80) for _ in range(12)]
+    clips = list(base)
+    for _ in range(40):
+        x, at, n = base[rng.integers(12)], int(rng.integers(0, 40)), int(rng.integers(30, 40))
+        clips.append(x[media.HOP * at : media.HOP * (at + n)] * rng.uniform(0.3, 1) + rng.normal(0, rng.uniform(0, 500), media.HOP * n))
+    prints = [media.fingerprint(media.wav(c)) for c in clips]
+    expected = {}
+    for a, (x, _) in enumerate(prints):
+        for b, (y, _) in enumerate(prints):
+            if a != b:
+                errors = []
+                for off in range(-len(x) + 8, len(y) - 7):
+                    p, q = x[max(0, -off) :], y[max(0, off) :]
+                    n = min(len(p), len(q))
+                    errors.append((np.bitwise_count((p[:n] ^ q[:n]).view(np.uint32)).sum() / (32 * n), off))
+                if errors and min(errors)[0] <= 0.15:
+                    expected[a, b] = min(errors)[1]
+    rows = [(i, True, codes.tolist(), marks.tolist()) for i, (codes, marks) in enumerate(prints)]
+    found = {(r["id"], r["other"]): r for r in rows_of(media.alignments(spark.createDataFrame(rows, "id long, asks boolean, codes array<int>, marks array<int>")))}
+    right = [p for p, off in expected.items() if p in found and found[p]["offset"] == off]
+    print("recall", len(right) / len(expected), len(expected))
+    assert len(expected) > 100 and len(right) >= 0.9 * len(expected)
+    for (a, b), r in found.items():
+        x, y, off = prints[a][0], prints[b][0], r["offset"]
+        p, q = x[max(0, -off) :], y[max(0, off) :]
+        n = min(len(p), len(q))
+        assert (r["overlap"], round(r["error"], 9)) == (n, round(np.bitwise_count((p[:n] ^ q[:n]).view(np.uint32)).sum() / (32 * n), 9))
+
+
+def test_media_of_awkward_rows(spark):
+    turns = spark.createDataFrame([(1, "two words", "x"), (1, "two words", "x"), (2, "two words", None), (3, None, "x"), (None, "", "x"), (4, "other", "x")], "votes long, text string, codes string")
+    found = rows_of(media.match_recordings(media.voiced(turns, ["votes", "codes"]), ["votes", "codes"], F.col("votes") % 2 == 0))
+    assert Counter((r["key_votes"], r["codes"], r["class_size"], r["n_matches"]) for r in found) == Counter([(1, "x", 3, None)] * 2 + [(2, None, 3, 0), (3, "x", 1, None), (None, "x", 1, None), (4, "x", 1, 0)])
+    assert media.match_recordings(media.voiced(turns.limit(0), ["votes"]), ["votes"], F.lit(True)).count() == 0
 
 
 # --- pipeline ---------------------------------------------------------------------------------------------------------
