@@ -101,7 +101,7 @@ class ByteBPE:
         back = {c: b for b, c in table.items()}
         self.bytes_of = {rank: bytes(map(back.__getitem__, text)) for text, rank in vocabulary.items()}
         self.digits_of = {rank: b"%d" % rank for rank in self.bytes_of}
-        self.find, self.memo, self.most = narrowed(pattern).findall, {}, memo
+        self.find, self.memo, self.most = narrowed(pattern).findall if self.shortcuts else None, {}, memo
 
     def encode(self, text: str) -> list[int]:
         if not text:
