@@ -24,7 +24,7 @@ DIM, LEAST_ROWS, LEAST_Z, STEPS, RATE, RIDGE = 1 << 20, 4, 3.0, 150, 0.2, 1e-6
 GRADES = 3
 PREFIXES = (4, 5, 6)
 #: Tokens whose slots a worker remembers.
-MEMO = 300_000
+MEMO = 100_000
 _EDGES = re.compile(r"^\W+|\W+$")
 _RUNS = re.compile(r"(.)\1+")
 
