@@ -6,14 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from chronolex.functions.text import author_key, first_date, grams, n_tokens, squeeze
+from chronolex.functions.text import STOPWORDS, author_key, barred, first_date, grams, n_tokens, squeeze
 
 RAKE, CHUNK, NGRAM = 1, 2, 4
-# Function words.
-STOPWORDS = frozenset(
-    "a an and are as at be been by can do for from has have he her his in into is it its of on or our she that the their there these they this those to was we were which who will with you".split()
-)
 NOUN, ADJ = ("NOUN", "PROPN"), ("ADJ",)
+# Tags that end a segment.
+BARRIERS = ("PUNCT", "SPACE", "SYM", "X")
 
 
 def drop_reason(records: DataFrame, wanted: list[str], cutoff: str) -> DataFrame:
@@ -51,57 +49,59 @@ def papers(records: DataFrame, wanted: list[str], cutoff: str, flags: dict[str,
     return out
 
 
-def segments(tagged: DataFrame, doc: str = "id") -> DataFrame:
-    """(doc, seg, i, lemma, pos): runs of tokens that no punctuation interrupts, from arrays lemmas and pos."""
-    rows = tagged.select(doc, F.posexplode(F.arrays_zip("lemmas", "pos")).alias("i", "t")).select(doc, "i", F.col("t.lemmas").alias("lemma"), F.col("t.pos").alias("pos"))
-    barrier = F.col("pos").isin("PUNCT", "SPACE", "SYM", "X") | ~F.col("lemma").rlike(r"[\p{L}\p{N}]")
-    run = F.sum(barrier.cast("int")).over(Window.partitionBy(doc).orderBy("i"))
-    return rows.withColumn("seg", run).filter(~barrier).select(doc, "seg", "i", "lemma", "pos")
+def _phrases(tagged: DataFrame, doc: str, token: Column) -> Column:
+    """The tokens as one string: each is ``token`` of its zipped (lemmas, pos), a line break where that is null."""
+    return F.array_join(F.transform(F.arrays_zip("lemmas", "pos"), token), " ", "\n")
 
 
-def _runs(rows: DataFrame, doc: str, broken: Column) -> DataFrame:
-    """Arrays of lemmas and pos of maximal runs in a segment without a broken token."""
-    w = Window.partitionBy(doc, "seg").orderBy("i")
-    rows = rows.withColumn("run", F.sum(broken.cast("int")).over(w)).filter(~broken)
-    return rows.groupBy(doc, "seg", "run").agg(F.sort_array(F.collect_list(F.struct("i", "lemma", "pos"))).alias("r")).select(doc, F.col("r.lemma").alias("words"), F.col("r.pos").alias("tags"))
+def _barrier(t: Column) -> Column:
+    return t["pos"].isin(*BARRIERS) | ~t["lemmas"].rlike(r"[\p{L}\p{N}]")
 
 
 def noun_chunks(tagged: DataFrame, most: int = 5, doc: str = "id") -> DataFrame:
-    """(doc, cand): maximal runs of adjectives and then nouns, and every suffix of them, of at most ``most`` tokens."""
-    rows = segments(tagged, doc)
-    w = Window.partitionBy(doc, "seg").orderBy("i")
-    noun, adj = F.col("pos").isin(*NOUN), F.col("pos").isin(*ADJ)
-    rows = rows.withColumn("before", F.lag("pos").over(w))
-    start = adj & F.coalesce(F.col("before").isin(*NOUN), F.lit(False))
-    cut = rows.withColumn("other", (~(noun | adj)).cast("int")).withColumn("begin", start.cast("int"))
-    cut = cut.withColumn("run", F.sum(F.col("other") + F.col("begin")).over(w)).filter("other = 0")
-    spans = cut.groupBy(doc, "seg", "run").agg(F.sort_array(F.collect_list(F.struct("i", "lemma", "pos"))).alias("r")).select(doc, F.col("r.lemma").alias("words"), F.col("r.pos").alias("tags"))
-    spans = spans.withColumn("words", F.slice("words", F.lit(1), F.size("words") - F.coalesce(F.array_position(F.transform(F.reverse("tags"), lambda t: t.isin(*NOUN)), True) - 1, F.lit(0)).cast("int")))
-    spans = spans.filter(F.exists("tags", lambda t: t.isin(*NOUN)))
-    suffixes = F.transform(F.sequence(F.lit(1), F.least(F.size("words"), F.lit(most))), lambda n: F.array_join(F.slice("words", -n, n), " "))
-    return spans.select(doc, F.explode(suffixes).alias("cand")).distinct()
+    """(doc, cand): maximal runs of adjectives and then nouns, and every suffix of them, of at most ``most`` tokens.
+
+    A document is read once, as a string of its tokens with their class; nothing is shuffled but what leaves it.
+    """
+    kind = lambda t: F.when(~t["lemmas"].rlike(r"[\p{L}\p{N}]"), None).when(t["pos"].isin(*NOUN), F.lit("/N")).when(t["pos"].isin(*ADJ), F.lit("/A"))
+    text = F.concat(_phrases(tagged, doc, lambda t: F.concat(t["lemmas"], kind(t))), F.lit(" "))
+    spans = F.transform(F.regexp_extract_all(text, F.lit(r"(?:[^ \n]+/A )*(?:[^ \n]+/N )+"), F.lit(0)), lambda s: F.split(F.rtrim(F.regexp_replace(s, "/[AN] ", " ")), " "))
+    suffixes = lambda w: F.transform(F.sequence(F.lit(1), F.least(F.size(w), F.lit(most))), lambda n: F.array_join(F.slice(w, -n, n), " "))
+    return tagged.select(doc, F.explode(F.array_distinct(F.flatten(F.transform(spans, suffixes)))).alias("cand"))
 
 
 def rake_phrases(tagged: DataFrame, stop: frozenset[str] = STOPWORDS, most: int = 5, doc: str = "id") -> DataFrame:
-    """(doc, cand): runs between stop words of at most ``most`` tokens. The phrases only; they aren't scored."""
-    runs = _runs(segments(tagged, doc), doc, F.col("lemma").isin(*sorted(stop)))
-    return runs.filter(F.size("words") <= most).select(doc, F.array_join("words", " ").alias("cand")).distinct()
+    """(doc, cand): runs between stop words and barriers of at most ``most`` tokens. The phrases only; they aren't scored."""
+    text = _phrases(tagged, doc, lambda t: F.when(~_barrier(t) & ~t["lemmas"].isin(*sorted(stop)), t["lemmas"]))
+    runs = F.filter(F.split(text, r" ?\n ?"), lambda r: (r != "") & (n_tokens(r) <= most))
+    return tagged.select(doc, F.explode(F.array_distinct(runs)).alias("cand"))
 
 
 def ngram_postings(words: DataFrame, sizes: tuple[int, ...] = (2, 3), keys: tuple[str, ...] = ("id", "v1_date")) -> DataFrame:
-    """(keys, cand) once a document: all n-grams of the array ``words``. Deduplicated within a document before any shuffle."""
-    every = F.array_distinct(F.concat(*[grams(F.col("words"), n) for n in sizes]))
-    return words.select(*keys, F.explode(every).alias("cand"))
+    """(keys, cand) once a document: all n-grams of the array ``words`` that hold a letter and no barrier."""
+    rows = words.select(*keys, barred(F.col("words")).alias("_w"))
+    every = F.array_compact(F.array_distinct(F.concat(*[grams(F.col("_w"), n) for n in sizes])))
+    return rows.select(*keys, F.explode(every).alias("cand")).filter(F.col("cand").rlike(r"\p{L}"))
 
 
-def nominations(extracted: dict[int, DataFrame]) -> DataFrame:
-    """(cand, src_mask): all extractors' candidates with OR-ed provenance; of one and of four and more tokens, with a letter."""
+def provenance(extracted: dict[int, DataFrame]) -> DataFrame:
+    """(cand, src_mask): all extractors' candidates that hold a letter, with OR-ed provenance."""
     every = None
     for mask, rows in extracted.items():
         one = rows.select("cand", F.lit(mask).alias("src_mask"))
         every = one if every is None else every.unionByName(one)
-    keep = F.col("cand").rlike(r"\p{L}") & ((n_tokens(F.col("cand")) == 1) | (n_tokens(F.col("cand")) >= 4))
-    return every.filter(keep).groupBy("cand").agg(F.bit_or("src_mask").alias("src_mask"))
+    return every.filter(F.col("cand").rlike(r"\p{L}")).groupBy("cand").agg(F.bit_or("src_mask").alias("src_mask"))
+
+
+def nominated(masks: DataFrame, sizes: tuple[int, int] = (2, 3)) -> DataFrame:
+    """The candidates of sizes that the n-grams don't cover; these are counted by a second pass."""
+    n = n_tokens(F.col("cand"))
+    return masks.filter((n < sizes[0]) | (n > sizes[1]))
+
+
+def nominations(extracted: dict[int, DataFrame]) -> DataFrame:
+    """(cand, src_mask): all extractors' candidates with OR-ed provenance; of one and of four and more tokens, with a letter."""
+    return nominated(provenance(extracted))
 
 
 def dictionary_postings(words: DataFrame, terms: DataFrame, sizes: tuple[int, ...], keys: tuple[str, ...] = ("id", "v1_date")) -> DataFrame:
@@ -109,15 +109,24 @@ def dictionary_postings(words: DataFrame, terms: DataFrame, sizes: tuple[int, ..
     return ngram_postings(words, sizes, keys).join(terms.select("cand"), "cand", "left_semi").select(*keys, "cand")
 
 
+def postings(words: DataFrame, masks: DataFrame, most: int = 5, sizes: tuple[int, int] = (2, 3), keys: tuple[str, ...] = ("id", "v1_date")) -> DataFrame:
+    """(keys, cand, own_mask) of both passes: every n-gram of ``sizes``, and where the nominated candidates of other sizes occur."""
+    first = ngram_postings(words, tuple(range(sizes[0], sizes[1] + 1)), keys).withColumn("own_mask", F.lit(NGRAM))
+    others = tuple(n for n in range(1, most + 1) if not sizes[0] <= n <= sizes[1])
+    second = dictionary_postings(words, nominated(masks, sizes), others, keys).withColumn("own_mask", F.lit(0))
+    return first.unionByName(second)
+
+
 def ledger(postings: DataFrame, masks: DataFrame | None = None) -> DataFrame:
-    """cand, df, first_date, first_paper_id, n_tokens, src_mask from (id, v1_date, cand). Ties of dates go to the smaller id."""
-    first = F.min(F.struct("v1_date", "id"))
-    own = F.lit(NGRAM).alias("own_mask")
-    total = postings.groupBy("cand").agg(F.count(F.lit(1)).alias("df"), first.alias("first"))
-    out = total.select("cand", "df", F.col("first.v1_date").alias("first_date"), F.col("first.id").alias("first_paper_id"), n_tokens(F.col("cand")).cast("int").alias("n_tokens"), own)
-    if masks is None:
-        return out.withColumnRenamed("own_mask", "src_mask")
-    return out.join(masks, "cand", "left").select("cand", "df", "first_date", "first_paper_id", "n_tokens", F.col("own_mask").bitwiseOR(F.coalesce("src_mask", F.lit(0))).alias("src_mask"))
+    """cand, df, first_date, first_paper_id, n_tokens, src_mask from (id, v1_date, cand) and own_mask, which is NGRAM if it is not given.
+
+    masks: (cand, src_mask) of the extractors. Ties of dates go to the smaller id.
+    """
+    own = F.max("own_mask") if "own_mask" in postings.columns else F.lit(NGRAM)
+    total = postings.groupBy("cand").agg(F.count(F.lit(1)).alias("df"), F.min(F.struct("v1_date", "id")).alias("first"), own.alias("own_mask"))
+    if masks is not None:
+        total = total.join(masks.select("cand", "src_mask"), "cand", "left").withColumn("own_mask", F.col("own_mask").bitwiseOR(F.coalesce("src_mask", F.lit(0))))
+    return total.select("cand", "df", F.col("first.v1_date").alias("first_date"), F.col("first.id").alias("first_paper_id"), n_tokens(F.col("cand")).cast("int").alias("n_tokens"), F.col("own_mask").alias("src_mask"))
 
 
 def ledger_yearly(postings: DataFrame) -> DataFrame:

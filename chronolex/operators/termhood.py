@@ -5,23 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronolex.functions.text import n_tokens
-from chronolex.operators.corpus import STOPWORDS
+from chronolex.functions.text import STOPWORDS, n_tokens
 
-# Ordinals, and head words too general to name anything alone.
-ORDINAL = r"(?i)^(first|second|third|fourth|fifth|sixth|seventh|eighth|ninth|tenth|last|next|[0-9]+(st|nd|rd|th))$"
-GENERIC = frozenset("approach method model system technique task problem result work paper study way case set number example experiment performance".split())
+# Ordinals at the head of a name, tags of a predicate, and words too general to name anything alone.
+ORDINAL = r"(?i)^([0-9]+(st|nd|rd|th)|first|second|third|fourth|fifth|sixth|seventh|eighth|ninth|tenth|next|last|previous|former|latter)$"
+PREDICATE = ("VERB", "AUX")
+GENERIC = frozenset(
+    """model models method methods approach approaches system systems framework frameworks technique techniques algorithm algorithms result results experiment experiments paper papers work works
+    study studies task tasks problem problems dataset datasets data set sets analysis application applications performance accuracy evaluation case cases example examples number amount level
+    levels type types kind form forms way ways part parts step steps stage stages state states process processes value values feature features function functions structure structures property
+    properties information effect effects use uses user users time times year years research field area areas domain domains context term terms""".split()
+)
 
 
-def tag(lemma: Column) -> Column:
-    """A tagger of rules: function words, then endings, else noun. Anything downstream needs lemma and pos only."""
+def tag(lemma: Column, stop: frozenset[str] = STOPWORDS) -> Column:
+    """A tagger of rules: function words, then endings, else noun. Anything downstream needs lemma and pos only.
+
+    A hyphenated compound has the tag of its last part, but a participle in it is an adjective.
+    """
     return (
         F.when(~lemma.rlike(r"[\p{L}\p{N}]"), "PUNCT")
-        .when(lemma.isin(*sorted(STOPWORDS)), "DET")
-        .when(lemma.rlike(r"^[0-9]+$"), "NUM")
-        .when(lemma.rlike(r"(ly)$"), "ADV")
-        .when(lemma.rlike(r"(ing|ed)$"), "VERB")
-        .when(lemma.rlike(r"(ous|ive|al|ble)$"), "ADJ")
+        .when(lemma.isin(*sorted(stop)), "DET")
+        .when(~lemma.rlike(r"\p{L}"), "NUM")
+        .when(lemma.endswith("ly"), "ADV")
+        .when(lemma.rlike("(ing|ed)$"), F.when(lemma.contains("-"), "ADJ").otherwise("VERB"))
+        .when(lemma.rlike("(ous|ive|al|ble)$"), "ADJ")
         .otherwise("NOUN")
     )
 
@@ -41,19 +49,21 @@ def dominant_pos(counts: DataFrame, as_of: int | None = None) -> DataFrame:
     return out.select("lemma", F.col("best.pos").alias("dominant_pos"), "n_tokens", (F.col("best.n").cast("double") / F.col("n_tokens")).alias("dominance"))
 
 
-def kill_reasons(cands: DataFrame, pos: DataFrame, strict: bool = True, nominal: bool = True) -> DataFrame:
-    """cands with kill_reason, the first that holds: empty, verb_led, ordinal, stopword_straddler, non_nominal_head, generic_head, no_alpha; else keep."""
-    words = F.split("cand", " ")
-    rows = cands.withColumn("_w", F.filter(words, lambda w: w != "")).withColumn("_first", F.try_element_at("_w", F.lit(1))).withColumn("_last", F.try_element_at("_w", F.lit(-1)))
+def kill_reasons(cands: DataFrame, pos: DataFrame, strict: bool = True, nominal: bool = True, stop: frozenset[str] = STOPWORDS) -> DataFrame:
+    """cands with kill_reason, the first that holds: empty, verb_led, ordinal, stopword_straddler, non_nominal_head, generic_head, no_alpha; else keep.
+
+    strict: a function word anywhere kills, else only at an end. nominal: the last word must be tagged as a noun.
+    """
+    rows = cands.withColumn("_w", F.filter(F.split("cand", " "), lambda w: w != "")).withColumn("_first", F.try_element_at("_w", F.lit(1))).withColumn("_last", F.try_element_at("_w", F.lit(-1)))
     tags = pos.select("lemma", "dominant_pos")
     rows = rows.join(tags.select(F.col("lemma").alias("_first"), F.col("dominant_pos").alias("_first_pos")), "_first", "left")
     rows = rows.join(tags.select(F.col("lemma").alias("_last"), F.col("dominant_pos").alias("_last_pos")), "_last", "left")
-    stop, generic = sorted(STOPWORDS), sorted(GENERIC)
-    straddles = F.exists("_w", lambda w: w.isin(*stop)) if strict else F.col("_first").isin(*stop) | F.col("_last").isin(*stop)
-    reason = F.when(F.size("_w") == 0, "empty").when(F.col("_first_pos") == "VERB", "verb_led").when(F.exists("_w", lambda w: w.rlike(ORDINAL)), "ordinal").when(straddles, "stopword_straddler")
+    function, generic = sorted(stop), sorted(GENERIC)
+    straddles = F.exists("_w", lambda w: w.isin(*function)) if strict else F.col("_first").isin(*function) | F.col("_last").isin(*function)
+    reason = F.when(F.size("_w") == 0, "empty").when(F.col("_first_pos").isin(*PREDICATE), "verb_led").when(F.col("_first").rlike(ORDINAL), "ordinal").when(straddles, "stopword_straddler")
     if nominal:
-        reason = reason.when(F.col("_last_pos").isNotNull() & ~F.col("_last_pos").isin("NOUN", "PROPN"), "non_nominal_head")
-    reason = reason.when(F.forall("_w", lambda w: w.isin(*generic, *stop)), "generic_head").when(~F.col("cand").rlike(r"\p{L}"), "no_alpha").otherwise("keep")
+        reason = reason.when(~F.coalesce(F.col("_last_pos"), F.lit("")).isin("NOUN", "PROPN"), "non_nominal_head")
+    reason = reason.when(F.forall("_w", lambda w: w.isin(*generic, *function)), "generic_head").when(~F.col("cand").rlike(r"\p{L}"), "no_alpha").otherwise("keep")
     return rows.withColumn("kill_reason", reason).drop("_w", "_first", "_last", "_first_pos", "_last_pos")
 
 

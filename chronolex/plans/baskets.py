@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronolex.config import Config
-from chronolex.functions.text import n_tokens, tokens
+from chronolex.functions.text import lemma, n_tokens, tokens
 from chronolex.operators import attach, features, graph, registry
 from chronolex.operators.termhood import tag
 
@@ -116,12 +116,26 @@ class Baskets:
         return attach.attach(self.births, self.profiles, self.blocks(), self.population(BEFORE), self.cfg)
 
     @cached_property
-    def documents(self) -> DataFrame:
-        """id, v1_date, words of the text table."""
+    def surface(self) -> DataFrame:
+        """id, v1_date, words (as they stand in the text) of the text table."""
         day = F.date_add(F.lit("2016-01-01").cast("date"), F.pmod(F.col("doc_id"), F.lit(3650)).cast("int"))
         return self.read("documents").select(F.col("doc_id").alias("id"), day.alias("v1_date"), tokens(F.col("text")).alias("words"))
 
+    @cached_property
+    def documents(self) -> DataFrame:
+        """id, v1_date, words (lemmas, and signs as they are) of the text table."""
+        return self.surface.withColumn("words", F.transform("words", lambda w: lemma(w)))
+
+    @cached_property
+    def defining(self) -> DataFrame:
+        """id, v1_date, text: the documents, each with a definition of its first three longer words' initials put after it."""
+        words = F.slice(F.regexp_extract_all("text", F.lit("[a-z]{4,}"), F.lit(0)), 1, 3)
+        short = F.upper(F.array_join(F.transform(words, lambda w: F.left(w, F.lit(1))), ""))
+        clause = F.when(F.size(words) == 3, F.concat(F.lit(" . In "), F.array_join(words, " "), F.lit(" ("), short, F.lit("s) we see")))
+        rows = self.read("documents").select(F.col("doc_id").alias("id"), "text").join(self.surface.select("id", "v1_date"), "id")
+        return rows.select("id", "v1_date", F.concat("text", F.coalesce(clause, F.lit(""))).alias("text"))
+
     @cached_property
     def tagged(self) -> DataFrame:
         words = F.col("words")
-        return self.documents.select("id", F.year("v1_date").alias("year"), words.alias("lemmas"), F.transform(words, tag).alias("pos"))
+        return self.documents.select("id", F.year("v1_date").alias("year"), words.alias("lemmas"), F.transform(words, lambda w: tag(w)).alias("pos"))

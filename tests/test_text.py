@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -15,6 +17,93 @@ def one(spark, column, **values):
     return spark.createDataFrame([tuple(values.values())], ", ".join(f"{k} string" for k in values)).select(column.alias("x")).first().x
 
 
+def slow_markup(text):
+    """The rules said again with Python's own engine."""
+    text = text.replace(r"\$", " ")
+    text = re.sub(r"\\begin\s*\{([^{}]*)\}.*?\\end\s*\{\1\}", " ", text, flags=re.S)
+    text = re.sub(r"\\(cite[a-zA-Z]*|ref|eqref|label|url|href|includegraphics|bibliography|footnote|autoref|pageref|nocite)\s*(\[[^\]]*\])?\s*\{[^{}]*\}", " ", text, flags=re.I)
+    text = re.sub(r"\$\$.*?\$\$|\$[^$]*?\$|\\\(.*?\\\)|\\\[.*?\\\]", " ", text, flags=re.S)
+    for _ in range(3):
+        text = re.sub(r"\\[a-zA-Z@]+\s*(?:\[[^\]]*\])?\s*\{([^{}]*)\}", r" \1 ", text)
+    text = re.sub(r"\\[a-zA-Z@]+\*?|\\\\|\\[^a-zA-Z\s]", " ", text)
+    return " ".join(re.sub(r"[{}]", " ", text).split())
+
+
+def test_markup_of_random_texts(spark):
+    rng = random.Random(3)
+    bits = [r"\$", "$", "$$", r"\(", r"\)", r"\[", r"\]", r"\begin{a}", r"\end{a}", r"\begin{b}", r"\end{b}", r"\emph{", r"\foo[o]{", "}", "{", r"\cite{k}", r"\citep[p]{k}", r"\Ref{x}", r"\alpha", r"\\", r"\%", r"\&", "word", "deep net", "\n", "x^2"]
+    texts = [" ".join(rng.choice(bits) for _ in range(rng.randint(0, 25))) for _ in range(3000)]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert {r.t: r.x for r in frame.select("t", text.strip_markup(F.col("t")).alias("x")).collect()} == {t: slow_markup(t) for t in texts}
+
+
+def test_tokens_lemmas_and_tags(spark):
+    split = one(spark, text.tokens(F.col("t")), t="We saw dogs. Cats–ran (e.g. 3D-CNNs), it's 2024!")
+    assert split == ["we", "saw", "dogs", ".", "cats-ran", "(", "e", ".", "g", ".", "3d-cnns", ")", ",", "it's", "2024", "!"]
+    lemmas = {t: one(spark, text.lemma(F.col("t")), t=t) for t in ("dogs", "bodies", "classes", "analysis", "loss", "bus", "has", "this", "gas", "boxes", "paper's", "cases")}
+    assert lemmas == {"dogs": "dog", "bodies": "body", "classes": "class", "analysis": "analysis", "loss": "loss", "bus": "bus", "has": "has", "this": "this", "gas": "gas", "boxes": "box", "paper's": "paper's", "cases": "case"}
+    tags = {t: one(spark, termhood.tag(F.col("t")), t=t) for t in (",", "the", "2024", "quickly", "training", "self-supervised", "neural", "network", "3d")}
+    assert tags == {",": "PUNCT", "the": "DET", "2024": "NUM", "quickly": "ADV", "training": "VERB", "self-supervised": "ADJ", "neural": "ADJ", "network": "NOUN", "3d": "NOUN"}
+
+
+def plain_candidates(words, stop, most=5):
+    """n-grams, runs between stop words and chunk suffixes of one tagged document, token by token."""
+    segments, run = [], []
+    for lemma, pos in [*words, (".", "PUNCT")]:
+        if pos == "PUNCT":
+            segments.append(run)
+            run = []
+        else:
+            run.append((lemma, pos))
+    grams = {" ".join(w for w, _ in s[i : i + n]) for s in segments for n in (2, 3) for i in range(len(s) - n + 1)}
+    rake, chunks = set(), set()
+    for s in segments:
+        run = []
+        for lemma, _ in [*s, (None, "")]:
+            if lemma is None or lemma in stop:
+                if 1 <= len(run) <= most:
+                    rake.add(" ".join(run))
+                run = []
+            else:
+                run.append(lemma)
+        for i in range(len(s)):
+            for j in range(i + 1, len(s) + 1):
+                tags = [p for _, p in s[i:j]]
+                k = next((x for x, p in enumerate(tags) if p == "NOUN"), len(tags))
+                whole = all(p == "ADJ" for p in tags[:k]) and k < len(tags) and all(p == "NOUN" for p in tags[k:])
+                if whole and j - i <= most and (j == len(s) or s[j][1] != "NOUN"):
+                    chunks.add(" ".join(w for w, _ in s[i:j]))
+    return grams, rake, chunks
+
+
+def test_candidates_against_plain_code(spark):
+    rng = random.Random(4)
+    kinds = {"deep": "ADJ", "neural": "ADJ", "net": "NOUN", "model": "NOUN", "of": "DET", "the": "DET", "run": "VERB", ",": "PUNCT", "7": "NUM"}
+    docs = [[(w := rng.choice(list(kinds)), kinds[w]) for _ in range(rng.randint(0, 30))] for _ in range(60)]
+    rows = [(i, [w for w, _ in d], [p for _, p in d], [w for w, _ in d]) for i, d in enumerate(docs)]
+    frame = spark.createDataFrame(rows, "id int, lemmas array<string>, pos array<string>, words array<string>")
+    found = [{(r.id, r.cand) for r in f.select("id", "cand").collect()} for f in (corpus.ngram_postings(frame, (2, 3), ("id",)), corpus.rake_phrases(frame), corpus.noun_chunks(frame))]
+    expected = [set(), set(), set()]
+    for i, d in enumerate(docs):
+        for into, cands in zip(expected, plain_candidates(d, text.STOPWORDS), strict=True):
+            into |= {(i, c) for c in cands}
+    expected[0] = {(i, c) for i, c in expected[0] if re.search("[a-z]", c)}
+    assert found == expected
+
+
+def test_grams_end_with_segments(spark):
+    words = spark.createDataFrame([(1, ["we", "saw", "dog", ".", "cat", "ran", "2", "2"])], "id int, words array<string>")
+    assert cands(corpus.ngram_postings(words, (1, 2, 3), ("id",))) == {"we", "saw", "dog", "we saw", "saw dog", "we saw dog", "cat", "ran", "cat ran", "ran 2", "cat ran 2", "ran 2 2"}
+
+
+def test_ledger_of_both_passes(spark):
+    day = dt.date(2001, 1, 1)
+    words = spark.createDataFrame([(1, day, "a b c d e".split()), (2, day, "b c d e f".split())], "id int, v1_date date, words array<string>")
+    masks = spark.createDataFrame([("a", 1), ("b c", 2), ("b c d e", 3), ("x", 1)], "cand string, src_mask int")
+    found = {r.cand: (r.df, r.n_tokens, r.src_mask) for r in corpus.ledger(corpus.postings(words, masks), masks).collect()}
+    assert found == {"a": (1, 1, 1), "b c d e": (2, 4, 3), "b c": (2, 2, 6), "a b": (1, 2, 4), "c d": (2, 2, 4), "d e": (2, 2, 4), "e f": (1, 2, 4), "a b c": (1, 3, 4), "b c d": (2, 3, 4), "c d e": (2, 3, 4), "d e f": (1, 3, 4)}
+
+
 def test_markup(spark):
     assert one(spark, text.strip_markup(F.col("t")), t=r"\emph{\textbf{deep}} net $x^2$ \cite{a} \alpha") == "deep net"
     assert one(spark, text.strip_markup(F.col("t")), t="a \\begin{eq}x\n\\end{eq} b") == "a b"
@@ -85,7 +174,8 @@ def test_kills(spark):
 
 def test_acronyms(spark):
     long = ["convolutional neural networks"] * 3 + ["convolutional neural network"] * 2 + ["cable news network"]
-    rows = [(i, dt.date(2015, 1, 1 + i), f"We use {x} (CNN) here.") for i, x in enumerate(long)]
+    rows = [(i, dt.date(2015, 1, 1 + i), f"{x} ({short}) here.") for i, (x, short) in enumerate(zip(long, ["CNN", "CNNs", "CNN", "CNN", "CNN", "CNN"], strict=True))]
+    rows += [(10, dt.date(2015, 2, 1), "convolutional neural networks (cnn) and a very long clause that has far too many words (TMW)")]
     pairs = merges.acronym_pairs(spark.createDataFrame(rows, "id int, v1_date date, text string"))
     (edge,) = merges.acronym_edges(pairs).collect()
     assert (edge.short, edge.long, edge.n, edge.effective_date) == ("cnn", "convolutional neural networks", 5, dt.date(2015, 1, 1))

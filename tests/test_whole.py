@@ -30,19 +30,19 @@ LINEITEM = (LINES, "l_orderkey long, l_suppkey long, l_linenumber int, l_quantit
 
 
 def test_union_components_of_all_rows(spark, tmp_path):
-    found = dict(run(spark, tmp_path, "union_components_all", lineitem=LINEITEM))
+    found = dict(run(spark, tmp_path, "union_components", lineitem=LINEITEM))
     assert found == union_find((str(o), f"s{s}") for o, s, _, _ in LINES) and len(found) == 10
 
 
 def test_judge_ingest_of_all_rows(spark, tmp_path):
     verdict = lambda n: ("KEEP", "DROP", None)[n % 3]
     expected = Counter((o % 50, n % 3 == 2, verdict(n)) for o, _, n, _ in LINES)
-    assert {r[:3]: r[3] for r in run(spark, tmp_path, "judge_ingest_all", lineitem=LINEITEM)} == expected
+    assert {r[:3]: r[3] for r in run(spark, tmp_path, "judge_ingest", lineitem=LINEITEM)} == expected
 
 
-def grams(text):
+def grams(text, sizes=(1, 2, 3)):
     w = text.split()
-    return {" ".join(w[i : i + n]) for n in (1, 2, 3) for i in range(len(w) - n + 1)}
+    return {" ".join(w[i : i + n]) for n in sizes for i in range(len(w) - n + 1)}
 
 
 TEXTS = [f"common pair {chr(97 + i)}word" if i < 9 else "rare pair" for i in range(11)] + ["alone"]
@@ -51,22 +51,25 @@ ORDERS = ([(1,)], "o_orderkey long")
 
 
 def test_ledgers_have_every_candidate(spark, tmp_path):
-    df = Counter(g for t in TEXTS for g in grams(t))
-    found = run(spark, tmp_path, "ngram_ledger_all", documents=DOCUMENTS)
+    df = Counter(g for t in TEXTS for g in grams(t, (2, 3)))
+    found = run(spark, tmp_path, "ngram_ledger", documents=DOCUMENTS, orders=ORDERS)
     assert {(r[0], r[1], r[4]) for r in found} == {(g, n, len(g.split())) for g, n in df.items()} and len(found) == len(df)
-    yearly = run(spark, tmp_path, "ledger_yearly_all", documents=DOCUMENTS)
+    df += Counter(g for t in TEXTS for g in grams(t, (1,)) if g not in ("common", "rare"))  # all words are nouns: ends of chunks are nominated
+    found = run(spark, tmp_path, "ledger", documents=DOCUMENTS, orders=ORDERS)
+    assert {(r[0], r[1]) for r in found} == set(df.items()) and len(found) == len(df)
+    yearly = run(spark, tmp_path, "ledger_yearly", documents=DOCUMENTS, orders=ORDERS)
     assert {(c, y): n for c, y, n in yearly} == {(g, 2016): n for g, n in df.items()}
 
 
 def test_term_postings_take_the_configured_floor(spark, tmp_path):
     df = Counter(g for t in TEXTS for g in grams(t))
     expected = Counter((i, g) for i, t in enumerate(TEXTS) for g in grams(t) if df[g] >= 9)
-    assert Counter(run(spark, tmp_path, "term_postings_all", documents=DOCUMENTS, orders=ORDERS)) == expected and expected
+    assert Counter(run(spark, tmp_path, "term_postings", documents=DOCUMENTS, orders=ORDERS)) == expected and expected
 
 
 def test_string_variants_of_the_data(spark, tmp_path):
     texts = ["colour"] * 9 + ["color"] * 10 + ["pre-train"] * 12 + ["pretrain"] * 9 + ["honour"] * 8 + ["honor"] * 20
-    found = run(spark, tmp_path, "string_variants_all", documents=(list(enumerate(texts)), "doc_id long, text string"), orders=ORDERS)
+    found = run(spark, tmp_path, "string_variants", documents=(list(enumerate(texts)), "doc_id long, text string"), orders=ORDERS)
     assert sorted(found) == [("colour", "color"), ("pretrain", "pre-train")]
 
 
