@@ -1,21 +1,32 @@
-"""Connected components: many small groups at once, or one large graph step by step."""
+"""Connected components of one graph or of many groups at once, step by step in joins."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterable
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the session names in spark.checkpoint.dir; a temporary one only where that is unset and all runs on one machine."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="chronolex-")
+        context.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
 def checkpoint(frame: DataFrame) -> DataFrame:
-    """Written to the shared folder of the session; a temporary one is set only where the session names none."""
-    context = frame.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(frame.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="chronolex-"))
-    return frame.checkpoint()
+    """The same rows, written as a table in the shared folder and read again: lineage is cut, and sizes are known to the optimizer."""
+    path = f"{shared_folder(frame.sparkSession)}/chronolex-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
 def union_find(pairs: Iterable[tuple]) -> dict:
@@ -51,15 +62,22 @@ def label_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFr
             return labels
 
 
-def count_groups(members: DataFrame, keys: list[str], item: str, link: str) -> DataFrame:
-    """keys, n_groups: components of each group's items that share a link; items whose link is null stand alone.
+def count_groups(items: DataFrame, keys: list[str], item: str, links: DataFrame, link: str) -> DataFrame:
+    """keys, n_groups: components of each group's items that share a link; items without a link stand alone.
 
-    A group is the papers of one concept in a few years, so it fits in a task.
+    items: (keys, item); links: (item, link). Groups are counted by their links: each is a component, unless an item joins
+    it to another. Only links of items with several of them are followed, in joins, so a group may be of any size.
     """
-
-    def count(frame: pd.DataFrame) -> pd.DataFrame:
-        pairs = [(f"0{i}", f"0{i}" if pd.isna(v) else f"1{v}") for i, v in zip(frame[item].tolist(), frame[link].tolist(), strict=True)]
-        return pd.DataFrame({**{k: [frame[k].iloc[0]] for k in keys}, "n_groups": [len(set(union_find(pairs).values()))]})
-
-    kinds = dict(members.dtypes)
-    return members.groupBy(*keys).applyInPandas(count, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", n_groups int")
+    links = links.select(item, F.col(link).alias("_link")).filter("_link is not null").distinct()
+    several = links.groupBy(item).agg(F.min("_link").alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    own = items.select(*keys, item).distinct().join(links, item, "left")
+    counts = own.groupBy(*keys).agg(F.count_if(F.col("_link").isNull()).alias("_alone"), F.countDistinct("_link").alias("_links"))
+    if several.isEmpty():
+        return counts.select(*keys, (F.col("_alone") + F.col("_links")).cast("int").alias("n_groups"))
+    edges = own.join(several, item).filter("_link != _first").select(F.struct(*keys).alias("_key"), "_first", "_link").distinct()
+    name = lambda c: F.to_json(F.struct("_key", F.col(c).alias("c")))
+    edges = checkpoint(edges.select("_key", name("_first").alias("a"), name("_link").alias("b")))
+    labels = label_components(edges.select("a", "b"))
+    nodes = edges.select("_key", F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node")
+    merged = nodes.groupBy("_key").agg((F.countDistinct("node") - F.countDistinct("root")).alias("_merged")).select("_key.*", "_merged")
+    return counts.join(merged, keys, "left").select(*keys, (F.col("_alone") + F.col("_links") - F.coalesce("_merged", F.lit(0))).cast("int").alias("n_groups"))

@@ -72,7 +72,7 @@ def pace(nodes: DataFrame, edges: DataFrame, concepts: DataFrame, authors: DataF
     pairs = inner_edges(nodes, edges).select("u", "v").distinct()
     joint = pairs.join(recent.withColumnRenamed("concept", "u"), "u").join(recent.select(F.col("concept").alias("v"), "paper_id"), ["v", "paper_id"])
     rate = joint.groupBy("u", "v").agg((F.count(F.lit(1)) / (F.max("year") - F.min("year") + 1)).alias("pace"))
-    breadth = count_groups(joint.join(authors.select("paper_id", "author"), "paper_id", "left").select("u", "v", "paper_id", "author"), ["u", "v"], "paper_id", "author")
+    breadth = count_groups(joint, ["u", "v"], "paper_id", authors, "author")
     per = inner_edges(nodes, edges).join(rate, ["u", "v"]).join(breadth, ["u", "v"])
     out = per.groupBy("region_id").agg(F.median("pace").alias("pace_collaboration"), F.median("n_groups").alias("social_breadth"))
     return nodes.select("region_id").distinct().join(out, "region_id", "left").withColumn("pace_missing", F.col("pace_collaboration").isNull())

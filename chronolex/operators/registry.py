@@ -36,7 +36,7 @@ def author_groups(windows: DataFrame, resolved: DataFrame, authors: DataFrame, c
     """concept, t, n_groups: components of the window's papers over shared authors; a paper without authors stands alone."""
     years = windows.select("concept", "t", F.explode(F.sequence("t", F.col("t") + cfg.m - 1)).alias("year"))
     papers = years.join(resolved.select("concept", "year", "paper_id").distinct(), ["concept", "year"]).select("concept", "t", "paper_id")
-    return count_groups(papers.join(authors.select("paper_id", "author"), "paper_id", "left"), ["concept", "t"], "paper_id", "author")
+    return count_groups(papers, ["concept", "t"], "paper_id", authors, "author")
 
 
 def crystallizations(windows: DataFrame, groups: DataFrame | None, cfg: Config) -> DataFrame:
@@ -79,6 +79,7 @@ def registry(counts: DataFrame, windows: DataFrame, cry: DataFrame, members: Dat
 
 
 def births_per_year(reg: DataFrame) -> DataFrame:
+    """crystallization_year, n_births, from the registry or from crystallizations alone."""
     return reg.filter("crystallization_year is not null").groupBy("crystallization_year").agg(F.count(F.lit(1)).alias("n_births"))
 
 

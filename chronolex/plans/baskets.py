@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from chronolex.config import Config
 from chronolex.functions.text import lemma, n_tokens, tokens
 from chronolex.operators import attach, features, graph, registry
+from chronolex.operators.components import checkpoint
 from chronolex.operators.termhood import tag
 
 ORIGIN, BEFORE, LABEL_TOKENS = 2000, 1997, 3
@@ -40,11 +41,12 @@ class Baskets:
 
     @cached_property
     def events(self) -> DataFrame:
+        """paper_id, term, v1_date, year, quarter, once each: lines meet their paper first, so that its terms are told apart in one place."""
         names = F.array(F.col("p_name"), F.concat_ws(" ", "p_name", F.lower("p_type")), F.split("p_name", " ")[1])
         part = self.read("part").select("p_partkey", names.alias("names"))
         line = self.read("lineitem").select(F.col("l_orderkey").alias("paper_id"), F.col("l_partkey").alias("p_partkey"))
-        terms = line.join(part, "p_partkey").select("paper_id", F.explode("names").alias("term")).distinct()
-        return terms.join(self.papers.drop("o_custkey"), "paper_id")
+        rows = line.join(self.papers.drop("o_custkey"), "paper_id").join(part, "p_partkey")
+        return rows.select("paper_id", F.explode("names").alias("term"), "v1_date", "year", "quarter").distinct()
 
     @cached_property
     def merge_map(self) -> DataFrame:
@@ -57,9 +59,15 @@ class Baskets:
     def concepts(self, rule: str = "year", origin: int | None = None) -> DataFrame:
         return registry.concepts_of(self.events, self.merge_map, rule, origin)
 
+    @cached_property
+    def resolved(self) -> DataFrame:
+        """Distinct (paper_id, concept, year), written once: series, windows and groups all read it."""
+        return checkpoint(self.concepts().select("paper_id", "concept", "year").distinct())
+
     @cached_property
     def series(self) -> DataFrame:
-        return registry.series(self.concepts())
+        """One row a concept and year."""
+        return checkpoint(self.resolved.groupBy("concept", "year").agg(F.count(F.lit(1)).alias("n_papers")))
 
     @cached_property
     def windows(self) -> DataFrame:
@@ -68,8 +76,8 @@ class Baskets:
     @cached_property
     def cry(self) -> DataFrame:
         buyers = self.papers.select("paper_id", F.col("o_custkey").alias("author"))
-        groups = registry.author_groups(self.windows, self.concepts(), buyers, self.cfg)
-        return registry.crystallizations(self.windows, groups, self.cfg)
+        groups = registry.author_groups(self.windows, self.resolved, buyers, self.cfg)
+        return checkpoint(registry.crystallizations(self.windows, groups, self.cfg))
 
     @cached_property
     def members(self) -> DataFrame:

@@ -133,7 +133,7 @@ def _(b: Baskets) -> DataFrame:
 
 @query("births_per_year", with_("SELECT crystallization_year, count(*) AS n_births FROM cry GROUP BY 1", SERIES + " cry"))
 def births_per_year(b: Baskets) -> DataFrame:
-    return registry.births_per_year(b.registry)
+    return registry.births_per_year(b.cry)
 
 
 @query("decline_year", with_("SELECT concept, decline_year::INT AS decline_year FROM dec", SERIES + " cry dec"))
@@ -163,7 +163,7 @@ def _(b: Baskets) -> DataFrame:
 
 @query("power_gate", with_("SELECT o.origin::INT AS origin, count(concept) AS n_births, count(concept) < 10 AS too_few FROM range(1996, 1999) o(origin) LEFT JOIN cry ON crystallization_year = o.origin + 1 GROUP BY 1", SERIES + " cry"))
 def _(b: Baskets) -> DataFrame:
-    return registry.power_gate(b.registry, [1996, 1997, 1998], 10)
+    return registry.power_gate(b.cry, [1996, 1997, 1998], 10)
 
 
 @query("author_groups")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import datetime as dt
 
 import pytest
@@ -46,8 +48,24 @@ def test_fates(spark):
 
 def test_author_groups(spark):
     rows = [("c", 1, "p1", "a"), ("c", 1, "p1", "b"), ("c", 1, "p2", "b"), ("c", 1, "p2", "c"), ("c", 1, "p3", "d"), ("c", 1, "p4", None), ("d", 1, "p1", "a"), ("d", 1, "p2", "a")]
-    found = count_groups(spark.createDataFrame(rows, "concept string, t int, paper_id string, author string"), ["concept", "t"], "paper_id", "author")
+    frame = spark.createDataFrame(rows, "concept string, t int, paper_id string, author string")
+    found = count_groups(frame, ["concept", "t"], "paper_id", frame.filter("concept = 'c'"), "author")
     assert {r.concept: r.n_groups for r in found.collect()} == {"c": 3, "d": 1}
+    alone = spark.createDataFrame([("p1", "a"), ("p3", "a"), ("p4", None)], "paper_id string, author string")
+    assert {r.concept: r.n_groups for r in count_groups(frame, ["concept"], "paper_id", alone, "author").collect()} == {"c": 3, "d": 2}
+
+
+def test_author_groups_against_union_find(spark):
+    rng = random.Random(5)
+    items = [(f"g{rng.randrange(6)}", p) for p in range(80) for _ in range(2)]
+    links = [(p, f"a{rng.randrange(60)}") for p in range(80) for _ in range(rng.randrange(4))]
+    found = {r.g: r.n_groups for r in count_groups(spark.createDataFrame(items, "g string, p int"), ["g"], "p", spark.createDataFrame(links, "p int, a string"), "a").collect()}
+    expected = {}
+    for g in {g for g, _ in items}:
+        own = {p for x, p in items if x == g}
+        pairs = [(f"p{p}", f"p{p}") for p in own] + [(f"p{p}", a) for p, a in links if p in own]
+        expected[g] = len(set(union_find(pairs).values()))
+    assert found == expected
 
 
 def test_components_of_a_long_path(spark):
