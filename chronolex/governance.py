@@ -51,6 +51,22 @@ def manifest(artifact: str, as_of: dt.date, frame: DataFrame, date_column: str |
     }
 
 
+def out_of_band(quantity: str, value: float, band: tuple[float, float], phase: str) -> dict | None:
+    """The event to log where a quantity lies outside the band that was written down before; nothing is tuned towards it."""
+    if band[0] <= value <= band[1]:
+        return None
+    return {"phase": phase, "kind": "out_of_band", "quantity": quantity, "value": value, "band": list(band), "action": "stop and ask"}
+
+
+class GateClosed(RuntimeError):
+    """A stage that somebody has to sign off first."""
+
+
+def require_signed_off(gates: dict[str, bool], name: str) -> None:
+    if not gates.get(name, False):
+        raise GateClosed(f"{name} is not signed off")
+
+
 def log_event(path: str, event: dict) -> str:
     """Append one JSON line; undoing is another line. Returns the event's id."""
     row = event | {"ts": dt.datetime.now(dt.timezone.utc).isoformat(), "undone": event.get("undone", False)}

@@ -44,10 +44,16 @@ def target_mass(attached: DataFrame) -> DataFrame:
     return attached.agg(F.round(F.sum("mass"), 6).alias("total_mass"), F.countDistinct(F.when(~F.col("orphan"), F.col("concept"))).alias("n_attached"))
 
 
-def dual_gate(attached: DataFrame, floor: float) -> DataFrame:
-    """origin, n_dual (births with two regions or more), passes."""
-    n = attached.filter("n_attachments >= 2").groupBy("origin").agg(F.countDistinct("concept").alias("n_dual"))
-    return n.withColumn("passes", F.col("n_dual") >= floor)
+def dual_gate(attached: DataFrame, origins: list[int], floor: float) -> DataFrame:
+    """mean_dual, per_origin, verdict: PASS if the origins have on average ``floor`` births with two regions or more, else FAIL.
+
+    An origin without any counts as zero, so a gate always has its row.
+    """
+    years = attached.sparkSession.createDataFrame([(t,) for t in origins], "origin int")
+    n = attached.filter("n_attachments >= 2").groupBy("origin").agg(F.countDistinct("concept").alias("n"))
+    rows = years.join(n, "origin", "left").select("origin", F.coalesce("n", F.lit(0)).alias("n"))
+    out = rows.agg(F.avg("n").alias("mean_dual"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("origin", "n"))), lambda r: r["n"].cast("string")), ",").alias("per_origin"))
+    return out.select("mean_dual", "per_origin", F.when(F.col("mean_dual") >= floor, "PASS").otherwise("FAIL").alias("verdict"))
 
 
 def history(regions: DataFrame, attached: DataFrame) -> DataFrame:

@@ -6,9 +6,13 @@ import tempfile
 import uuid
 from collections.abc import Iterable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Edges of a group that one task follows.
+TASK_EDGES = 200_000
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder the session names in spark.checkpoint.dir; a temporary one only where that is unset and all runs on one machine."""
@@ -66,7 +70,8 @@ def count_groups(items: DataFrame, keys: list[str], item: str, links: DataFrame,
     """keys, n_groups: components of each group's items that share a link; items without a link stand alone.
 
     items: (keys, item); links: (item, link). Groups are counted by their links: each is a component, unless an item joins
-    it to another. Only links of items with several of them are followed, in joins, so a group may be of any size.
+    it to another. Only links of items with several of them are followed: in a task where a group has at most TASK_EDGES of them,
+    else in joins, with the same result, so a group may be of any size.
     """
     links = links.select(item, F.col(link).alias("_link")).filter("_link is not null").distinct()
     several = links.groupBy(item).agg(F.min("_link").alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
@@ -74,10 +79,27 @@ def count_groups(items: DataFrame, keys: list[str], item: str, links: DataFrame,
     counts = own.groupBy(*keys).agg(F.count_if(F.col("_link").isNull()).alias("_alone"), F.countDistinct("_link").alias("_links"))
     if several.isEmpty():
         return counts.select(*keys, (F.col("_alone") + F.col("_links")).cast("int").alias("n_groups"))
-    edges = own.join(several, item).filter("_link != _first").select(F.struct(*keys).alias("_key"), "_first", "_link").distinct()
+    edges = checkpoint(own.join(several, item).filter("_link != _first").select(F.struct(*keys).alias("_key"), F.col("_first").cast("string").alias("a"), F.col("_link").cast("string").alias("b")).distinct())
+    sizes = edges.groupBy("_key").agg(F.count(F.lit(1)).alias("n"))
+    merged = _merged_in_tasks(edges.join(sizes.filter(F.col("n") <= TASK_EDGES), "_key", "left_semi"))
+    if not (large := sizes.filter(F.col("n") > TASK_EDGES)).isEmpty():
+        merged = merged.union(_merged_in_joins(edges.join(large, "_key", "left_semi")))
+    return counts.join(merged.select("_key.*", "_merged"), keys, "left").select(*keys, (F.col("_alone") + F.col("_links") - F.coalesce("_merged", F.lit(0))).cast("int").alias("n_groups"))
+
+
+def _merged_in_tasks(edges: DataFrame) -> DataFrame:
+    """_key, _merged: nodes less components, of groups of at most TASK_EDGES edges each."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        roots = union_find(zip(table["a"].to_pylist(), table["b"].to_pylist(), strict=True))
+        return pa.table({"_key": table["_key"].slice(0, 1), "_merged": pa.array([len(roots) - len(set(roots.values()))], pa.int64())})
+
+    return edges.groupBy("_key").applyInArrow(run, f"_key {edges.schema['_key'].dataType.simpleString()}, _merged long")
+
+
+def _merged_in_joins(edges: DataFrame) -> DataFrame:
+    """The same for groups of any size: all of them are one graph, whose nodes are named by group and link."""
     name = lambda c: F.to_json(F.struct("_key", F.col(c).alias("c")))
-    edges = checkpoint(edges.select("_key", name("_first").alias("a"), name("_link").alias("b")))
-    labels = label_components(edges.select("a", "b"))
-    nodes = edges.select("_key", F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node")
-    merged = nodes.groupBy("_key").agg((F.countDistinct("node") - F.countDistinct("root")).alias("_merged")).select("_key.*", "_merged")
-    return counts.join(merged, keys, "left").select(*keys, (F.col("_alone") + F.col("_links") - F.coalesce("_merged", F.lit(0))).cast("int").alias("n_groups"))
+    named = checkpoint(edges.select("_key", name("a").alias("a"), name("b").alias("b")))
+    nodes = named.select("_key", F.explode(F.array("a", "b")).alias("node")).distinct().join(label_components(named.select("a", "b")), "node")
+    return nodes.groupBy("_key").agg((F.countDistinct("node") - F.countDistinct("root")).alias("_merged"))

@@ -6,21 +6,51 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from chronolex.functions.stats import draw, z_score
+from chronolex.functions.stats import dot, draw, norm, z_score
+from chronolex.operators.features import author_influx, centroid
 
 
-def node_features(nodes: DataFrame, concepts: DataFrame, edges: DataFrame, origin: int) -> DataFrame:
-    """(region_id, node) with papers of three years, velocity, degrees and within-region z-scores."""
+def node_features(nodes: DataFrame, concepts: DataFrame, edges: DataFrame, origin: int, births: DataFrame | None = None, vectors: DataFrame | None = None, m: int = 2) -> DataFrame:
+    """(region_id, node): papers of three years, velocities, degrees, share of the region next door, joint papers with neighbours in
+    the region; with ``births`` (concept, coinage_year, crystallization_year) age and recent birth, with ``vectors`` (node, vec)
+    the distance to the region's centroid. Each also as a z-score within the region, so that large regions don't stand out.
+    """
     recent = concepts.filter(F.col("year").between(origin - 2, origin)).select("paper_id", "year", F.col("concept").alias("node")).distinct()
     n = recent.groupBy("node").agg(*[F.sum((F.col("year") == origin - i).cast("long")).alias(c) for i, c in enumerate(("n_t", "n_t1", "n_t2"))])
     both = edges.select(F.col("u").alias("node"), F.col("v").alias("other")).union(edges.select("v", "u"))
     degree = both.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
     member = nodes.select("region_id", F.col("node").alias("other"))
-    inside = nodes.join(both, "node").join(member, ["region_id", "other"]).groupBy("region_id", "node").agg(F.count(F.lit(1)).alias("degree_in"))
-    rows = nodes.join(n, "node", "left").join(degree, "node", "left").join(inside, ["region_id", "node"], "left").na.fill(0)
-    rows = rows.withColumn("velocity", F.col("n_t") / F.greatest(F.lit(1), F.col("n_t1")))
+    near = nodes.join(both, "node").join(member, ["region_id", "other"])
+    inside = near.groupBy("region_id", "node").agg(F.count(F.lit(1)).alias("degree_in"))
+    own, their = recent.select("node", "paper_id"), recent.select(F.col("node").alias("other"), "paper_id")
+    joint = edges.select(F.col("u").alias("node"), F.col("v").alias("other")).join(own, "node").join(their, ["other", "paper_id"]).groupBy("node", "other").agg(F.count(F.lit(1)).alias("co"))
+    joint = joint.union(joint.select("other", "node", "co"))
+    met = near.join(joint, ["node", "other"]).groupBy("region_id", "node").agg(F.sum("co").alias("co"))
+    size = nodes.groupBy("region_id").agg(F.count(F.lit(1)).alias("region_size"))
+    rows = nodes.join(n, "node", "left").join(degree, "node", "left").join(inside, ["region_id", "node"], "left").join(met, ["region_id", "node"], "left").na.fill(0).join(size, "region_id")
+    rows = rows.withColumn("velocity", F.col("n_t") / F.greatest(F.lit(1), F.col("n_t1"))).withColumn("velocity_2y", F.col("n_t") / F.greatest(F.lit(1.0), (F.col("n_t1") + F.col("n_t2")) / 2))
+    rows = rows.withColumn("rel_size", F.col("degree_in") / F.greatest(F.lit(1), F.col("region_size") - 1)).withColumn("pace_in_region", F.col("co") / F.greatest(F.lit(1), F.col("degree_in")) / 3.0).drop("co")
+    names = ["n_t", "velocity", "velocity_2y", "degree", "degree_in", "rel_size", "pace_in_region"]
+    if births is not None:
+        rows = rows.join(births.select(F.col("concept").alias("node"), "coinage_year", "crystallization_year"), "node", "left")
+        young = F.coalesce(F.col("crystallization_year").isin(origin - m, origin - m + 1) & (F.col("crystallization_year") <= origin - (m - 1)), F.lit(False))
+        rows = rows.withColumn("coinage_age", F.lit(origin) - F.coalesce("coinage_year", F.lit(origin))).withColumn("recent_birth", young.cast("int")).drop("coinage_year", "crystallization_year")
+        names += ["coinage_age", "recent_birth"]
+    if vectors is not None:
+        placed = nodes.join(vectors, "node").select("region_id", "node", "vec")
+        center = centroid(placed.select("region_id", "vec"), "region_id").filter("n >= 3")
+        far = placed.join(center, "region_id").select("region_id", "node", (1 - dot(F.col("vec"), F.col("center")) / (norm(F.col("vec")) * norm(F.col("center")))).alias("emb_dist_to_centroid"))
+        rows = rows.join(far, ["region_id", "node"], "left")
+        names.append("emb_dist_to_centroid")
     w = Window.partitionBy("region_id")
-    return rows.select("*", *[z_score(F.col(c).cast("double"), w).alias(f"z_{c}") for c in ("n_t", "velocity", "degree", "degree_in")])
+    return rows.select("*", *[z_score(F.col(c).cast("double"), w).alias(f"z_{c}") for c in names])
+
+
+def node_author_influx(nodes: DataFrame, concepts: DataFrame, authors: DataFrame, origin: int) -> DataFrame:
+    """(region_id, node, author_influx_node): share of a node's authors of this year that it hadn't in the two before; 0 without any."""
+    papers = concepts.filter(F.col("year").between(origin - 2, origin)).select(F.col("concept").alias("node"), "paper_id", "year").distinct()
+    influx = author_influx(papers, authors, "node", origin)
+    return nodes.join(influx, "node", "left").select("region_id", "node", F.coalesce("author_influx", F.lit(0.0)).alias("author_influx_node"))
 
 
 def truths(attached: DataFrame, profile: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -72,15 +102,38 @@ def bootstrap(a: DataFrame, b: DataFrame, n: int, seed: int = 7) -> DataFrame:
     return rows.agg(ratio.alias("lift")).select("lift", lifts.agg(at(0.025)).scalar().alias("low"), lifts.agg(at(0.975)).scalar().alias("high"))
 
 
-def greedy_oracle(truth: DataFrame, k: int) -> DataFrame:
-    """region_id, picks, covered: k members chosen one by one to cover most births' parents; one region at a time."""
-    import pandas as pd
+def year_bootstrap(a: DataFrame, b: DataFrame, n: int, seed: int = 7) -> DataFrame:
+    """lift (mean), low, high: ratio of births-weighted recalls, whole years drawn with replacement, as regions of a year depend on each other.
+
+    a, b: (origin, region_id, n_births, recall_at_k). Only sums by year are drawn from.
+    """
+    rows = a.join(b.select("origin", "region_id", F.col("recall_at_k").alias("base")), ["origin", "region_id"])
+    years = rows.groupBy("origin").agg(F.sum(F.col("n_births") * F.col("recall_at_k")).alias("x"), F.sum(F.col("n_births") * F.col("base")).alias("y"))
+    years = years.withColumn("i", F.row_number().over(Window.orderBy("origin")) - 1).withColumn("size", F.count(F.lit(1)).over(Window.partitionBy()))
+    draws = years.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("rep"), F.col("i").alias("place"), "size")
+    draws = draws.withColumn("i", (F.floor(draw(seed, F.col("rep").cast("string"), F.col("place").cast("string")) * F.col("size"))).cast("int")).drop("size")
+    lifts = draws.join(years, "i").groupBy("rep").agg((F.sum("x") / F.greatest(F.lit(1e-9), F.sum("y"))).alias("lift")).withColumn("r", F.row_number().over(Window.orderBy("lift", "rep")) - 1)
+    at = lambda q: F.max(F.when(F.col("r") == int(q * n), F.col("lift")))
+    return lifts.agg(F.avg("lift").alias("lift"), at(0.025).alias("low"), at(0.975).alias("high"))
 
-    def pick(frame: pd.DataFrame) -> pd.DataFrame:
-        weight = 1.0 / frame.groupby("concept")["node"].transform("count")
-        gain = weight.groupby(frame["node"]).sum().sort_index().sort_values(ascending=False, kind="stable")
-        chosen = gain.head(k)
-        return pd.DataFrame({"region_id": [frame["region_id"].iloc[0]], "picks": [list(chosen.index)], "oracle_recall": [float(chosen.sum() / frame["concept"].nunique())]})
 
-    kind = dict(truth.dtypes)["region_id"]
-    return truth.groupBy("region_id").applyInPandas(pick, f"region_id {kind}, picks array<string>, oracle_recall double")
+def select_best(results: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """The one setting (columns ``keys``) with the best births-weighted recall on validation at k; ties go by the settings in order.
+
+    results: (keys, k, region_id, n_births, recall_at_k) of the validation origins only.
+    """
+    rows = results.filter(F.col("k") == k).groupBy(*keys).agg((F.sum(F.col("n_births") * F.col("recall_at_k")) / F.sum("n_births")).alias("val_recall"))
+    return rows.orderBy(F.desc(F.round("val_recall", 12)), *keys).limit(1)
+
+
+def greedy_oracle(truth: DataFrame, k: int) -> DataFrame:
+    """region_id, picks, oracle_recall: the k members that cover most of the births' parents, each birth weighing one; ties by name.
+
+    A birth's recall is a sum over its parents, so the best set is the k members with the largest sums.
+    """
+    weight = truth.withColumn("w", 1.0 / F.count(F.lit(1)).over(Window.partitionBy("region_id", "concept")))
+    births = truth.groupBy("region_id").agg(F.countDistinct("concept").alias("n_births"))
+    gain = weight.groupBy("region_id", "node").agg(F.sum("w").alias("gain"))
+    best = gain.withColumn("r", F.row_number().over(Window.partitionBy("region_id").orderBy(F.desc(F.round("gain", 9)), "node"))).filter(F.col("r") <= k)
+    out = best.groupBy("region_id").agg(F.sort_array(F.collect_list(F.struct("r", "node"))).alias("p"), F.sum("gain").alias("gain")).join(births, "region_id")
+    return out.select("region_id", F.col("p.node").alias("picks"), (F.col("gain") / F.col("n_births")).alias("oracle_recall"))

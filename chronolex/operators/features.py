@@ -103,11 +103,24 @@ def embedding_spread(vectors: DataFrame, unit: str, least: int = 3) -> DataFrame
     return out.select(unit, "n_vectors", F.when(F.col("n_vectors") >= least, F.col("s")).alias("embedding_spread"))
 
 
-def centroid_distances(vectors: DataFrame, unit: str) -> DataFrame:
-    """a < b, centroid_distance between all units of a small set of centroids."""
+def embedding_influx(nodes: DataFrame, before: DataFrame, lines: DataFrame, vectors: DataFrame) -> DataFrame:
+    """region_id, embedding_spread, embedding_influx (against the parent's members of a year earlier, by the same vectors), embedding_missing.
+
+    nodes, before: (region_id, node); lines: (region_id, parent_id), null without a parent; vectors: (node, vec).
+    """
+    of = lambda n: embedding_spread(n.join(vectors, "node").select("region_id", "vec"), "region_id").select("region_id", "embedding_spread")
+    past = of(before).select(F.col("region_id").alias("parent_id"), F.col("embedding_spread").alias("s1"))
+    out = nodes.select("region_id").distinct().join(of(nodes), "region_id", "left").join(lines.select("region_id", "parent_id"), "region_id", "left").join(past, "parent_id", "left")
+    influx = F.col("embedding_spread") - F.col("s1")
+    return out.select("region_id", "embedding_spread", influx.alias("embedding_influx"), influx.isNull().alias("embedding_missing"))
+
+
+def centroid_distances(vectors: DataFrame, unit: str, pairs: DataFrame) -> DataFrame:
+    """a, b, centroid_distance for given pairs of units with three vectors or more each."""
     c = centroid(vectors, unit).filter("n >= 3")
-    a, b = c.select(F.col(unit).alias("a"), F.col("center").alias("ca"), F.lit(1).alias("j")), c.select(F.col(unit).alias("b"), F.col("center").alias("cb"), F.lit(1).alias("j"))
-    return a.join(b, "j").filter("a < b").select("a", "b", (1 - dot(F.col("ca"), F.col("cb")) / (norm(F.col("ca")) * norm(F.col("cb")))).alias("centroid_distance"))
+    side = lambda name, center: c.select(F.col(unit).alias(name), F.col("center").alias(center))
+    rows = pairs.select("a", "b").join(side("a", "ca"), "a").join(side("b", "cb"), "b")
+    return rows.select("a", "b", (1 - dot(F.col("ca"), F.col("cb")) / (norm(F.col("ca")) * norm(F.col("cb")))).alias("centroid_distance"))
 
 
 def bridges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -116,6 +129,24 @@ def bridges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return x.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"), "u", "v").distinct().groupBy("a", "b").agg(F.count(F.lit(1)).alias("bridge_mass"))
 
 
+def pair_features(nodes: DataFrame, edges: DataFrame, before: DataFrame, concepts: DataFrame, vectors: DataFrame, origin: int) -> DataFrame:
+    """Of pairs of regions with a bridge: sizes, bridge mass now and over last year's edges, growth, dual members and papers, distance.
+
+    Membership is that of the origin on both sides; growth is null, and flagged, where last year has no bridge. vectors: (node, vec).
+    """
+    now = bridges(nodes, edges)
+    past = bridges(nodes, before).withColumnRenamed("bridge_mass", "bridge_mass_prev")
+    size = nodes.groupBy("region_id").agg(F.count(F.lit(1)).alias("n"))
+    of = lambda name: size.select(F.col("region_id").alias(name), F.col("n").alias(f"size_{name}"))
+    far = centroid_distances(nodes.join(vectors, "node").select("region_id", "vec"), "region_id", now)
+    out = now.join(past, ["a", "b"], "left").join(of("a"), "a").join(of("b"), "b").join(dual_papers(nodes, now, concepts, origin), ["a", "b"]).join(far, ["a", "b"], "left")
+    growth = F.col("bridge_mass") / F.greatest(F.lit(1), F.col("bridge_mass_prev"))
+    return out.select(
+        "a", "b", "size_a", "size_b", "bridge_mass", "bridge_mass_prev", F.when(F.col("bridge_mass_prev").isNotNull(), growth).alias("bridge_growth"), F.col("bridge_mass_prev").isNull().alias("bridge_growth_missing"),
+        "dual_citizens", "dual_papers", "centroid_distance", F.col("centroid_distance").isNull().alias("centroid_distance_missing"),
+    )
+
+
 def dual_papers(nodes: DataFrame, pairs: DataFrame, concepts: DataFrame, origin: int) -> DataFrame:
     """a, b, dual_citizens (shared members), dual_papers (papers of three years that touch both), for given pairs of regions."""
     papers = touching(nodes, concepts.filter(F.col("year").between(origin - 2, origin))).select("region_id", "paper_id").distinct()
@@ -145,6 +176,12 @@ def profiles(concepts: DataFrame, births: DataFrame, cfg: Config) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(by_lift)).filter(F.col("rank") <= cfg.profile_top).select("concept", "member", "n", "lift", "rank", "max_date")
 
 
+def admissible(profile: DataFrame, cry: DataFrame, origin: int, m: int) -> DataFrame:
+    """The profiles of births that are confirmed at the origin and whose first papers all lie before its end."""
+    known = cry.filter(F.col("crystallization_year") <= origin - (m - 1)).select("concept")
+    return profile.filter(F.year("max_date") <= origin).join(known, "concept", "left_semi")
+
+
 def subprofiles(profile: DataFrame, least: int = 3) -> DataFrame:
     """members (two or three, sorted), support: sets that stand in the profiles of ``least`` births."""
     a = profile.select("concept", F.col("member").alias("x"))
@@ -154,6 +191,19 @@ def subprofiles(profile: DataFrame, least: int = 3) -> DataFrame:
     return every.groupBy("members").agg(F.count(F.lit(1)).alias("support")).filter(F.col("support") >= least)
 
 
+def parent_sets(sets: DataFrame, found: DataFrame, every: DataFrame, most: int = 1500) -> DataFrame:
+    """unit_id, members, generator, support: the best of both generators, each cut on its own, half of ``most`` from the first.
+
+    sets: (members, support) with the least support; found: (u, v, w) triangles, already the best; every: (members, support)
+    without a floor, so that a triangle that only one birth grew out of has its support. Ties of support go by name.
+    """
+    top = sets.orderBy(F.desc("support"), F.array_join("members", "\u0001")).limit(most // 2).select("members", F.lit(1).alias("a"), F.lit(0).alias("b"))
+    both = top.union(found.select(F.array("u", "v", "w"), F.lit(0), F.lit(1))).groupBy("members").agg(F.max("a").alias("a"), F.max("b").alias("b"))
+    kind = F.when(F.col("b") == 0, "sub_profile").when(F.col("a") == 0, "triangle").otherwise("both")
+    rows = both.join(every, "members", "left").select("members", kind.alias("generator"), F.coalesce("support", F.lit(0)).alias("support"))
+    return rows.select(F.array_join("members", " + ").alias("unit_id"), "members", "generator", "support")
+
+
 def triangles(edges: DataFrame) -> DataFrame:
     b, c = edges.select(F.col("u").alias("v"), F.col("v").alias("w")), edges.select("u", F.col("v").alias("w"))
     return edges.select("u", "v").join(b, "v").join(c, ["u", "w"]).select("u", "v", "w")
@@ -169,15 +219,21 @@ def triangle_pace(edges: DataFrame, concepts: DataFrame, origin: int, most: int
     return rows.orderBy(F.desc("score"), "u", "v", "w").limit(most)
 
 
-def unit_features(sets: DataFrame, concepts: DataFrame, authors: DataFrame, origin: int) -> DataFrame:
-    """Of parent sets (unit_id, members): exposures, velocities, joint papers and share, whether members have met, pace, influx."""
+def unit_features(sets: DataFrame, concepts: DataFrame, authors: DataFrame, origin: int, vectors: DataFrame | None = None) -> DataFrame:
+    """Of parent sets (unit_id, members): exposures, velocities, acceleration, joint papers and share, whether members have met, pace,
+    influx and spread. Sets without a paper in the origin's year are left out. vectors: (node, vec)."""
     nodes = sets.select(F.col("unit_id").alias("region_id"), F.explode("members").alias("node"))
     out = exposure(nodes, concepts, origin).filter("n_t > 0")
     window = concepts.filter(F.col("year").between(origin - 4, origin)).select("paper_id", "year", F.col("concept").alias("node")).distinct()
     need = sets.select(F.col("unit_id").alias("region_id"), F.least(F.lit(2), F.size("members")).alias("need"))
-    hits = nodes.join(window, "node").groupBy("region_id", "paper_id", "year").agg(F.count(F.lit(1)).alias("n")).join(need, "region_id").filter(F.col("n") >= F.col("need"))
-    joint = hits.groupBy("region_id").agg(F.sum((F.col("year") == origin).cast("long")).alias("joint_papers_t"), F.count(F.lit(1)).alias("joint_papers_window"))
-    influx = author_influx(touching(nodes, concepts), authors, "region_id", origin)
-    out = out.join(joint, "region_id", "left").na.fill(0, ["joint_papers_t", "joint_papers_window"]).join(influx, "region_id", "left")
-    return out.select("*", (F.col("joint_papers_t") / F.col("n_t")).alias("joint_share"), (F.col("joint_papers_window") > 0).alias("members_have_met"), (F.col("joint_papers_window") / 3.0).alias("pace")).withColumnRenamed("region_id", "unit_id")
-
+    hits = nodes.join(window, "node").groupBy("region_id", "paper_id", "year").agg(F.count(F.lit(1)).alias("n")).join(need, "region_id")
+    met = F.col("n") >= F.col("need")
+    joint = hits.groupBy("region_id").agg(F.count_if(met & (F.col("year") == origin)).alias("joint_papers_t"), F.count_if(met).alias("joint_papers_window"), (F.count(F.lit(1)) / 3.0).alias("pace"))
+    accel = quarter_acceleration(nodes, concepts, origin).select("region_id", "yoy_quarter_accel") if "quarter" in concepts.columns else None
+    out = out.join(joint, "region_id", "left").join(author_influx(touching(nodes, concepts), authors, "region_id", origin), "region_id", "left")
+    if accel is not None:
+        out = out.join(accel, "region_id", "left")
+    if vectors is not None:
+        spread = embedding_spread(nodes.join(vectors, "node").select("region_id", "vec"), "region_id", 2).select("region_id", "embedding_spread")
+        out = out.join(spread, "region_id", "left").withColumn("embedding_missing", F.col("embedding_spread").isNull())
+    return out.select("*", (F.col("joint_papers_t") / F.col("n_t")).alias("joint_share"), (F.col("joint_papers_window") > 0).alias("members_have_met")).withColumnRenamed("region_id", "unit_id")

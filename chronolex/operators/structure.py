@@ -29,21 +29,30 @@ def local(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def boundary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(region_id, node): degree, external degree and share, other regions next door, dual citizenship."""
-    around = nodes.join(both_ways(edges), "node")
+    """(region_id, node): degree, external degree and share, external degree by region size, weight of external edges, other regions
+    next door, dual citizenship. edges: (u, v) or (u, v, weight)."""
+    weighted = edges if "weight" in edges.columns else edges.withColumn("weight", F.lit(1.0))
+    around = nodes.join(both_ways(weighted, "weight"), "node")
     member = nodes.select("region_id", F.col("node").alias("other"), F.lit(1).alias("inside"))
-    deg = around.join(member, ["region_id", "other"], "left").groupBy("region_id", "node").agg(F.count(F.lit(1)).alias("degree"), F.count("inside").alias("deg_in"))
-    near = around.join(nodes.select(F.col("node").alias("other"), F.col("region_id").alias("r2")), "other").filter("r2 != region_id").groupBy("region_id", "node").agg(F.countDistinct("r2").alias("n_other_regions"))
+    deg = around.join(member, ["region_id", "other"], "left").groupBy("region_id", "node").agg(F.count(F.lit(1)).alias("degree"), F.count("inside").alias("deg_in"), F.sum(F.when(F.col("inside").isNull(), F.col("weight"))).alias("bridge_mass"))
+    near = around.join(nodes.select(F.col("node").alias("other"), F.col("region_id").alias("r2")), "other").join(member.withColumnRenamed("inside", "own"), ["region_id", "other"], "left").filter("r2 != region_id and own is null")
+    near = near.groupBy("region_id", "node").agg(F.countDistinct("r2").alias("n_other_regions"))
     homes = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("homes"))
-    out = nodes.join(deg, ["region_id", "node"], "left").join(near, ["region_id", "node"], "left").join(homes, "node").na.fill(0)
+    size = nodes.groupBy("region_id").agg(F.count(F.lit(1)).alias("size"))
+    out = nodes.join(deg, ["region_id", "node"], "left").join(near, ["region_id", "node"], "left").join(homes, "node").join(size, "region_id").na.fill(0)
     ext = F.col("degree") - F.col("deg_in")
-    return out.select("region_id", "node", "degree", ext.alias("ext_degree"), F.when(F.col("degree") > 0, ext / F.col("degree")).otherwise(0.0).alias("ext_ratio"), "n_other_regions", (F.col("homes") > 1).alias("is_dual_citizen"))
+    return out.select(
+        "region_id", "node", "degree", ext.alias("ext_degree"), F.when(F.col("degree") > 0, ext / F.col("degree")).otherwise(0.0).alias("ext_ratio"), (ext / F.col("size")).alias("ext_deg_norm"),
+        F.coalesce("bridge_mass", F.lit(0.0)).alias("bridge_mass"), "n_other_regions", (F.col("homes") > 1).alias("is_dual_citizen"),
+    )
 
 
 def dynamic(nodes: DataFrame, graphs: list[DataFrame]) -> DataFrame:
-    """(region_id, node): degree growth over one and two years, share of new edges, mean age and age of the newest edge, turnover.
+    """(region_id, node): degree growth over one and two years, share of new edges, mean age and age of the newest edge, turnover, and
+    weight inside the region by last year's degree.
 
-    graphs: edges of the origin's year, one and two years before; an edge's age is how many years back it goes, at most two.
+    graphs: edges of the origin's year (with weights or without), one and two years before. An edge's age is how many years
+    back it goes, at most two; a node without edges has mean age 0 and newest age 2.
     """
     flags = None
     for i, g in enumerate(graphs):
@@ -53,22 +62,37 @@ def dynamic(nodes: DataFrame, graphs: list[DataFrame]) -> DataFrame:
     age = F.when(F.col("g1") == 0, 0).when(F.col("g2") == 0, 1).otherwise(2)
     now = F.col("g0") == 1
     per = e.groupBy("node").agg(
-        F.sum("g0").alias("d0"), F.sum("g1").alias("d1"), F.sum("g2").alias("d2"), F.sum((now & (F.col("g1") == 0)).cast("long")).alias("fresh"),
-        F.sum(((F.col("g0") == 0) & (F.col("g1") == 1)).cast("long")).alias("lost"), F.avg(F.when(now, age)).alias("edge_mean_age"), F.min(F.when(now, age)).alias("newest_edge_age"),
+        F.sum("g0").alias("d0"), F.sum("g1").alias("d1"), F.sum("g2").alias("d2"), F.count_if(now & (F.col("g1") == 0)).alias("fresh"), F.count_if(~now & (F.col("g1") == 1)).alias("lost"),
+        F.count_if(now | (F.col("g1") == 1)).alias("either"), F.avg(F.when(now, age)).alias("age"), F.min(F.when(now, age)).alias("newest"),
     )
-    rows = nodes.join(per, "node", "left")
-    zero = lambda c: F.coalesce(c, F.lit(0))
+    weighted = graphs[0] if "weight" in graphs[0].columns else graphs[0].withColumn("weight", F.lit(1.0))
+    inner = inner_edges(nodes, weighted).join(weighted.select("u", "v", "weight"), ["u", "v"])
+    inside = inner.select("region_id", F.col("u").alias("node"), "weight").union(inner.select("region_id", "v", "weight")).groupBy("region_id", "node").agg(F.sum("weight").alias("w"))
+    rows = nodes.join(per, "node", "left").join(inside, ["region_id", "node"], "left").na.fill(0, ["d0", "d1", "d2", "fresh", "lost", "either", "w"])
+    least = lambda x, c: F.greatest(F.lit(x), c)
+    d0, d1, d2 = F.col("d0"), F.col("d1"), F.col("d2")
     return rows.select(
-        "region_id", "node", (zero("d0") / F.greatest(F.lit(1), zero("d1"))).alias("deg_growth_1y"), (zero("d0") / F.greatest(F.lit(1), zero("d2"))).alias("deg_growth_2y"),
-        (zero("fresh") / F.greatest(F.lit(1), zero("d0"))).alias("new_edge_share"), "edge_mean_age", "newest_edge_age", ((zero("fresh") + zero("lost")) / F.greatest(F.lit(1), zero("d0") + zero("d1"))).alias("edge_turnover"),
+        "region_id", "node", (d0 / least(1, d1)).alias("deg_growth_1y"), (d0 / least(1.0, (d1 + d2) / 2)).alias("deg_growth_2y"), (F.col("fresh") / least(1, d0)).alias("new_edge_share"),
+        F.coalesce("age", F.lit(0.0)).alias("edge_mean_age"), F.coalesce("newest", F.lit(2)).cast("double").alias("newest_edge_age"), ((F.col("fresh") + F.col("lost")) / least(1, F.col("either"))).alias("edge_turnover"),
+        (F.col("w") / least(1.0, d1.cast("double"))).alias("wdeg_growth"),
     )
 
 
-def neighbour(nodes: DataFrame, edges: DataFrame, values: DataFrame) -> DataFrame:
-    """(region_id, node): means and maxima of the neighbours' papers and velocities. values: (node, n_t, velocity)."""
-    near = both_ways(edges).join(values.select(F.col("node").alias("other"), "n_t", "velocity"), "other")
-    per = near.groupBy("node").agg(F.avg("velocity").alias("nb_mean_velocity"), F.max("velocity").alias("nb_max_velocity"), F.avg("n_t").alias("nb_mean_n_t"))
-    return nodes.join(per, "node", "left").select("region_id", "node", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("nb_mean_velocity", "nb_max_velocity", "nb_mean_n_t")])
+def neighbour(nodes: DataFrame, edges: DataFrame, values: DataFrame, births: DataFrame | None = None, origin: int = 0, m: int = 2) -> DataFrame:
+    """(region_id, node): means and maxima over the neighbours in the region of papers and velocities, and with ``births`` the share
+    that crystallized in the last years as far as confirmed, and the mean age since coinage.
+
+    values: (node, n_t, velocity); births: (concept, coinage_year, crystallization_year).
+    """
+    inner = inner_edges(nodes, edges)
+    near = inner.select("region_id", F.col("u").alias("node"), F.col("v").alias("other")).union(inner.select("region_id", "v", "u")).join(values.select(F.col("node").alias("other"), "n_t", "velocity").distinct(), "other", "left").na.fill(0, ["n_t", "velocity"])
+    means = {"nb_mean_velocity": F.avg("velocity"), "nb_max_velocity": F.max("velocity"), "nb_mean_n_t": F.avg("n_t")}
+    if births is not None:
+        near = near.join(births.select(F.col("concept").alias("other"), "coinage_year", F.col("crystallization_year").alias("cry")), "other", "left")
+        recent = F.coalesce(F.col("cry").between(origin - 2, origin - (m - 1)), F.lit(False))
+        means |= {"nb_recent_share": F.avg(recent.cast("double")), "nb_mean_coinage_age": F.avg(F.lit(origin) - F.coalesce("coinage_year", F.lit(origin)))}
+    per = near.groupBy("region_id", "node").agg(*[c.alias(n) for n, c in means.items()])
+    return nodes.join(per, ["region_id", "node"], "left").select("region_id", "node", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in means])
 
 
 def brokerage(edges: DataFrame) -> DataFrame:

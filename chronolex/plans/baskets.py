@@ -106,6 +106,36 @@ class Baskets:
         """Regions that need no graph: labels by the second word of the name. (region_id, node)."""
         return self.labels.select(F.split("concept", " ")[1].alias("region_id"), F.col("concept").alias("node")).distinct()
 
+    @cached_property
+    def label_births(self) -> DataFrame:
+        """concept, coinage_year, crystallization_year (null where there is none) of every label."""
+        own = registry.series(self.labels)
+        cry = registry.frequency_windows(own, self.cfg).groupBy("concept").agg(F.min("t").alias("crystallization_year"))
+        return own.groupBy("concept").agg(F.min("year").alias("coinage_year")).join(cry, "concept", "left")
+
+    @cached_property
+    def vectors(self) -> DataFrame:
+        """node, vec: each label has the vector that its least part key falls on."""
+        keys = self.read("part").groupBy(F.concat_ws(" ", "p_name", F.lower("p_type")).alias("node")).agg(F.min("p_partkey").alias("pk"))
+        table = self.read("embeddings")
+        size = table.agg(F.count(F.lit(1)).alias("n")).scalar()
+        return keys.withColumn("vec_id", F.col("pk") % size).join(table.select("vec_id", F.col("embedding").alias("vec")), "vec_id").select("node", "vec")
+
+    def two(self) -> DataFrame:
+        """Two overlapping systems of regions: by the second and by the first word of the name."""
+        return self.blocks().union(self.blocks().select(F.concat(F.lit("x "), F.split("node", " ")[0]), "node"))
+
+    def weighted(self, origin: int) -> DataFrame:
+        """The binarised graph's edges with their weights."""
+        return self.edges(origin).filter((F.col("n_papers") >= self.cfg.binarize_papers) & (F.col("lift") >= self.cfg.binarize_lift)).select("u", "v", "weight")
+
+    def attached_at(self, origin: int) -> DataFrame:
+        """Births of the two years after an origin, attached to the overlapping regions."""
+        own = registry.frequency_windows(registry.series(self.labels), self.cfg).groupBy("concept").agg(F.min("t").alias("t"))
+        births = own.filter(F.col("t").between(origin + 1, origin + 2)).select("concept")
+        profile = features.profiles(self.labels, births, self.cfg.with_(profile_min_count=2))
+        return attach.attach(births, profile, self.two(), self.population(origin), self.cfg).withColumn("origin", F.lit(origin))
+
     @cached_property
     def births(self) -> DataFrame:
         """Labels that reach the yearly threshold for the first time in the two years after BEFORE."""

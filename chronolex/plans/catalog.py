@@ -33,6 +33,11 @@ CTE = {
     "cens": "SELECT concept FROM ser, ky WHERE year = 2000 AND n_papers >= k AND concept NOT IN (SELECT concept FROM fw)",
     "lb": "SELECT paper_id, term AS concept, v1_date, year, quarter FROM ev WHERE length(term) - length(replace(term, ' ', '')) = 2",
     "bk": "SELECT DISTINCT split_part(concept, ' ', 2) AS region_id, concept AS node FROM lb",
+    "two": "SELECT region_id, node FROM bk UNION ALL SELECT 'x ' || split_part(node, ' ', 1), node FROM bk",
+    "ve": "SELECT node, embedding AS vec FROM (SELECT p_name || ' ' || lower(p_type) AS node, min(p_partkey) AS pk FROM part GROUP BY 1) JOIN embeddings ON vec_id = pk % (SELECT count(*) FROM embeddings)",
+    "ls": "SELECT concept, year, count(DISTINCT paper_id) AS n FROM lb GROUP BY ALL",
+    "lw": "SELECT a.concept, min(a.year) AS t FROM ls a JOIN ls b ON a.concept = b.concept AND b.year = a.year + 1, ky WHERE a.n >= k AND b.n >= k AND a.year <= 1999 GROUP BY 1",
+    "bt": "SELECT concept, min(year) AS coinage_year, any_value(t) AS cry FROM ls LEFT JOIN lw USING (concept) GROUP BY 1",
     "dc": r"SELECT doc_id AS id, DATE '2016-01-01' + CAST(doc_id % 3650 AS INT) AS v1_date, [{lemma} for x in regexp_extract_all(lower(translate(text, '‐‑‒–—−', '------')), '[\p{{L}}\p{{N}}][\p{{L}}\p{{N}}\p{{M}}]*(?:[-''’][\p{{L}}\p{{N}}][\p{{L}}\p{{N}}\p{{M}}]*)*|[^\p{{L}}\p{{N}}\p{{M}}\p{{Z}}\p{{C}}]')] AS words FROM documents",
     "tk": "SELECT id, v1_date, unnest(words) AS lemma, unnest(range(1, len(words) + 1)) AS i FROM dc",
     "tg": "SELECT *, CASE {tag} END AS pos FROM tk",
@@ -166,9 +171,34 @@ def _(b: Baskets) -> DataFrame:
     return registry.power_gate(b.cry, [1996, 1997, 1998], 10)
 
 
-@query("author_groups")
+_GROUPS = {
+    "gp": "SELECT DISTINCT fw.concept, fw.t, ce.paper_id FROM fw JOIN ce ON ce.concept = fw.concept AND ce.year IN (fw.t, fw.t + 1)",
+    "ga": "SELECT concept, t, paper_id, author FROM gp JOIN au USING (paper_id)",
+    "gs": "SELECT DISTINCT x.concept, x.t, x.author AS s, y.author AS hub FROM ga x JOIN ga y USING (concept, t, paper_id) WHERE x.author LIKE 's%' AND y.author LIKE 'c%'",
+    "ge": "SELECT DISTINCT concept, t, s AS a, min(s) OVER (PARTITION BY concept, t, hub) AS b FROM gs",
+    "gb": "SELECT concept, t, a, b FROM ge UNION SELECT concept, t, b, a FROM ge",
+    "gr": "SELECT concept, t, a AS node, a AS o FROM gb UNION SELECT gr.concept, gr.t, gr.node, gb.b FROM gr JOIN gb ON gb.concept = gr.concept AND gb.t = gr.t AND gb.a = gr.o",
+}
+
+
+# Every paper has a buyer and suppliers, so suppliers that share a buyer are linked, and components of suppliers are those of papers.
+@query("author_groups", with_("SELECT concept, t, count(DISTINCT root)::INT AS n_groups FROM (SELECT concept, t, node, min(o) AS root FROM gr GROUP BY ALL) GROUP BY ALL", SERIES + " au", _GROUPS, recursive=True))
 def _(b: Baskets) -> DataFrame:
-    return registry.author_groups(b.windows, b.concepts(), b.authors, b.cfg)
+    return registry.author_groups(b.windows, b.resolved, b.authors, b.cfg)
+
+
+_NATIONS = {
+    "na": "SELECT o_orderkey AS paper_id, c_nationkey AS author FROM orders JOIN customer ON c_custkey = o_custkey",
+    "ng": "SELECT fw.concept, fw.t, count(DISTINCT author) AS g FROM fw JOIN ce ON ce.concept = fw.concept AND ce.year IN (fw.t, fw.t + 1) JOIN na USING (paper_id) GROUP BY ALL",
+    "nc": "SELECT concept, min(t) AS t FROM ng WHERE g >= 23 GROUP BY 1",
+}
+
+
+@query("births_by_nations", with_("SELECT concept, nc.t AS crystallization_year, g::INT AS n_author_groups FROM nc JOIN ng USING (concept, t)", SERIES, _NATIONS))
+def _(b: Baskets) -> DataFrame:
+    nations = b.papers.select("paper_id", F.col("o_custkey").alias("c_custkey")).join(b.read("customer").select("c_custkey", F.col("c_nationkey").alias("author")), "c_custkey")
+    cfg = b.cfg.with_(min_groups=23)
+    return registry.crystallizations(b.windows, registry.author_groups(b.windows, b.resolved, nations, cfg), cfg)
 
 
 # --- graph ------------------------------------------------------------------------------------------------------------
@@ -246,6 +276,68 @@ def _(b: Baskets) -> DataFrame:
     return graph.lineage(at(2000, 1, "region_id"), at(1999, 0, "region_id"), 0.3).select("region_id", "parent_id", *r6("jaccard"), "event")
 
 
+_CLIQUES = {
+    "k3": "SELECT a.u, a.v, b.v AS w FROM bn a JOIN bn b ON a.v = b.u JOIN bn c ON c.u = a.u AND c.v = b.v",
+    "k4": "SELECT k3.*, d.v AS x FROM k3 JOIN bn d ON d.u = w WHERE (k3.u, d.v) IN (SELECT u, v FROM bn) AND (k3.v, d.v) IN (SELECT u, v FROM bn)",
+    "k5": "SELECT k4.*, e.v AS y FROM k4 JOIN bn e ON e.u = x WHERE (k4.u, e.v) IN (SELECT u, v FROM bn) AND (k4.v, e.v) IN (SELECT u, v FROM bn) AND (k4.w, e.v) IN (SELECT u, v FROM bn)",
+    "sb": "SELECT u, v FROM eg WHERE n_papers >= 3 AND lift >= 1.5",
+}
+_LOOSE_GRAPH = {n: q for n, q in window_ctes(ORIGIN).items()} | {"sb": _CLIQUES["sb"]} | {n: q.replace("bn", "sb") for n, q in _CLIQUES.items() if n != "sb"}
+
+
+@query("clique_counts", with_("SELECT 3 AS k, count(*) AS n FROM k3 UNION ALL SELECT 4, count(*) FROM k4 UNION ALL SELECT 5, count(*) FROM k5", "pp lt ev lb", _LOOSE_GRAPH))
+def _(b: Baskets) -> DataFrame:
+    edges, out = graph.binarize(b.edges(ORIGIN), 3, 1.5), None
+    for k in (3, 4, 5):
+        one = graph.cliques(edges, k).agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("k"), "n")
+        out = one if out is None else out.union(one)
+    return out
+
+
+_K4 = _LOOSE_GRAPH | {
+    "qf": "SELECT u || chr(1) || v || chr(1) || w || chr(1) || x AS c, unnest([u || chr(1) || v || chr(1) || w, u || chr(1) || v || chr(1) || x, u || chr(1) || w || chr(1) || x, v || chr(1) || w || chr(1) || x]) AS f FROM k4",
+    "qk": "SELECT DISTINCT c AS a, min(c) OVER (PARTITION BY f) AS b FROM qf",
+    "qb": "SELECT a, b FROM qk UNION SELECT b, a FROM qk",
+    "qr": "SELECT a, a AS o FROM qb UNION SELECT qr.a, qb.b FROM qr JOIN qb ON qr.o = qb.a",
+    "qn": "SELECT DISTINCT root, unnest(string_split(c, chr(1))) AS node FROM (SELECT a AS c, min(o) AS root FROM qr GROUP BY 1)",
+}
+
+
+@query("k4_regions", with_("SELECT (row_number() OVER (ORDER BY size DESC, members) - 1)::INT AS region_no, size, replace(members, chr(1), '|') AS members FROM (SELECT count(*) AS size, string_agg(node, chr(1) ORDER BY node) AS members FROM qn GROUP BY root)", "pp lt ev lb", _K4, recursive=True))
+def _(b: Baskets) -> DataFrame:
+    return graph.regions(graph.binarize(b.edges(ORIGIN), 3, 1.5), 4).select("region_no", "size", F.array_join("members", "|").alias("members"))
+
+
+@query("binarised_by_weight", with_("SELECT u, v FROM eg WHERE weight >= 0.9999999 AND lift >= 2.0", "pp lt ev lb", window_ctes(ORIGIN)))
+def _(b: Baskets) -> DataFrame:
+    return graph.binarize(b.edges(ORIGIN).withColumn("weight", F.round("weight", 9)), 0, 2.0, "weight")
+
+
+@query("graph_stats", with_("SELECT (SELECT count(*) FROM eg) AS edges_weighted, (SELECT count(*) FROM (SELECT u FROM eg UNION SELECT v FROM eg)) AS nodes_in_graph, (SELECT count(*) FROM bn) AS edges_binarized, (SELECT count(*) FROM (SELECT u FROM bn UNION SELECT v FROM bn)) AS nodes_binarized", "pp lt ev lb", window_ctes(ORIGIN)))
+def _(b: Baskets) -> DataFrame:
+    return graph.graph_stats(b.edges(ORIGIN), b.cfg)
+
+
+_TIMES = {
+    "cur": "SELECT concept AS node, split_part(concept, ' ', 2) AS region_id, count(*) OVER (PARTITION BY split_part(concept, ' ', 2)) AS na FROM (SELECT concept FROM lb WHERE year = 2000 GROUP BY 1 HAVING count(*) >= 15)",
+    "old": "SELECT concept AS node, split_part(concept, ' ', 1) AS parent_id, count(*) OVER (PARTITION BY split_part(concept, ' ', 1)) AS nb FROM (SELECT concept FROM lb WHERE year = 1999 GROUP BY 1 HAVING count(*) >= 15)",
+    "lj": "SELECT region_id, arg_max(parent_id, (jaccard, -ascii(parent_id))) AS p, max(jaccard) AS j FROM (SELECT region_id, parent_id, count(*)::DOUBLE / (any_value(na) + any_value(nb) - count(*)) AS jaccard FROM cur JOIN old USING (node) GROUP BY ALL) GROUP BY 1",
+    "li": "SELECT region_id, CASE WHEN j >= 0.02 THEN p END AS parent_id FROM (SELECT DISTINCT region_id FROM cur) LEFT JOIN lj USING (region_id)",
+}
+
+
+def _at(b: Baskets, year: int, word: int, name: str) -> DataFrame:
+    often = b.labels.filter(F.col("year") == year).groupBy("concept").agg(F.count(F.lit(1)).alias("n")).filter("n >= 15")
+    return often.groupBy(F.split("concept", " ")[word].alias(name)).agg(F.collect_list("concept").alias("members"))
+
+
+@query("lineage_stats", with_("""SELECT count(parent_id) AS n_matched, count(*) - count(parent_id) AS n_born, (SELECT count(*) FROM (SELECT parent_id FROM li WHERE parent_id IS NOT NULL GROUP BY 1 HAVING count(*) > 1)) AS n_splits,
+    (SELECT count(*) FROM (SELECT DISTINCT parent_id FROM old) WHERE parent_id NOT IN (SELECT parent_id FROM li WHERE parent_id IS NOT NULL)) AS n_died FROM li""", "pp lt ev lb", _TIMES))
+def _(b: Baskets) -> DataFrame:
+    before = _at(b, 1999, 0, "region_id")
+    return graph.lineage_stats(graph.lineage(_at(b, 2000, 1, "region_id"), before, 0.02), before)
+
+
 # --- units ------------------------------------------------------------------------------------------------------------
 
 _TOUCH = {"tp": "SELECT DISTINCT region_id, paper_id, year, quarter FROM bk JOIN lb ON node = concept"}
@@ -272,15 +364,32 @@ def _(b: Baskets) -> DataFrame:
     return features.density(b.blocks(), b.strong(ORIGIN)).select("region_id", "size", "edges_internal", *r6("density"))
 
 
-@query("edge_velocity")
+_INNER_PAST = {n + "1": q.replace(" wp", " wp1").replace("FROM wp)", "FROM wp1)").replace(" wd", " wd1").replace(" cp", " cp1").replace(" pr", " pr1").replace(" eg", " eg1") for n, q in window_ctes(ORIGIN - 1).items()} | {
+    "inn1": "SELECT x.region_id, u, v FROM bn1 JOIN bk x ON x.node = u JOIN bk y ON y.node = v AND x.region_id = y.region_id"}
+
+
+@query("edge_velocity", with_("""SELECT region_id, round(CASE WHEN region_id >= 'g' THEN e0 / greatest(1.0, e1) END, 6) AS edge_velocity, round(CASE WHEN region_id >= 'g' AND size > 2 THEN 2.0 * (e0 - e1) / (size * (size - 1)) END, 6) AS density_change, region_id < 'g' AS graph_delta_missing, region_id >= 'g' AS has_lineage_parent
+    FROM (SELECT region_id, count(*) AS size, (SELECT count(*) FROM inn WHERE inn.region_id = bk.region_id) AS e0, (SELECT count(*) FROM inn1 WHERE inn1.region_id = bk.region_id) AS e1 FROM bk GROUP BY 1)""", "pp lt ev lb bk", window_ctes(ORIGIN) | _INNER | _INNER_PAST))
 def _(b: Baskets) -> DataFrame:
     lines = b.blocks().select("region_id").distinct().withColumn("event", F.when(F.col("region_id") < "g", "born").otherwise("matched"))
-    return features.edge_velocity(b.blocks(), b.strong(ORIGIN), b.strong(ORIGIN - 1), lines)
+    out = features.edge_velocity(b.blocks(), b.strong(ORIGIN), b.strong(ORIGIN - 1), lines)
+    return out.select("region_id", *r6("edge_velocity", "density_change"), "graph_delta_missing", "has_lineage_parent")
+
+
+_PACE = {
+    "jp": "SELECT DISTINCT i.u, i.v, a.paper_id, y.year FROM (SELECT DISTINCT u, v FROM inn) i JOIN wp a ON a.concept = i.u JOIN wp b ON b.concept = i.v AND b.paper_id = a.paper_id JOIN pp y ON y.paper_id = a.paper_id",
+    "ra": "SELECT u, v, count(*)::DOUBLE / (max(year) - min(year) + 1) AS pace FROM jp GROUP BY ALL",
+    "ja": "SELECT u, v, paper_id, author FROM jp JOIN au USING (paper_id)",
+    "je": "SELECT DISTINCT u, v, paper_id AS a, min(paper_id) OVER (PARTITION BY u, v, author) AS b FROM ja",
+    "jb": "SELECT u, v, a, b FROM je UNION SELECT u, v, b, a FROM je",
+    "jr": "SELECT u, v, a AS node, a AS o FROM jb UNION SELECT jr.u, jr.v, jr.node, jb.b FROM jr JOIN jb ON jb.u = jr.u AND jb.v = jr.v AND jb.a = jr.o",
+    "br": "SELECT u, v, count(DISTINCT root) AS n_groups FROM (SELECT u, v, node, min(o) AS root FROM jr GROUP BY ALL) GROUP BY ALL",
+}
 
 
-@query("pace_breadth")
+@query("pace_breadth", with_("SELECT region_id, round(median(pace), 6) AS pace_collaboration, median(n_groups)::DOUBLE AS social_breadth, median(pace) IS NULL AS pace_missing FROM (SELECT DISTINCT region_id FROM bk) LEFT JOIN (SELECT region_id, pace, n_groups FROM inn JOIN ra USING (u, v) JOIN br USING (u, v)) USING (region_id) GROUP BY 1", "pp lt ev au lb bk", window_ctes(ORIGIN) | _INNER | _PACE, recursive=True))
 def _(b: Baskets) -> DataFrame:
-    return features.pace(b.blocks(), b.strong(ORIGIN), b.labels, b.authors, ORIGIN)
+    return features.pace(b.blocks(), b.strong(ORIGIN), b.labels, b.authors, ORIGIN).select("region_id", *r6("pace_collaboration"), "social_breadth", "pace_missing")
 
 
 @query("author_influx", with_("""SELECT region_id, round(CASE WHEN sum(now) > 0 THEN sum(now * (1 - past))::DOUBLE / sum(now) END, 6) AS author_influx FROM
@@ -299,37 +408,61 @@ def _(b: Baskets) -> DataFrame:
     return features.embedding_spread(vectors, "label").select("label", "n_vectors", F.round("embedding_spread", 5).alias("embedding_spread"))
 
 
-@query("centroid_distance", with_("""SELECT p.label AS a, q.label AS b, round(1 - sum(p.c * q.c) / (sqrt(sum(p.c * p.c)) * sqrt(sum(q.c * q.c))), 5) AS centroid_distance FROM cen p JOIN cen q ON p.d = q.d AND p.label < q.label GROUP BY ALL""", "", _CEN))
+@query("centroid_distance", with_("""SELECT p.label AS a, q.label AS b, round(1 - sum(p.c * q.c) / (sqrt(sum(p.c * p.c)) * sqrt(sum(q.c * q.c))), 5) AS centroid_distance FROM cen p JOIN cen q ON p.d = q.d AND q.label IN (p.label + 1, p.label + 2) WHERE p.n >= 3 AND q.n >= 3 GROUP BY ALL""", "", _CEN))
 def _(b: Baskets) -> DataFrame:
     vectors = b.read("embeddings").select("label", F.col("embedding").alias("vec"))
-    return features.centroid_distances(vectors, "label").select("a", "b", F.round("centroid_distance", 5).alias("centroid_distance"))
+    labels = vectors.select("label").distinct()
+    pairs = labels.select(F.col("label").alias("a"), F.explode(F.array(F.col("label") + 1, F.col("label") + 2)).alias("b"))
+    return features.centroid_distances(vectors, "label", pairs).select("a", "b", F.round("centroid_distance", 5).alias("centroid_distance"))
+
+
+_NODE_VECTORS = {
+    "nx": "SELECT region_id, node, unnest(vec)::DOUBLE AS x, unnest(range(1, len(vec) + 1)) AS d FROM two JOIN ve USING (node)",
+    "nc": "SELECT region_id, d, avg(x) AS c, count(*) AS n FROM nx GROUP BY ALL",
+    "nd": "SELECT region_id, node, 1 - sum(x * c) / (sqrt(sum(x * x)) * sqrt(sum(c * c))) AS dist, any_value(n) AS n FROM nx JOIN nc USING (region_id, d) GROUP BY ALL",
+}
+_BRIDGES = {
+    "b0": "SELECT least(x.region_id, y.region_id) AS a, greatest(x.region_id, y.region_id) AS b, count(DISTINCT (u, v)) AS n FROM bn JOIN two x ON x.node = u JOIN two y ON y.node = v AND x.region_id <> y.region_id GROUP BY ALL",
+    "b1": "SELECT least(x.region_id, y.region_id) AS a, greatest(x.region_id, y.region_id) AS b, count(DISTINCT (u, v)) AS n FROM bn1 JOIN two x ON x.node = u JOIN two y ON y.node = v AND x.region_id <> y.region_id GROUP BY ALL",
+    "sz": "SELECT region_id, count(*) AS n FROM two GROUP BY 1",
+    "t3": "SELECT DISTINCT region_id, paper_id FROM two JOIN lb ON node = concept WHERE year BETWEEN 1998 AND 2000",
+    "dp2": "SELECT x.region_id AS a, y.region_id AS b, count(*) AS n FROM t3 x JOIN t3 y ON x.paper_id = y.paper_id AND x.region_id < y.region_id GROUP BY ALL",
+    "dn": "SELECT x.region_id AS a, y.region_id AS b, count(*) AS n FROM two x JOIN two y ON x.node = y.node AND x.region_id < y.region_id GROUP BY ALL",
+}
 
 
-_TWO = "two AS (SELECT region_id, node FROM bk UNION ALL SELECT 'x ' || split_part(node, ' ', 1), node FROM bk)"
+@query("bridge_mass", with_("SELECT a, b, n AS bridge_mass FROM b0", "pp lt ev lb bk two", window_ctes(ORIGIN) | {"b0": _BRIDGES["b0"]}))
+def _(b: Baskets) -> DataFrame:
+    return features.bridges(b.two(), b.strong(ORIGIN))
 
 
-def _two(b: Baskets) -> DataFrame:
-    """Two overlapping systems of regions: by the second and by the first word of the name."""
-    return b.blocks().union(b.blocks().select(F.concat(F.lit("x "), F.split("node", " ")[0]), "node"))
+@query("dual_papers", with_("SELECT b0.a, b0.b, coalesce(dn.n, 0) AS dual_citizens, coalesce(dp2.n, 0) AS dual_papers FROM b0 LEFT JOIN dn USING (a, b) LEFT JOIN dp2 USING (a, b)", "pp lt ev lb bk two", window_ctes(ORIGIN) | {n: q for n, q in _BRIDGES.items() if n != "b1"}))
+def _(b: Baskets) -> DataFrame:
+    return features.dual_papers(b.two(), features.bridges(b.two(), b.strong(ORIGIN)), b.labels, ORIGIN)
 
 
-@query("bridge_mass", with_("""SELECT least(x.region_id, y.region_id) AS a, greatest(x.region_id, y.region_id) AS b, count(DISTINCT (u, v)) AS bridge_mass FROM bn JOIN two x ON x.node = u JOIN two y ON y.node = v AND x.region_id <> y.region_id GROUP BY ALL""",
-    "pp lt ev lb bk", window_ctes(ORIGIN) | {"two": _TWO.removeprefix("two AS (").removesuffix(")")}))
+@query("pair_features", with_("""SELECT a, b, x.n AS size_a, y.n AS size_b, b0.n AS bridge_mass, b1.n AS bridge_mass_prev, round(b0.n / greatest(1.0, b1.n), 6) * CASE WHEN b1.n IS NULL THEN NULL ELSE 1 END AS bridge_growth, b1.n IS NULL AS bridge_growth_missing, coalesce(dn.n, 0) AS dual_citizens,
+    coalesce(dp2.n, 0) AS dual_papers, round(dist, 5) AS centroid_distance, dist IS NULL AS centroid_distance_missing FROM b0 LEFT JOIN b1 USING (a, b) JOIN sz x ON x.region_id = a JOIN sz y ON y.region_id = b LEFT JOIN dn USING (a, b) LEFT JOIN dp2 USING (a, b)
+    LEFT JOIN (SELECT p.region_id AS a, q.region_id AS b, 1 - sum(p.c * q.c) / (sqrt(sum(p.c * p.c)) * sqrt(sum(q.c * q.c))) AS dist FROM nc p JOIN nc q ON p.d = q.d AND p.region_id < q.region_id WHERE p.n >= 3 AND q.n >= 3 GROUP BY ALL) USING (a, b)""",
+    "pp lt ev lb bk two ve", window_ctes(ORIGIN) | {n: q for n, q in _INNER_PAST.items() if n != "inn1"} | _BRIDGES | _NODE_VECTORS))
 def _(b: Baskets) -> DataFrame:
-    return features.bridges(_two(b), b.strong(ORIGIN))
+    out = features.pair_features(b.two(), b.strong(ORIGIN), b.strong(ORIGIN - 1), b.labels, b.vectors, ORIGIN)
+    return out.withColumns({"bridge_growth": F.round("bridge_growth", 6), "centroid_distance": F.round("centroid_distance", 5)})
 
 
-@query("dual_papers", with_("""SELECT p.a, p.b, (SELECT count(*) FROM two x JOIN two y USING (node) WHERE x.region_id = p.a AND y.region_id = p.b) AS dual_citizens,
-    (SELECT count(*) FROM t3 x JOIN t3 y USING (paper_id) WHERE x.region_id = p.a AND y.region_id = p.b) AS dual_papers FROM (SELECT DISTINCT x.region_id AS a, y.region_id AS b FROM two x JOIN two y ON x.region_id < y.region_id) p""",
-    "pp lt ev lb bk", {"two": _TWO.removeprefix("two AS (").removesuffix(")"), "t3": "SELECT DISTINCT region_id, paper_id FROM two JOIN lb ON node = concept WHERE year BETWEEN 1998 AND 2000"}))
+@query("embedding_influx", with_("""SELECT region_id, round(s0, 5) AS embedding_spread, round(s0 - s1, 5) AS embedding_influx, s0 - s1 IS NULL AS embedding_missing FROM (SELECT DISTINCT region_id FROM cur) LEFT JOIN (SELECT region_id, avg(1 - cosine) AS s0 FROM (SELECT region_id, node, sum(x * c) / (sqrt(sum(x * x)) * sqrt(sum(c * c))) AS cosine FROM cx JOIN cc USING (region_id, d) GROUP BY ALL) GROUP BY 1 HAVING count(*) >= 3) USING (region_id)
+    LEFT JOIN li USING (region_id) LEFT JOIN (SELECT parent_id, avg(1 - cosine) AS s1 FROM (SELECT parent_id, node, sum(x * c) / (sqrt(sum(x * x)) * sqrt(sum(c * c))) AS cosine FROM ox JOIN oc USING (parent_id, d) GROUP BY ALL) GROUP BY 1 HAVING count(*) >= 3) USING (parent_id)""", "pp lt ev lb ve", _TIMES | {
+    "cx": "SELECT region_id, node, unnest(vec)::DOUBLE AS x, unnest(range(1, len(vec) + 1)) AS d FROM cur JOIN ve USING (node)", "cc": "SELECT region_id, d, avg(x) AS c FROM cx GROUP BY ALL",
+    "ox": "SELECT parent_id, node, unnest(vec)::DOUBLE AS x, unnest(range(1, len(vec) + 1)) AS d FROM old JOIN ve USING (node)", "oc": "SELECT parent_id, d, avg(x) AS c FROM ox GROUP BY ALL"}))
 def _(b: Baskets) -> DataFrame:
-    ids = _two(b).select("region_id").distinct()
-    pairs = ids.select(F.col("region_id").alias("a"), F.lit(1).alias("j")).join(ids.select(F.col("region_id").alias("b"), F.lit(1).alias("j")), "j").filter("a < b")
-    return features.dual_papers(_two(b), pairs, b.labels, ORIGIN)
+    now, before = _at(b, 2000, 1, "region_id"), _at(b, 1999, 0, "region_id")
+    spread = lambda t: t.select("region_id", F.explode("members").alias("node"))
+    out = features.embedding_influx(spread(now), spread(before), graph.lineage(now, before, 0.02), b.vectors)
+    return out.select("region_id", *[F.round(c, 5).alias(c) for c in ("embedding_spread", "embedding_influx")], "embedding_missing")
 
 
 _PROF = {
-    "ls": "SELECT concept, year, count(DISTINCT paper_id) AS n FROM lb GROUP BY ALL",
+    "ls": CTE["ls"],
     "bi": "SELECT concept FROM (SELECT a.concept, min(a.year) AS t FROM ls a JOIN ls b ON a.concept = b.concept AND b.year = a.year + 1, ky WHERE a.n >= k AND b.n >= k AND a.year <= 1999 GROUP BY 1) WHERE t BETWEEN 1998 AND 1999",
     "own": "SELECT DISTINCT concept, paper_id, v1_date FROM lb",
     "fi": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY concept ORDER BY v1_date, paper_id) AS rn FROM own WHERE concept IN (SELECT concept FROM bi)) WHERE rn <= 20",

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import random
-
 import datetime as dt
+import random
 
 import pytest
 
 from chronolex.config import Config
 from chronolex.governance import LeakageError, assert_causal, log_event, sha256_obj
-from chronolex.operators import registry
+from chronolex.operators import components, registry
 from chronolex.operators.components import count_groups, label_components, union_find
 
 CFG = Config(k_year=5, m=2, last_complete_year=2025)
@@ -55,7 +54,9 @@ def test_author_groups(spark):
     assert {r.concept: r.n_groups for r in count_groups(frame, ["concept"], "paper_id", alone, "author").collect()} == {"c": 3, "d": 2}
 
 
-def test_author_groups_against_union_find(spark):
+@pytest.mark.parametrize("most", [0, 8, 200_000])
+def test_author_groups_against_union_find(spark, monkeypatch, most):
+    monkeypatch.setattr(components, "TASK_EDGES", most)
     rng = random.Random(5)
     items = [(f"g{rng.randrange(6)}", p) for p in range(80) for _ in range(2)]
     links = [(p, f"a{rng.randrange(60)}") for p in range(80) for _ in range(rng.randrange(4))]
