@@ -86,6 +86,7 @@ def cliques(edges: DataFrame, k: int) -> DataFrame:
 
     An edge of a k-clique lies in k - 2 triangles, so edges in fewer are left out first; this is repeated while it helps.
     """
+    edges = checkpoint(edges) if k > 3 else edges
     for _ in range(PRUNE if k > 3 else 0):
         rest = checkpoint(_in_triangles(edges, k - 2))
         before, after = edges.count(), rest.count()

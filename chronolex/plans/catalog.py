@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -479,10 +480,22 @@ def _(b: Baskets) -> DataFrame:
     return b.profiles.select("concept", "member", "n", *r6("lift"), "rank")
 
 
-@query("parent_subprofiles", with_("""SELECT members, count(*) AS support FROM (SELECT concat_ws('|', x.member, y.member) AS members FROM pf x JOIN pf y ON x.concept = y.concept AND x.member < y.member
-    UNION ALL SELECT concat_ws('|', x.member, y.member, z.member) FROM pf x JOIN pf y ON x.concept = y.concept AND x.member < y.member JOIN pf z ON z.concept = y.concept AND y.member < z.member) GROUP BY 1 HAVING count(*) >= 1""", "pp lt ev ky lb", _PROF))
+_SUBSETS = """SELECT concat_ws(' + ', x.member, y.member) AS unit_id, [x.member, y.member] AS members, x.concept FROM {0} x JOIN {0} y ON x.concept = y.concept AND x.member < y.member
+    UNION ALL SELECT concat_ws(' + ', x.member, y.member, z.member), [x.member, y.member, z.member], x.concept FROM {0} x JOIN {0} y ON x.concept = y.concept AND x.member < y.member JOIN {0} z ON z.concept = y.concept AND y.member < z.member"""
+_SETS = _PROF | {
+    "pd": "SELECT concept, max(v1_date) AS max_date FROM fi GROUP BY 1",
+    "pa": "SELECT pf.* FROM pf JOIN pd USING (concept) JOIN lw USING (concept) WHERE lw.t <= 1999 AND year(max_date) <= 2000",
+    "ss": "SELECT unit_id, any_value(members) AS members, count(*) AS support FROM (" + _SUBSETS.format("pa") + ") GROUP BY 1",
+}
+
+
+def _admitted(b: Baskets) -> DataFrame:
+    return features.admissible(b.profiles, b.label_births.filter("crystallization_year is not null"), ORIGIN, b.cfg.m)
+
+
+@query("parent_subprofiles", with_("SELECT replace(unit_id, ' + ', '|') AS members, support FROM ss WHERE support >= 2", "pp lt ev ky lb ls lw", _SETS))
 def _(b: Baskets) -> DataFrame:
-    return features.subprofiles(b.profiles, 1).select(F.array_join("members", "|").alias("members"), "support")
+    return features.subprofiles(_admitted(b), 2).select(F.array_join("members", "|").alias("members"), "support")
 
 
 @query("triangles_pace", with_("""SELECT a.u, a.v, c.v AS w, round(least(a.p, c.p, d.p), 6) AS score FROM jo a JOIN jo c ON a.v = c.u JOIN jo d ON d.u = a.u AND d.v = c.v ORDER BY least(a.p, c.p, d.p) DESC, 1, 2, 3 LIMIT 500""", "pp lt ev lb",
@@ -491,10 +504,43 @@ def _(b: Baskets) -> DataFrame:
     return features.triangle_pace(b.strong(ORIGIN), b.labels, ORIGIN).select("u", "v", "w", *r6("score"))
 
 
-@query("parent_set_features")
+_TRIANGLES = {"jo": "SELECT u, v, count(*) / 3.0 AS p FROM bn JOIN wp a ON a.concept = u JOIN wp b ON b.concept = v AND a.paper_id = b.paper_id GROUP BY ALL",
+    "tp5": "SELECT a.u, a.v, c.v AS w FROM jo a JOIN jo c ON a.v = c.u JOIN jo d ON d.u = a.u AND d.v = c.v ORDER BY least(a.p, c.p, d.p) DESC, 1, 2, 3 LIMIT 500"}
+_UNITS = _SETS | window_ctes(ORIGIN) | _TRIANGLES | {
+    "su": "SELECT unit_id, members FROM ss WHERE support >= 1 ORDER BY support DESC, replace(unit_id, ' + ', chr(1)) LIMIT 750",
+    "gu": "SELECT unit_id, any_value(members) AS members, CASE WHEN max(b) = 0 THEN 'sub_profile' WHEN max(a) = 0 THEN 'triangle' ELSE 'both' END AS generator FROM (SELECT unit_id, members, 1 AS a, 0 AS b FROM su UNION ALL SELECT concat_ws(' + ', u, v, w), [u, v, w], 0, 1 FROM tp5) GROUP BY 1",
+    "us": "SELECT gu.*, coalesce(support, 0) AS support FROM gu LEFT JOIN (SELECT unit_id, support FROM ss) USING (unit_id)",
+}
+
+
+def _parent_sets(b: Baskets) -> DataFrame:
+    every = features.subprofiles(_admitted(b), 1)
+    return features.parent_sets(every, features.triangle_pace(b.strong(ORIGIN), b.labels, ORIGIN), every)
+
+
+@query("parent_sets", with_("SELECT unit_id, generator, support FROM us", "pp lt ev ky lb ls lw", _UNITS))
 def _(b: Baskets) -> DataFrame:
-    sets = features.subprofiles(b.profiles, 1).filter(F.size("members") == 2).select(F.array_join("members", "+").alias("unit_id"), "members")
-    return features.unit_features(sets, b.labels, b.authors, BEFORE)
+    return _parent_sets(b).select("unit_id", "generator", "support")
+
+
+_SET_FEATURES = _UNITS | {
+    "um": "SELECT unit_id, unnest(members) AS node, len(members) AS size FROM us",
+    "uh": "SELECT unit_id, paper_id, any_value(year) AS year, any_value(quarter) AS quarter, count(DISTINCT node) AS hits, any_value(size) AS size FROM um JOIN lb ON concept = node WHERE year BETWEEN 1996 AND 2000 GROUP BY unit_id, paper_id",
+    "un": "SELECT unit_id, count(*) FILTER (year = 2000) AS n_t, count(*) FILTER (year = 1999) AS n_t1, count(*) FILTER (year = 1998) AS n_t2, count(*) / 3.0 AS pace, count(*) FILTER (hits >= least(2, size) AND year = 2000) AS joint_papers_t, count(*) FILTER (hits >= least(2, size)) AS joint_papers_window FROM uh GROUP BY 1",
+    "uq": "SELECT unit_id, avg(a / greatest(1.0, p) - p / greatest(1.0, pp)) AS acc FROM (SELECT unit_id, q, count(*) FILTER (year = 2000 AND quarter = q)::DOUBLE AS a, count(*) FILTER (year = 1999 AND quarter = q)::DOUBLE AS p, count(*) FILTER (year = 1998 AND quarter = q)::DOUBLE AS pp FROM uh, range(1, 5) t(q) GROUP BY ALL) GROUP BY 1",
+    "ui": "SELECT unit_id, sum(now * (1 - past))::DOUBLE / sum(now) AS influx FROM (SELECT unit_id, author, max((year = 2000)::INT) AS now, max((year < 2000)::INT) AS past FROM uh JOIN au USING (paper_id) WHERE year BETWEEN 1998 AND 2000 GROUP BY ALL) GROUP BY 1 HAVING sum(now) > 0",
+    "ux": "SELECT unit_id, node, unnest(vec)::DOUBLE AS x, unnest(range(1, len(vec) + 1)) AS d FROM um JOIN ve USING (node)",
+    "uc": "SELECT unit_id, d, avg(x) AS c FROM ux GROUP BY ALL",
+    "ue": "SELECT unit_id, avg(1 - cosine) AS spread FROM (SELECT unit_id, node, sum(x * c) / (sqrt(sum(x * x)) * sqrt(sum(c * c))) AS cosine FROM ux JOIN uc USING (unit_id, d) GROUP BY ALL) GROUP BY 1 HAVING count(*) >= 2",
+}
+
+
+@query("parent_set_features", with_("""SELECT unit_id, n_t, n_t1, n_t2, round(n_t / greatest(1.0, n_t1), 6) AS paper_velocity_1y, round(n_t / greatest(1.0, (n_t1 + n_t2) / 2), 6) AS paper_velocity_2y, joint_papers_t, joint_papers_window, round(pace, 6) AS pace, round(influx, 6) AS author_influx,
+    round(CASE WHEN n_t1 + n_t2 > 0 THEN acc END, 6) AS yoy_quarter_accel, round(spread, 5) AS embedding_spread, spread IS NULL AS embedding_missing, round(joint_papers_t::DOUBLE / n_t, 6) AS joint_share, joint_papers_window > 0 AS members_have_met
+    FROM un LEFT JOIN uq USING (unit_id) LEFT JOIN ui USING (unit_id) LEFT JOIN ue USING (unit_id) WHERE n_t > 0""", "pp lt ev au ky lb ls lw ve", _SET_FEATURES))
+def _(b: Baskets) -> DataFrame:
+    out = features.unit_features(_parent_sets(b), b.labels, b.authors, ORIGIN, b.vectors)
+    return out.select("unit_id", "n_t", "n_t1", "n_t2", *r6("paper_velocity_1y", "paper_velocity_2y"), "joint_papers_t", "joint_papers_window", *r6("pace", "author_influx", "yoy_quarter_accel"), F.round("embedding_spread", 5).alias("embedding_spread"), "embedding_missing", *r6("joint_share"), "members_have_met")
 
 
 # --- attachment and evaluation ----------------------------------------------------------------------------------------
@@ -535,9 +581,32 @@ def _(b: Baskets) -> DataFrame:
     return attach.history(b.blocks(), b.attached).select("unit_id", *r6("confirmed_births_mass"), "confirmed_births_count")
 
 
-@query("dual_gate", with_("SELECT 1997 AS origin, count(*) AS n_dual, count(*) >= 1 AS passes FROM (SELECT concept FROM att GROUP BY 1 HAVING count(*) >= 2) HAVING count(*) > 0", "pp lt ev ky lb bk", _ATT))
+def _attached_ctes(origin: int) -> dict[str, str]:
+    """Births of the two years after an origin, attached to overlapping regions; names end with the origin."""
+    made = {
+        "bi": f"SELECT concept FROM lw WHERE t BETWEEN {origin + 1} AND {origin + 2}", "own": _PROF["own"], "fi": _PROF["fi"], "fn": _PROF["fn"], "od": _PROF["od"], "cm": _PROF["cm"], "pf": _PROF["pf"],
+        "rs": "SELECT region_id, count(*) AS r FROM two GROUP BY 1", "pn": _ATT["pn"], "vv": f"SELECT count(DISTINCT concept) AS v FROM lb WHERE year BETWEEN {origin - 2} AND {origin}",
+        "ho": _ATT["ho"].replace("JOIN bk", "JOIN two").replace("bk.region_id", "two.region_id"), "hy": _ATT["hy"], "att": _ATT["att"],
+    }
+    return {f"{n}_{origin}": re.sub(r"\b(" + "|".join(made) + r")\b(?=[\s.,)]|$)", rf"\1_{origin}", q) for n, q in made.items()}
+
+
+_ORIGINS = (1996, 1997, 1998)
+
+
+@query("dual_gate", with_("SELECT avg(n) AS mean_dual, string_agg(n::VARCHAR, ',' ORDER BY o) AS per_origin, CASE WHEN avg(n) >= 1 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM (" + " UNION ALL ".join(
+    f"SELECT {o} AS o, (SELECT count(*) FROM (SELECT concept FROM att_{o} GROUP BY 1 HAVING count(*) >= 2)) AS n" for o in _ORIGINS) + ")", "pp lt ev ky lb bk two ls lw", {n: q for o in _ORIGINS for n, q in _attached_ctes(o).items()}))
+def _(b: Baskets) -> DataFrame:
+    every = None
+    for o in _ORIGINS:
+        one = b.attached_at(o).select("origin", "concept", "n_attachments")
+        every = one if every is None else every.union(one)
+    return attach.dual_gate(every, list(_ORIGINS), 1)
+
+
+@query("attach_two", with_("SELECT concept, unit_id, coalesce(overlap, 0) AS overlap, round(coalesce(mass, 0), 6) AS mass, unit_id IS NULL AS orphan FROM (SELECT DISTINCT concept FROM pf_1997) LEFT JOIN att_1997 USING (concept)", "pp lt ev ky lb bk two ls lw", _attached_ctes(1997)))
 def _(b: Baskets) -> DataFrame:
-    return attach.dual_gate(b.attached.withColumn("origin", F.lit(BEFORE)), 1)
+    return b.attached_at(BEFORE).select("concept", "unit_id", "overlap", *r6("mass"), "orphan")
 
 
 def _truth(b: Baskets) -> DataFrame:
@@ -596,16 +665,69 @@ def _(b: Baskets) -> DataFrame:
     return evaluate.node_features(b.blocks(), b.labels, b.strong(BEFORE), BEFORE).select("region_id", "node", *r6("z_n_t"))
 
 
-@query("bootstrap_ci")
+_SCORED = {
+    "s20": _score_sql(20),
+    "rr": "SELECT region_id, node, row_number() OVER (PARTITION BY region_id ORDER BY substr(md5('7|' || region_id || '|' || node), 1, 13) DESC, node)::INT AS rank, count(*) OVER (PARTITION BY region_id) AS size FROM bk",
+    "hr": "SELECT region_id, concept, rank, size, row_number() OVER (PARTITION BY region_id, concept ORDER BY rank) AS hits, count(*) OVER (PARTITION BY region_id, concept) AS n_true FROM tr JOIN rr USING (region_id, node)",
+    "r20": _score_sql(20).replace("FROM hh", "FROM hr"),
+    "pr2": "SELECT row_number() OVER (ORDER BY s20.region_id) - 1 AS i, count(*) OVER () AS size, s20.n_births AS w, s20.recall_at_k AS x, r20.recall_at_k AS y FROM s20 JOIN r20 USING (region_id)",
+    "dr": "SELECT rep, floor(('0x' || substr(md5('7|' || rep || '|' || i), 1, 13))::BIGINT / 4503599627370496.0 * size)::INT AS i FROM pr2, range(0, 2000) t(rep)",
+    "lf": "SELECT lift, row_number() OVER (ORDER BY lift, rep) - 1 AS r FROM (SELECT rep, sum(w * x) / nullif(sum(w * y), 0) AS lift FROM dr JOIN pr2 USING (i) GROUP BY 1)",
+}
+
+
+@query("bootstrap_ci", with_("SELECT round((SELECT sum(w * x) / nullif(sum(w * y), 0) FROM pr2), 6) AS lift, round(max(lift) FILTER (r = 50), 6) AS low, round(max(lift) FILTER (r = 1950), 6) AS high FROM lf", "pp lt ev ky lb bk", _EVAL | _SCORED))
 def _(b: Baskets) -> DataFrame:
     truth = _truth(b)
     chance = evaluate.ranked(b.blocks().withColumn("score", evaluate.random_score(7, "region_id", "node")))
-    return evaluate.bootstrap(evaluate.scores(_degree_ranks(b), truth, 20), evaluate.scores(chance, truth, 20), b.cfg.bootstrap)
+    return evaluate.bootstrap(evaluate.scores(_degree_ranks(b), truth, 20), evaluate.scores(chance, truth, 20), b.cfg.bootstrap).select(*r6("lift", "low", "high"))
+
+
+@query("year_bootstrap", """WITH a AS (SELECT year(o_orderdate)::INT AS origin, o_custkey % 25 AS region_id, count(*) AS n, avg((o_totalprice > 100000)::INT) AS x, avg((o_totalprice > 150000)::INT) AS y FROM orders GROUP BY ALL),
+    s AS (SELECT origin, sum(n * x) AS x, sum(n * y) AS y, row_number() OVER (ORDER BY origin) - 1 AS i, count(*) OVER () AS size FROM a GROUP BY origin),
+    d AS (SELECT rep, floor(('0x' || substr(md5('7|' || rep || '|' || i), 1, 13))::BIGINT / 4503599627370496.0 * size)::INT AS i FROM s, range(0, 2000) t(rep)),
+    l AS (SELECT lift, row_number() OVER (ORDER BY lift, rep) - 1 AS r FROM (SELECT rep, sum(x) / greatest(1e-9, sum(y)) AS lift FROM d JOIN s USING (i) GROUP BY rep))
+    SELECT round(avg(lift), 6) AS lift, round(max(lift) FILTER (r = 50), 6) AS low, round(max(lift) FILTER (r = 1950), 6) AS high FROM l""")
+def _(b: Baskets) -> DataFrame:
+    keys = [F.year("o_orderdate").alias("origin"), (F.col("o_custkey") % 25).alias("region_id")]
+    of = lambda least: b.read("orders").groupBy(*keys).agg(F.count(F.lit(1)).alias("n_births"), F.avg((F.col("o_totalprice") > least).cast("int")).alias("recall_at_k"))
+    return evaluate.year_bootstrap(of(100000), of(150000), b.cfg.bootstrap).select(*r6("lift", "low", "high"))
+
+
+@query("select_best", with_("SELECT k AS setting, round(val_recall, 6) AS val_recall FROM (" + " UNION ALL ".join(f"SELECT {k} AS k, sum(n_births * recall_at_k) / sum(n_births) AS val_recall FROM ({_score_sql(k)})" for k in (1, 5, 10, 20)) + ") WHERE val_recall IS NOT NULL ORDER BY round(val_recall, 12) DESC, k LIMIT 1", "pp lt ev ky lb bk", _EVAL))
+def _(b: Baskets) -> DataFrame:
+    ranks, truth, out = _degree_ranks(b), _truth(b), None
+    for k in (1, 5, 10, 20):
+        one = evaluate.scores(ranks, truth, k).select(F.lit(k).alias("setting"), F.lit(0).alias("k"), "region_id", "n_births", "recall_at_k")
+        out = one if out is None else out.union(one)
+    return evaluate.select_best(out, ["setting"], 0).select("setting", *r6("val_recall"))
+
+
+@query("oracle_greedy", with_("""SELECT region_id, string_agg(node, '|' ORDER BY r) AS picks, round(sum(gain) / any_value(b), 6) AS oracle_recall FROM (SELECT *, row_number() OVER (PARTITION BY region_id ORDER BY round(gain, 9) DESC, node) AS r FROM
+    (SELECT region_id, node, sum(w) AS gain FROM (SELECT *, 1.0 / count(*) OVER (PARTITION BY region_id, concept) AS w FROM tr) GROUP BY ALL)) JOIN (SELECT region_id, count(DISTINCT concept) AS b FROM tr GROUP BY 1) USING (region_id) WHERE r <= 10 GROUP BY 1""", "pp lt ev ky lb bk", _EVAL))
+def _(b: Baskets) -> DataFrame:
+    return evaluate.greedy_oracle(_truth(b), 10).select("region_id", F.array_join("picks", "|").alias("picks"), *r6("oracle_recall"))
+
+
+_NODE = window_ctes(ORIGIN) | _NODE_VECTORS | {
+    "bw": "SELECT u AS node, v AS other FROM bn UNION ALL SELECT v, u FROM bn",
+    "pn": "SELECT concept AS node, count(DISTINCT paper_id) FILTER (year = 2000) AS n_t, count(DISTINCT paper_id) FILTER (year = 1999) AS n_t1, count(DISTINCT paper_id) FILTER (year = 1998) AS n_t2 FROM lb WHERE year BETWEEN 1998 AND 2000 GROUP BY 1",
+    "co": "SELECT bw.node, bw.other, count(*) AS co FROM bw JOIN wp a ON a.concept = bw.node JOIN wp b ON b.concept = bw.other AND b.paper_id = a.paper_id GROUP BY ALL",
+    "ne": "SELECT two.region_id, two.node, count(m.node) AS degree_in, coalesce(sum(co) FILTER (m.node IS NOT NULL), 0) AS co, count(bw.other) AS degree FROM two LEFT JOIN bw ON bw.node = two.node LEFT JOIN two m ON m.region_id = two.region_id AND m.node = bw.other LEFT JOIN co ON co.node = bw.node AND co.other = bw.other GROUP BY ALL",
+}
+
+
+@query("node_features", with_("""SELECT region_id, node, coalesce(n_t, 0) AS n_t, round(coalesce(n_t, 0) / greatest(1.0, n_t1), 6) AS velocity, round(coalesce(n_t, 0) / greatest(1.0, (n_t1 + n_t2) / 2), 6) AS velocity_2y, degree, degree_in, round(degree_in / greatest(1.0, size - 1), 6) AS rel_size,
+    round(co / greatest(1.0, degree_in) / 3.0, 6) AS pace_in_region, (2000 - coalesce(coinage_year, 2000))::INT AS coinage_age, coalesce(cry IN (1998, 1999) AND cry <= 1999, false)::INT AS recent_birth, round(CASE WHEN nd.n >= 3 THEN dist END, 5) AS emb_dist_to_centroid
+    FROM ne JOIN (SELECT region_id, count(*) AS size FROM two GROUP BY 1) USING (region_id) LEFT JOIN pn USING (node) LEFT JOIN bt ON concept = node LEFT JOIN nd USING (region_id, node)""", "pp lt ev ky lb bk two ve ls lw bt", _NODE))
+def _(b: Baskets) -> DataFrame:
+    out = evaluate.node_features(b.two(), b.labels, b.strong(ORIGIN), ORIGIN, b.label_births, b.vectors)
+    return out.select("region_id", "node", "n_t", *r6("velocity", "velocity_2y"), "degree", "degree_in", *r6("rel_size", "pace_in_region"), "coinage_age", "recent_birth", F.round("emb_dist_to_centroid", 5).alias("emb_dist_to_centroid"))
 
 
-@query("oracle_greedy")
+@query("node_author_influx", with_("""SELECT region_id, node, round(coalesce(sum(now * (1 - past))::DOUBLE / nullif(sum(now), 0), 0), 6) AS author_influx_node FROM bk LEFT JOIN (SELECT concept, author, max((year = 2000)::INT) AS now, max((year < 2000)::INT) AS past FROM lb JOIN au USING (paper_id) WHERE year BETWEEN 1998 AND 2000 GROUP BY ALL) ON concept = node GROUP BY ALL""", "pp lt ev au lb bk"))
 def _(b: Baskets) -> DataFrame:
-    return evaluate.greedy_oracle(_truth(b), 10)
+    return evaluate.node_author_influx(b.blocks(), b.labels, b.authors, ORIGIN).select("region_id", "node", *r6("author_influx_node"))
 
 
 @query("random_baseline", with_("SELECT region_id, node, row_number() OVER (PARTITION BY region_id ORDER BY substr(md5('7|' || region_id || '|' || node), 1, 13) DESC, node)::INT AS rank FROM bk", "pp lt ev lb bk"))
@@ -627,23 +749,43 @@ def _(b: Baskets) -> DataFrame:
 _BOTH = {"bw": "SELECT u AS node, v AS other FROM bn UNION ALL SELECT v, u FROM bn"}
 
 
-@query("boundary_structure", with_("""SELECT bk.region_id, bk.node, count(other) AS degree, count(other) - count(CASE WHEN o.region_id = bk.region_id THEN 1 END) AS ext_degree,
-    round(CASE WHEN count(other) > 0 THEN (count(other) - count(CASE WHEN o.region_id = bk.region_id THEN 1 END))::DOUBLE / count(other) ELSE 0 END, 6) AS ext_ratio,
-    count(DISTINCT CASE WHEN o.region_id <> bk.region_id THEN o.region_id END) AS n_other_regions, false AS is_dual_citizen FROM bk LEFT JOIN bw ON bw.node = bk.node LEFT JOIN bk o ON o.node = other GROUP BY ALL""", "pp lt ev lb bk", window_ctes(ORIGIN) | _BOTH))
+_WEIGHTED = {"be": "SELECT u, v, weight FROM eg WHERE n_papers >= 4 AND lift >= 2.0", "bx": "SELECT u AS node, v AS other, weight FROM be UNION ALL SELECT v, u, weight FROM be"}
+
+
+@query("boundary_structure", with_("""SELECT region_id, node, degree, ext_degree, round(ext_degree / greatest(1.0, degree), 6) AS ext_ratio, round(ext_degree::DOUBLE / size, 6) AS ext_deg_norm, round(bridge_mass, 6) AS bridge_mass, n_other_regions, homes > 1 AS is_dual_citizen FROM
+    (SELECT two.region_id, two.node, count(other) AS degree, count(other) FILTER (m.node IS NULL) AS ext_degree, coalesce(sum(weight) FILTER (m.node IS NULL AND other IS NOT NULL), 0) AS bridge_mass FROM two LEFT JOIN bx ON bx.node = two.node LEFT JOIN two m ON m.region_id = two.region_id AND m.node = other GROUP BY ALL)
+    LEFT JOIN (SELECT two.region_id, two.node, count(DISTINCT r.region_id) AS n_other_regions FROM two LEFT JOIN bx ON bx.node = two.node LEFT JOIN two m ON m.region_id = two.region_id AND m.node = other LEFT JOIN two r ON r.node = other AND r.region_id <> two.region_id AND m.node IS NULL GROUP BY ALL) USING (region_id, node)
+    JOIN (SELECT region_id, count(*) AS size FROM two GROUP BY 1) USING (region_id) JOIN (SELECT node, count(*) AS homes FROM two GROUP BY 1) USING (node)""", "pp lt ev lb bk two", window_ctes(ORIGIN) | _WEIGHTED))
 def _(b: Baskets) -> DataFrame:
-    return structure.boundary(b.blocks(), b.strong(ORIGIN)).select("region_id", "node", "degree", "ext_degree", *r6("ext_ratio"), "n_other_regions", "is_dual_citizen")
+    out = structure.boundary(b.two(), b.weighted(ORIGIN))
+    return out.select("region_id", "node", "degree", "ext_degree", *r6("ext_ratio", "ext_deg_norm", "bridge_mass"), "n_other_regions", "is_dual_citizen")
 
 
-@query("neighbour_structure", with_("""SELECT bk.region_id, bk.node, round(coalesce(avg(m.n_t), 0), 6) AS nb_mean_n_t FROM bk LEFT JOIN bw ON bw.node = bk.node LEFT JOIN m ON m.node = other GROUP BY ALL""", "pp lt ev lb bk",
-    window_ctes(ORIGIN) | _BOTH | {"m": "SELECT concept AS node, count(DISTINCT CASE WHEN year = 2000 THEN paper_id END) AS n_t FROM lb GROUP BY 1"}))
+@query("neighbour_structure", with_("""SELECT two.region_id, two.node, round(coalesce(avg(coalesce(n_t, 0) / greatest(1.0, n_t1)) FILTER (m.node IS NOT NULL), 0), 6) AS nb_mean_velocity, round(coalesce(max(coalesce(n_t, 0) / greatest(1.0, n_t1)) FILTER (m.node IS NOT NULL), 0), 6) AS nb_max_velocity, round(coalesce(avg(coalesce(n_t, 0)) FILTER (m.node IS NOT NULL), 0), 6) AS nb_mean_n_t,
+    round(coalesce(avg(coalesce(cry BETWEEN 1998 AND 1999, false)::INT) FILTER (m.node IS NOT NULL), 0), 6) AS nb_recent_share, round(coalesce(avg(2000 - coalesce(coinage_year, 2000)) FILTER (m.node IS NOT NULL), 0), 6) AS nb_mean_coinage_age
+    FROM two LEFT JOIN bw ON bw.node = two.node LEFT JOIN two m ON m.region_id = two.region_id AND m.node = other LEFT JOIN pn ON pn.node = m.node LEFT JOIN bt ON concept = m.node GROUP BY ALL""", "pp lt ev ky lb bk two ls lw bt", window_ctes(ORIGIN) | {n: _NODE[n] for n in ("bw", "pn")}))
 def _(b: Baskets) -> DataFrame:
-    values = evaluate.node_features(b.blocks(), b.labels, b.strong(ORIGIN), ORIGIN).select("node", "n_t", "velocity").distinct()
-    return structure.neighbour(b.blocks(), b.strong(ORIGIN), values).select("region_id", "node", *r6("nb_mean_n_t"))
+    values = evaluate.node_features(b.two(), b.labels, b.strong(ORIGIN), ORIGIN).select("node", "n_t", "velocity").distinct()
+    out = structure.neighbour(b.two(), b.strong(ORIGIN), values, b.label_births, ORIGIN, b.cfg.m)
+    return out.select("region_id", "node", *r6("nb_mean_velocity", "nb_max_velocity", "nb_mean_n_t", "nb_recent_share", "nb_mean_coinage_age"))
+
+
+_GRAPHS = window_ctes(ORIGIN) | _WEIGHTED | {n: q for n, q in _INNER_PAST.items() if n != "inn1"} | {
+    n.replace("1", "2"): q.replace("1998", "~").replace("1999", "1998").replace("~", "1997").replace("1997 AND 1999", "1996 AND 1998").replace("wp1", "wp2").replace("wd1", "wd2").replace("cp1", "cp2").replace("pr1", "pr2").replace("eg1", "eg2") for n, q in _INNER_PAST.items() if n != "inn1"}
+_GRAPHS |= {"wp2": _INNER_PAST["wp1"].replace(f"BETWEEN {ORIGIN - 3} AND {ORIGIN - 1}", f"BETWEEN {ORIGIN - 4} AND {ORIGIN - 2}")}
+_GRAPHS |= {
+    "fl": "SELECT node, other, max(g0) AS g0, max(g1) AS g1, max(g2) AS g2 FROM (" + " UNION ALL ".join(f"SELECT {a} AS node, {b} AS other, {g} FROM {t}" for t, g in (("bn", "1 AS g0, 0 AS g1, 0 AS g2"), ("bn1", "0, 1, 0"), ("bn2", "0, 0, 1")) for a, b in (("u", "v"), ("v", "u"))) + ") GROUP BY ALL",
+    "fp": """SELECT node, sum(g0) AS d0, sum(g1) AS d1, sum(g2) AS d2, count(*) FILTER (g0 = 1 AND g1 = 0) AS fresh, count(*) FILTER (g0 = 0 AND g1 = 1) AS lost, count(*) FILTER (g0 = 1 OR g1 = 1) AS either,
+        avg(CASE WHEN g1 = 0 THEN 0 WHEN g2 = 0 THEN 1 ELSE 2 END) FILTER (g0 = 1) AS age, min(CASE WHEN g1 = 0 THEN 0 WHEN g2 = 0 THEN 1 ELSE 2 END) FILTER (g0 = 1) AS newest FROM fl GROUP BY 1""",
+    "wi": "SELECT bk.region_id, bk.node, sum(weight) AS w FROM bk JOIN bx ON bx.node = bk.node JOIN bk m ON m.region_id = bk.region_id AND m.node = other GROUP BY ALL",
+}
 
 
-@query("dynamic_structure")
+@query("dynamic_structure", with_("""SELECT region_id, node, round(coalesce(d0, 0) / greatest(1.0, d1), 6) AS deg_growth_1y, round(coalesce(d0, 0) / greatest(1.0, (d1 + d2) / 2), 6) AS deg_growth_2y, round(coalesce(fresh, 0) / greatest(1.0, d0), 6) AS new_edge_share, round(coalesce(age, 0), 6) AS edge_mean_age,
+    coalesce(newest, 2)::DOUBLE AS newest_edge_age, round(coalesce(fresh + lost, 0) / greatest(1.0, either), 6) AS edge_turnover, round(coalesce(w, 0) / greatest(1.0, d1), 6) AS wdeg_growth FROM bk LEFT JOIN fp USING (node) LEFT JOIN wi USING (region_id, node)""", "pp lt ev lb bk", _GRAPHS))
 def _(b: Baskets) -> DataFrame:
-    return structure.dynamic(b.blocks(), [b.strong(ORIGIN - i) for i in range(3)])
+    out = structure.dynamic(b.blocks(), [b.weighted(ORIGIN), b.strong(ORIGIN - 1), b.strong(ORIGIN - 2)])
+    return out.select("region_id", "node", *r6("deg_growth_1y", "deg_growth_2y", "new_edge_share", "edge_mean_age", "newest_edge_age", "edge_turnover", "wdeg_growth"))
 
 
 @query("burt_brokerage", with_("""SELECT node, degree, round(degree - 2.0 * t / degree, 6) AS effective_size, round(c, 6) AS burt_constraint FROM (SELECT node, count(*) AS degree FROM bw GROUP BY 1) JOIN
