@@ -65,6 +65,14 @@ def ranked(scored: DataFrame) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w.orderBy(F.desc("score"), "node"))).withColumn("region_size", F.count(F.lit(1)).over(w))
 
 
+def scored_by(rows: DataFrame, scorers: dict[str, str]) -> DataFrame:
+    """(region_id, node, scorer, score, rank, region_size): one ranking for each scorer, from a column each, in one pass over the rows."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(name).alias("scorer"), F.col(column).cast("double").alias("score")) for name, column in scorers.items()]))
+    long = rows.select("region_id", "node", pairs.alias("p")).select("region_id", "node", "p.scorer", "p.score")
+    w = Window.partitionBy("region_id", "scorer")
+    return long.withColumn("rank", F.row_number().over(w.orderBy(F.desc("score"), "node"))).withColumn("region_size", F.count(F.lit(1)).over(w))
+
+
 def scores(ranks: DataFrame, truth: DataFrame, k: int) -> DataFrame:
     """region_id, n_births, recall_at_k, hit_rate, mean_true_rank, norm_rank, avg_precision; regions of k members or fewer are left out."""
     rows = truth.join(ranks.filter(F.col("region_size") > k), ["region_id", "node"])

@@ -24,6 +24,22 @@ def prepare(rows: DataFrame, columns: list[str], fit_on) -> DataFrame:
     return out.drop("_of")
 
 
+def resolvable_targets(nodes: DataFrame, attached: DataFrame, births: DataFrame, origins: list[int], horizons: list[int], complete: int, m: int) -> DataFrame:
+    """unit_id, origin, horizon, births_mass: mass of the births of the ``horizon`` years after an origin, for every region.
+
+    Only horizons whose last year can be confirmed by ``complete`` are there: a birth needs m years of papers. births: (concept,
+    crystallization_year).
+    """
+    spark = nodes.sparkSession
+    cells = spark.createDataFrame([(t, h) for t in origins for h in horizons if t + h <= complete - (m - 1)], "origin int, horizon int")
+    every = nodes.select(F.col("region_id").alias("unit_id")).distinct().withColumn("_cells", cells.agg(F.collect_list(F.struct("origin", "horizon"))).scalar())
+    every = every.select("unit_id", F.explode("_cells").alias("c")).select("unit_id", "c.origin", "c.horizon")
+    dated = attached.filter("not orphan").join(births, "concept").select("unit_id", "mass", F.col("crystallization_year").alias("t"))
+    rows = every.join(dated, "unit_id", "left")
+    inside = F.col("t").between(F.col("origin") + 1, F.col("origin") + F.col("horizon"))
+    return rows.groupBy("unit_id", "origin", "horizon").agg(F.coalesce(F.sum(F.when(inside, F.col("mass"))), F.lit(0.0)).alias("births_mass"))
+
+
 def log_score(y, rate):
     """Poisson log score without the constant."""
     safe = F.greatest(rate, F.lit(1e-9))

@@ -90,8 +90,8 @@ class Baskets:
 
     @cached_property
     def labels(self) -> DataFrame:
-        """Concepts of the finest level only, for graphs whose nodes don't contain each other."""
-        return self.events.filter(n_tokens(F.col("term")) == LABEL_TOKENS).withColumnRenamed("term", "concept")
+        """Concepts of the finest level only, for graphs whose nodes don't contain each other; written once, as nearly all units read it."""
+        return checkpoint(self.events.filter(n_tokens(F.col("term")) == LABEL_TOKENS).withColumnRenamed("term", "concept"))
 
     def edges(self, origin: int) -> DataFrame:
         return graph.project(self.labels, origin, self.cfg)
@@ -144,14 +144,14 @@ class Baskets:
 
     @cached_property
     def profiles(self) -> DataFrame:
-        return features.profiles(self.labels, self.births, self.cfg.with_(profile_min_count=2))
+        return checkpoint(features.profiles(self.labels, self.births, self.cfg.with_(profile_min_count=2)))
 
     def population(self, origin: int) -> DataFrame:
         return graph.window_papers(self.labels, origin, self.cfg).agg(F.countDistinct("concept").alias("v"))
 
     @cached_property
     def attached(self) -> DataFrame:
-        return attach.attach(self.births, self.profiles, self.blocks(), self.population(BEFORE), self.cfg)
+        return checkpoint(attach.attach(self.births, self.profiles, self.blocks(), self.population(BEFORE), self.cfg))
 
     @cached_property
     def surface(self) -> DataFrame:

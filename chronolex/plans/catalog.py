@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from chronolex.functions import stats, text
 from chronolex.operators import attach, corpus, evaluate, features, graph, judge, merges, models, registry, structure, termhood
-from chronolex.operators.components import label_components
+from chronolex.operators.components import checkpoint, label_components
 from chronolex.plans.baskets import BEFORE, ORIGIN, Baskets
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -514,8 +514,8 @@ _UNITS = _SETS | window_ctes(ORIGIN) | _TRIANGLES | {
 
 
 def _parent_sets(b: Baskets) -> DataFrame:
-    every = features.subprofiles(_admitted(b), 1)
-    return features.parent_sets(every, features.triangle_pace(b.strong(ORIGIN), b.labels, ORIGIN), every)
+    every = checkpoint(features.subprofiles(_admitted(b), 1))
+    return checkpoint(features.parent_sets(every, features.triangle_pace(checkpoint(b.strong(ORIGIN)), b.labels, ORIGIN), every))
 
 
 @query("parent_sets", with_("SELECT unit_id, generator, support FROM us", "pp lt ev ky lb ls lw", _UNITS))
@@ -610,12 +610,12 @@ def _(b: Baskets) -> DataFrame:
 
 
 def _truth(b: Baskets) -> DataFrame:
-    return evaluate.truths(b.attached, b.profiles, b.blocks())
+    return checkpoint(evaluate.truths(b.attached, b.profiles, b.blocks()))
 
 
 def _degree_ranks(b: Baskets) -> DataFrame:
     scored = evaluate.node_features(b.blocks(), b.labels, b.strong(BEFORE), BEFORE).select("region_id", "node", F.col("n_t").cast("double").alias("score"))
-    return evaluate.ranked(scored)
+    return checkpoint(evaluate.ranked(scored))
 
 
 _EVAL = _ATT | {
@@ -680,7 +680,7 @@ _SCORED = {
 def _(b: Baskets) -> DataFrame:
     truth = _truth(b)
     chance = evaluate.ranked(b.blocks().withColumn("score", evaluate.random_score(7, "region_id", "node")))
-    return evaluate.bootstrap(evaluate.scores(_degree_ranks(b), truth, 20), evaluate.scores(chance, truth, 20), b.cfg.bootstrap).select(*r6("lift", "low", "high"))
+    return evaluate.bootstrap(checkpoint(evaluate.scores(_degree_ranks(b), truth, 20)), checkpoint(evaluate.scores(chance, truth, 20)), b.cfg.bootstrap).select(*r6("lift", "low", "high"))
 
 
 @query("year_bootstrap", """WITH a AS (SELECT year(o_orderdate)::INT AS origin, o_custkey % 25 AS region_id, count(*) AS n, avg((o_totalprice > 100000)::INT) AS x, avg((o_totalprice > 150000)::INT) AS y FROM orders GROUP BY ALL),
@@ -1058,6 +1058,18 @@ def _(b: Baskets) -> DataFrame:
     return b.read("conversations").select("conv_id", "turn", text.paper_text(F.concat("role", F.lit(" .")), F.col("text")).alias("text"))
 
 
+@query("papers", """SELECT id, title, abstract, primary_category, lang_en, n_authors, array_to_string(authors, '|') AS authors, v1_date, year(v1_date)::INT AS v1_year, quarter(v1_date)::INT AS v1_quarter, n_versions FROM (SELECT doc_id::VARCHAR AS id, 't ' || source AS title, trim(regexp_replace(text, '[\\s\\x0B\\x{85}\\p{Z}]+', ' ', 'g')) AS abstract, lang AS primary_category, lang = 'en' AS lang_en, 2 AS n_authors,
+    ['ann ' || lang, lower(source)] AS authors, DATE '2016-01-01' + CAST(doc_id % 3650 AS INT) AS v1_date, (doc_id % 3 + 1)::INT AS n_versions FROM documents WHERE doc_id % 23 <> 0 AND lang IN ('en', 'fr')) WHERE abstract <> ''""".replace("\\\\", "\\"))
+def _(b: Baskets) -> DataFrame:
+    day = F.date_add(F.lit("2016-01-01").cast("date"), F.pmod(F.col("doc_id"), F.lit(3650)).cast("int"))
+    records = b.read("documents").select(
+        F.col("doc_id").alias("pos"), F.col("doc_id").cast("string").alias("id"), F.concat(F.lit(" t  "), "source").alias("title"), F.col("text").alias("abstract"), F.concat_ws(" ", "lang", "source").alias("categories"), F.lit(None).cast("string").alias("comments"),
+        F.when(F.col("doc_id") % 23 != 0, F.concat(F.lit("Mon, "), F.date_format(day, "d MMM yyyy"), F.lit(" 10:00:00 GMT"))).alias("created"), F.array(F.concat(F.lit("Ann  "), "lang"), F.upper("source")).alias("authors"), (F.col("doc_id") % 3 + 1).alias("n_versions"),
+    )
+    out = corpus.papers(records, ["en", "fr"], "2030-01-01", {"lang_en": "en"})
+    return out.select("id", "title", "abstract", "primary_category", "lang_en", "n_authors", F.array_join("authors_parsed", "|").alias("authors"), "v1_date", F.col("v1_year").cast("int").alias("v1_year"), F.col("v1_quarter").cast("int").alias("v1_quarter"), F.col("n_versions").cast("int").alias("n_versions"))
+
+
 @query("strip_markup")
 def _(b: Baskets) -> DataFrame:
     return b.read("documents").select("doc_id", text.strip_markup(F.concat(F.lit(r"\emph{\textbf{deep}} net $x^2$ \cite{a} \alpha "), F.col("text"))).alias("text"))
@@ -1068,11 +1080,14 @@ def _(b: Baskets) -> DataFrame:
 _LINES = "SELECT (l_orderkey % 50)::INT AS batch, CASE l_linenumber % 3 WHEN 0 THEN l_orderkey || ' keep' WHEN 1 THEN l_orderkey || ', DROP' ELSE 'not a verdict' END AS value FROM lineitem"
 
 
-def _verdict_counts(rows: DataFrame) -> DataFrame:
+def _verdict_lines(rows: DataFrame) -> DataFrame:
     k = F.col("l_orderkey").cast("string")
     value = F.when(F.col("l_linenumber") % 3 == 0, F.concat(k, F.lit(" keep"))).when(F.col("l_linenumber") % 3 == 1, F.concat(k, F.lit(", DROP"))).otherwise("not a verdict")
-    lines = rows.select((F.col("l_orderkey") % 50).cast("int").alias("batch"), value.alias("value"))
-    return judge.parse_verdicts(lines).groupBy("batch", "malformed", "verdict").agg(F.count(F.lit(1)).alias("n"))
+    return rows.select((F.col("l_orderkey") % 50).cast("int").alias("batch"), value.alias("value"))
+
+
+def _verdict_counts(rows: DataFrame) -> DataFrame:
+    return judge.parse_verdicts(_verdict_lines(rows)).groupBy("batch", "malformed", "verdict").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("judge_ingest", with_("SELECT batch, malformed, verdict, count(*) AS n FROM (SELECT batch, NOT regexp_matches(value, '(?i)^\\s*(\\d+)\\s*[\\t,: ]\\s*(KEEP|DROP)\\s*$') AS malformed, nullif(upper(regexp_extract(value, '(?i)(KEEP|DROP)\\s*$', 1)), '') AS verdict FROM li) GROUP BY ALL", "", {"li": _LINES}))
@@ -1080,6 +1095,20 @@ def _(b: Baskets) -> DataFrame:
     return _verdict_counts(b.read("lineitem"))
 
 
+@query("judge_attach", """SELECT 't' || i.l_orderkey || '-' || l_linenumber AS term, verdict, verdict IS NULL AS missing FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) i LEFT JOIN
+    (SELECT l_orderkey % 50 AS batch, l_orderkey, min(CASE WHEN l_linenumber % 3 = 1 THEN 'DROP' ELSE 'KEEP' END) AS verdict FROM lineitem WHERE l_linenumber % 3 <> 2 GROUP BY ALL) v ON v.l_orderkey = i.l_orderkey""")
+def _(b: Baskets) -> DataFrame:
+    index = b.read("lineitem").select((F.col("l_orderkey") % 50).cast("int").alias("batch"), F.col("l_orderkey").cast("int").alias("line"), F.concat(F.lit("t"), "l_orderkey", F.lit("-"), "l_linenumber").alias("term")).distinct()
+    return judge.attach_verdicts(index, judge.parse_verdicts(_verdict_lines(b.read("lineitem"))))
+
+
+@query("judge_filter", with_("SELECT DISTINCT term FROM lt WHERE length(term) % 5 <> 0", "lt"))
+def _(b: Baskets) -> DataFrame:
+    terms = b.events.select("term").distinct()
+    verdicts = terms.select("term", F.when(F.length("term") % 5 == 0, "DROP").when(F.length("term") % 5 == 1, "KEEP").alias("verdict"))
+    return judge.keep_unless_dropped(terms, verdicts)
+
+
 @query("judge_audit",
     with_("", SERIES + " cry dec cens").rstrip() + ", " + _REG + """ SELECT stratum, n_persisted, n_declined, round(CASE WHEN n_persisted >= 1 AND n_declined >= 1 THEN kp - kd END, 6) AS gap FROM (SELECT CASE WHEN total_papers < 26 THEN '9-25' WHEN total_papers < 61 THEN '26-60' WHEN total_papers < 151 THEN '61-150' WHEN total_papers < 501 THEN '151-500' ELSE '501+' END AS stratum,
     count(*) FILTER (fate = 'persisted') AS n_persisted, count(*) FILTER (fate LIKE '%declined') AS n_declined, avg((length(concept) % 2)::DOUBLE) FILTER (fate = 'persisted') AS kp, avg((length(concept) % 2)::DOUBLE) FILTER (fate LIKE '%declined') AS kd FROM reg GROUP BY 1)""")
@@ -1106,6 +1135,46 @@ def _yearly_units(b: Baskets) -> DataFrame:
     return s.join(last, ["concept", "year"]).join(after, ["concept", "year"]).filter(F.col("year") <= 1999)
 
 
+_YEARLY = {
+    "yu": "SELECT s.concept, s.year, s.n, l.n AS n_last, x.n AS n_next FROM ls s JOIN ls l ON l.concept = s.concept AND l.year = s.year - 1 JOIN ls x ON x.concept = s.concept AND x.year = s.year + 1 WHERE s.year <= 1999",
+    "yg": "SELECT *, CASE WHEN n_last > 1 THEN n::DOUBLE / n_last END AS growth FROM yu",
+    "ym": "SELECT median(growth) AS m, quantile_cont(coalesce(growth, NULL), 0.99) AS p FROM yg WHERE year <= 1997",
+    "yw": "SELECT concept, year, least(coalesce(growth, m), p) AS g FROM yg, ym",
+    "yz": "SELECT avg(g) AS a, stddev_samp(g) AS s FROM yw WHERE year <= 1997",
+}
+
+
+@query("model_prepare", with_("SELECT concept, year, round(coalesce((g - a) / nullif(s, 0), 0), 5) AS growth FROM yw, yz", "pp lt ev lb ls", _YEARLY))
+def _(b: Baskets) -> DataFrame:
+    rows = _yearly_units(b).withColumn("growth", F.when(F.col("n_last") > 1, F.col("n_papers") / F.col("n_last")))
+    return models.prepare(rows, ["growth"], F.col("year") <= 1997).select("concept", "year", F.round("growth", 5).alias("growth"))
+
+
+@query("log_score_null", with_("SELECT round(sum(n_next * ln(greatest(r * n, 1e-9)) - greatest(r * n, 1e-9)), 4) AS log_score, round(sum(n_next) / sum(r * n), 6) AS calibration FROM yu, (SELECT sum(n_next)::DOUBLE / sum(n) AS r FROM yu WHERE year <= 1997) WHERE year > 1997", "pp lt ev lb ls", _YEARLY))
+def _(b: Baskets) -> DataFrame:
+    rows = _yearly_units(b)
+    rate = rows.filter("year <= 1997").agg((F.sum("n_next") / F.sum("n_papers")).alias("r")).scalar()
+    scored = rows.filter("year > 1997").withColumn("mu", rate * F.col("n_papers"))
+    return scored.agg(F.round(F.sum(models.log_score(F.col("n_next"), F.col("mu"))), 4).alias("log_score"), F.round(F.sum("n_next") / F.sum("mu"), 6).alias("calibration"))
+
+
+@query("horizon_targets", with_("SELECT unit_id, h::INT AS horizon, origin::INT AS origin, round(coalesce(sum(mass), 0), 6) AS births_mass FROM (SELECT region_id AS unit_id, h, o AS origin FROM rs, range(1, 3) t(h), range(1996, 1999) u(o) WHERE o + h <= 1999) LEFT JOIN (SELECT unit_id, t, mass FROM att JOIN lw USING (concept)) USING (unit_id) WHERE t IS NULL OR t BETWEEN origin + 1 AND origin + h OR true GROUP BY ALL", "pp lt ev ky lb bk ls lw", _ATT).replace("sum(mass)", "sum(mass) FILTER (t BETWEEN origin + 1 AND origin + h)"))
+def _(b: Baskets) -> DataFrame:
+    births = b.label_births.select("concept", "crystallization_year")
+    return models.resolvable_targets(b.blocks(), b.attached, births, [1996, 1997, 1998], [1, 2], 2000, b.cfg.m).select("unit_id", "horizon", "origin", *r6("births_mass"))
+
+
+@query("bags", with_("SELECT paper_id, string_agg(concept, '|' ORDER BY concept) AS bag FROM (SELECT DISTINCT paper_id, concept FROM lb WHERE year <= 1997) GROUP BY 1", "pp lt ev lb"))
+def _(b: Baskets) -> DataFrame:
+    return models.bags(b.labels.filter(F.col("year") <= BEFORE)).select("paper_id", F.array_join("bag", "|").alias("bag"))
+
+
+@query("scorers", with_("SELECT region_id, node, s.scorer, row_number() OVER (PARTITION BY region_id, s.scorer ORDER BY CASE s.scorer WHEN 'degree' THEN degree_in WHEN 'papers' THEN coalesce(n_t, 0) ELSE coalesce(n_t, 0) / greatest(1.0, n_t1) END DESC, node)::INT AS rank FROM ne LEFT JOIN pn USING (node), (SELECT unnest(['degree', 'papers', 'velocity']) AS scorer) s", "pp lt ev lb bk two", {n: _NODE[n] for n in (*window_ctes(ORIGIN), "bw", "pn", "co", "ne")}))
+def _(b: Baskets) -> DataFrame:
+    rows = evaluate.node_features(b.two(), b.labels, b.strong(ORIGIN), ORIGIN)
+    return evaluate.scored_by(rows, {"degree": "degree_in", "papers": "n_t", "velocity": "velocity"}).select("region_id", "node", "scorer", "rank")
+
+
 @query("poisson_ladder")
 def _(b: Baskets) -> DataFrame:
     rows = _yearly_units(b).withColumn("growth", F.col("n_papers") / F.col("n_last")).withColumn("size", F.length("concept").cast("double"))
