@@ -5,7 +5,7 @@ grams in it, so equal windows have equal classes and a run of consecutive window
 more than one document has (or one document repeats) can hold repeated windows; runs of such windows travel as segments,
 pieces of text of a few dozen units, and meet in a bucket of their class, where windows are compared by their text.
 
-The steps: equal documents are one (their first doc_id counts), ``Repeats.blobs`` lists classes, a caller finds the
+The steps: equal documents are one (their first doc_id counts) with a number of their own, ``Repeats.blobs`` lists classes, a caller finds the
 repeated ones, ``segments`` fetches their text, the caller's verifier finds where each window first starts, and
 ``outcome`` applies that to the documents. Equal segments are pre-aggregated wherever they meet, so a passage in a third
 of all documents is one row a task. Nothing is gathered on the driver but row counts.
@@ -33,6 +33,8 @@ BASE, FOLD = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 #: Units in one piece of work on a very long document.
 LONG = 1 << 20
 LAST = (1 << 63) - 1
+#: Numbers of one pass's documents: those of monotonically_increasing_id with up to 2 ** 19 partitions.
+PASS = 1 << 52
 BUCKET_BYTES, GROUP_BYTES, LEAST_BUCKETS, LEAST_GROUPS = 24 << 20, 8 << 20, 64, 512
 
 
@@ -241,21 +243,31 @@ def unpack_firsts(blob: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Repeats:
-    """One pass of the steps over the documents' texts."""
+    """One pass of the steps over the documents' texts.
 
-    def __init__(self, docs: DataFrame, unit: Unit, text: Column, label: str):
+    past: (digest, ord) of texts that came in earlier passes; rows with these digests are copies as a whole. number: of the
+    pass, from which its documents have their numbers; sizes: buckets and groups, if an index has fixed them.
+    """
+
+    def __init__(self, docs: DataFrame, unit: Unit, text: Column, work: Workspace, past: DataFrame | None = None, number: int = 0, sizes: tuple[int, int] | None = None):
         """text: the column of units, not null; single-spaced and trimmed for words."""
-        self.unit, self.work = unit, Workspace(docs.sparkSession, label)
+        self.unit, self.work, self.past = unit, work, past
         size = F.octet_length("text") if not unit.words else F.when(F.col("text") == "", 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit(" "))) + 1)
         own = docs.select("doc_id", text.alias("text"))
-        rows = own.select("doc_id", F.unhex(F.sha2("text", 256)).alias("digest"), size.cast("long").alias("size"), F.octet_length("text").alias("bytes"))
+        digest = F.unhex(F.sha2("text", 256))
+        rows = own.select("doc_id", digest.alias("digest"), size.cast("long").alias("size"), F.octet_length("text").alias("bytes"))
         self.rows = self.work.save("rows", rows)
-        total = self.rows.agg(F.sum("bytes")).first()[0] or 0
-        self.buckets, self.groups = max(LEAST_BUCKETS, total // BUCKET_BYTES), max(LEAST_GROUPS, total // GROUP_BYTES)
+        self.buckets, self.groups = sizes or self.sizes(self.rows.agg(F.sum("bytes")).first()[0] or 0)
         one = own.groupBy("text").agg(F.coalesce(F.min("doc_id"), F.lit(LAST)).cast("long").alias("ord"))
-        key = F.xxhash64("text")
-        one = one.select(F.when(key == 0, F.lit(1).cast("long")).otherwise(key).alias("doc"), "ord", "text")
-        self.texts = self.work.save("texts", one.withColumn("g", F.pmod("doc", F.lit(self.groups))))
+        if past is not None:
+            one = one.withColumn("digest", digest).join(past.select("digest").hint("merge"), "digest", "left_anti")
+        texts = self.work.save("texts", one.select(F.monotonically_increasing_id().alias("no"), "ord", "text"))
+        doc = F.col("no") + F.lit(number * PASS + 1)
+        self.texts = texts.select(doc.alias("doc"), "ord", "text", F.pmod(doc, F.lit(self.groups)).alias("g"))
+
+    @staticmethod
+    def sizes(n_bytes: int) -> tuple[int, int]:
+        return max(LEAST_BUCKETS, n_bytes // BUCKET_BYTES), max(LEAST_GROUPS, n_bytes // GROUP_BYTES)
 
     def blobs(self, *more: str) -> DataFrame:
         """Classes by bucket, and those known to be repeated by group (kind HIT). more: columns of texts, put before the others."""
@@ -290,8 +302,8 @@ class Repeats:
 
         return self.texts.select(*more, "doc", "text").mapInArrow(run, "".join(f"{c} {kinds[c]}, " for c in more) + ROWS)
 
-    def segments(self, hits: DataFrame) -> DataFrame:
-        """From (key, blob) of kind HIT: the distinct segments of each group's documents.
+    def segments(self, hits: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+        """From (key, blob) of kind HIT: the distinct segments of each group's documents, those of the pass or of ``texts``.
 
         g, cls, sid (hash of the segment), seg, ord and start of its first occurrence, n. One more row a group has class
         NONE and in seg the documents that have any.
@@ -326,7 +338,7 @@ class Repeats:
             return pa.table([pa.array(c, pa.binary() if k == 3 else pa.int64()) for k, c in enumerate(columns)], ["g", "cls", "sid", "seg", "ord", "start", "n"])
 
         hits = hits.select(F.col("key").alias("g"), "blob")
-        return self.texts.groupBy("g").cogroup(hits.groupBy("g")).applyInArrow(run, "g long, cls long, sid long, seg binary, ord long, start long, n long")
+        return (self.texts if texts is None else texts).groupBy("g").cogroup(hits.groupBy("g")).applyInArrow(run, "g long, cls long, sid long, seg binary, ord long, start long, n long")
 
     def firsts(self, segments: DataFrame, verify: Callable[[pa.Table], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> DataFrame:
         """cls, sid, least, firsts: where each window of a segment first starts, for segments that hold a repeated window.
@@ -435,9 +447,13 @@ class Repeats:
         done = self.texts.groupBy("g").cogroup(back.groupBy("g")).applyInArrow(run, "digest binary, n_removed long, n_spans long, kept_sha256 string")
         done = self.work.save("changed", done)
         ids = self.rows.groupBy("digest").agg(F.coalesce(F.min("doc_id"), F.lit(LAST)).alias("ord"))
+        if self.past is not None:
+            ids = ids.join(self.past.select("digest", F.lit(True).alias("known")).hint("merge"), "digest", "left")
+        else:
+            ids = ids.withColumn("known", F.lit(None).cast("boolean"))
         per_text = self.work.save("per_text", ids.join(done, "digest", "left"))
         rows = self.rows.join(per_text, "digest")
-        copy = (F.coalesce("doc_id", F.lit(LAST)) > F.col("ord")) & (F.col("size") >= self.unit.window)
+        copy = (F.coalesce("known", F.lit(False)) | (F.coalesce("doc_id", F.lit(LAST)) > F.col("ord"))) & (F.col("size") >= self.unit.window)
         return rows.select(
             "doc_id", "size",
             F.when(copy, F.col("size")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),

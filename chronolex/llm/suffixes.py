@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from chronolex.llm.common import text_or_empty
+from chronolex.llm.common import Workspace, text_or_empty
 from chronolex.llm.repeats import BUCKET, HIT, ROWS, Repeats, Unit, as_rows, keyed, repeated, unpack_all
 
 BYTES = Unit(window=50, gram=24, words=False, within=False)
@@ -165,11 +165,13 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     empty. Rows with one doc_id are one document; a null doc_id comes after all others. Texts of under 50 bytes stay
     whole. Only doc_id and text are read; an empty table gives an empty result.
     """
-    task = Repeats(docs, BYTES, text_or_empty(), "suffixes")
+    task = Repeats(docs, BYTES, text_or_empty(), Workspace(docs.sparkSession, "suffixes"))
     blobs = task.work.save("blobs", task.blobs())
     hits = task.work.save("hits", repeated_classes(blobs, task.groups).union(blobs.filter(f"kind = {HIT}")))
     segments = task.work.save("segments", task.segments(hits))
     for name in ("blobs", "hits"):
         task.work.drop(name)
     firsts = task.work.save("firsts", task.firsts(segments, first_documents))
-    return task.outcome(segments, firsts).withColumnRenamed("size", "n_bytes")
+    out = task.outcome(segments, firsts).withColumnRenamed("size", "n_bytes")
+    task.work.only("rows", "per_text")
+    return out

@@ -9,6 +9,7 @@ from hashlib import sha256
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from chronolex.llm import exact_dedup, fingerprint_log, near_copies, simhash, suffixes
@@ -262,21 +263,31 @@ def test_difference_cover_meets_every_pair():
     assert all(suffixes.IN_COVER[(a + suffixes.DISTANCE[a, b]) % 31] and suffixes.IN_COVER[(b + suffixes.DISTANCE[a, b]) % 31] for a in range(31) for b in range(31))
 
 
-def test_log_merges_and_compacts(spark):
-    from chronolex.llm.repeats import BUCKET, ROWS, as_rows, keyed, unpack
-
-    def batch(pairs):
-        values, docs = np.array([v for v, _ in pairs], np.uint64), np.array([d for _, d in pairs], np.int64)
-        rows = keyed(BUCKET, (values % np.uint64(2)).astype(np.int64), values, docs)
-        return spark.createDataFrame([tuple(r.values()) for r in as_rows(rows).to_pylist()], ROWS)
-
-    def hits(frame):
-        return sorted((int(v), int(d)) for r in frame.collect() for v, d in zip(*unpack(bytes(r.blob)), strict=True))
-
-    log = fingerprint_log.FingerprintLog(Workspace(spark, "log"), 8, most=1)
-    assert hits(log.add(batch([(1, 10), (2, 10), (3, 11)]))) == []
-    assert hits(log.add(batch([(1, 20), (4, 20)]))) == [(1, 10), (1, 20)]
-    assert len(log.runs) == 1
-    assert hits(log.add(batch([(1, 30), (4, 31), (5, 30), (5, 31)]))) == [(1, 30), (4, 20), (4, 31), (5, 30), (5, 31)]
-    merged = log.history(log.runs[0][1])
-    assert sorted(int(v) for r in merged.collect() for v in unpack(bytes(r.blob))[0]) == [1, 2, 3, 4, 5]
+@pytest.mark.parametrize("most", [1, 2, 9])
+def test_log_is_kept_between_calls(spark, tmp_path, most):
+    """Adding in order, a call and a session's object at a time, says what one call says; compaction changes nothing."""
+    docs = passages(spark).union(documents(spark).select((F.col("doc_id") + 1000).alias("doc_id"), "text"))
+    digest = lambda frame: Counter((r["doc_id"], r["n_words"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows_of(frame))
+    expected = digest(fingerprint_log.remove_repeats(docs, 1))
+    found, cuts = Counter(), [0, 13, 102, 1010, 1 << 40]
+    for low, high in zip(cuts, cuts[1:], strict=False):
+        log = fingerprint_log.FingerprintLog.open(spark, str(tmp_path / "index"), most=most)
+        inside = (F.col("doc_id") >= low) & (F.col("doc_id") < high)
+        found += digest(log.add(docs.filter(inside if high < 1 << 40 else inside | F.col("doc_id").isNull())))
+        assert len(log.state["runs"]) <= max(most, 1)
+    assert found == expected
+    log = fingerprint_log.FingerprintLog.open(spark, str(tmp_path / "index"), most=most)
+    log.compact()
+    assert len(log.state["runs"]) == 1 and log.state["batches"] == 4
+    again = docs.filter("doc_id = 0").select((F.col("doc_id") + (1 << 41)).alias("doc_id"), "text")
+    assert [(r["n_words"], r["n_removed"]) for r in rows_of(log.add(again))] == [(70, 70)]
+
+
+def test_merged_runs_are_sorted_and_distinct():
+    rng = np.random.default_rng(1)
+    values, docs = rng.integers(0, 50, 200).astype(np.uint64), rng.integers(1, 9, 200)
+    merged, owner = fingerprint_log.merge_runs(values, docs)
+    assert merged.tolist() == sorted(set(values.tolist()))
+    for v, d in zip(merged.tolist(), owner.tolist(), strict=True):
+        own = docs[values == v]
+        assert d == (own[0] if len(own) == 1 else 0)
