@@ -33,6 +33,9 @@ BASE, FOLD = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 #: Units in one piece of work on a very long document.
 LONG = 1 << 20
 LAST = (1 << 63) - 1
+#: Segments of one class above which its windows are compared one by one, spread over all tasks.
+HOT = 50_000
+FIRSTS = "cls long, sid long, least long, firsts binary"
 #: Numbers of one pass's documents: those of monotonically_increasing_id with up to 2 ** 19 partitions.
 PASS = 1 << 52
 BUCKET_BYTES, GROUP_BYTES, LEAST_BUCKETS, LEAST_GROUPS = 24 << 20, 8 << 20, 64, 512
@@ -125,6 +128,12 @@ class Unit:
         begins[0], begins[1:], ends[:-1], ends[-1] = 0, space + 1, space, len(text)
         return begins, ends
 
+    def windows(self, text: bytes) -> list[bytes]:
+        if not self.words:
+            return [text[i : i + self.window] for i in range(len(text) - self.window + 1)]
+        words = text.split(b" ")
+        return [b" ".join(words[i : i + self.window]) for i in range(len(words) - self.window + 1)]
+
     def count(self, text: bytes) -> int:
         return len(text) if not self.words else text.count(b" ") + bool(text)
 
@@ -242,6 +251,37 @@ def unpack_firsts(blob: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(ords, sizes), np.repeat(starts - at, sizes) + np.arange(n)
 
 
+def pack_segments(table: pa.Table, sizes: np.ndarray, ords: np.ndarray, starts: np.ndarray, within: bool) -> pa.Table:
+    """From segments (cls, sid, ord, start, n) and their windows' first documents and starts in turn, the rows of ``Repeats.firsts``."""
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    begins = np.cumsum(sizes) - sizes
+    place = np.arange(len(owner)) - begins[owner]
+    own_ord, own_start, n = (table[c].to_numpy() for c in ("ord", "start", "n"))
+    other = ords != own_ord[owner]
+    cuts = np.ones(len(owner), bool)
+    cuts[1:] = ords[1:] != ords[:-1]
+    if within:
+        other |= starts != own_start[owner] + place
+        cuts[1:] |= starts[1:] != starts[:-1] + 1
+    else:
+        starts = place
+    cuts[begins] = True
+    use = np.flatnonzero((n > 1) | (np.bincount(owner[other], minlength=len(sizes)) > 0))
+    simple = np.bincount(owner[cuts], minlength=len(sizes))[use] == 1
+    cls, sid = table["cls"].to_numpy()[use].tolist(), table["sid"].to_numpy()[use].tolist()
+    out: list[tuple] = []
+    for k, (b, size, one) in enumerate(zip(begins[use].tolist(), sizes[use].tolist(), simple.tolist(), strict=True)):
+        if one:
+            least = int(ords[b])
+            blob = struct.pack("=3q", 0, least, int(starts[b]))
+        else:
+            part = slice(b, b + size)
+            least, blob = int(ords[part].min()), pack_firsts(ords[part], starts[part], cuts[part])
+        out.append((cls[k], sid[k], least, blob))
+    columns = zip(*out, strict=True) if out else ((), (), (), ())
+    return pa.table([pa.array(c, pa.int64() if k < 3 else pa.binary()) for k, c in enumerate(columns)], ["cls", "sid", "least", "firsts"])
+
+
 class Repeats:
     """One pass of the steps over the documents' texts.
 
@@ -345,43 +385,48 @@ class Repeats:
 
         verify gets the distinct segments of a bucket (seg, ord, start) and gives the number of windows of each, and the
         first document and start of all their windows in turn. least is the smallest of the documents; firsts packs both.
+        Classes with more than HOT segments don't go through a bucket: their windows are told apart one by one.
         """
         first = F.min(F.struct("ord", "start"))
         distinct = segments.filter(F.col("cls") != NONE).groupBy("cls", "sid", "seg").agg(first.alias("first"), F.sum("n").alias("n"))
-        distinct = distinct.select("cls", "sid", "seg", "first.ord", "first.start", "n", F.pmod("cls", F.lit(self.buckets)).alias("bucket"))
-        unit = self.unit
+        distinct = distinct.select("cls", "sid", "seg", "first.ord", "first.start", "n")
+        hot = segments.filter(F.col("cls") != NONE).groupBy("cls").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > HOT).select("cls")
+        within = self.unit.within
 
         def run(table: pa.Table) -> pa.Table:
-            sizes, ords, starts = verify(table)
-            owner = np.repeat(np.arange(len(sizes)), sizes)
-            begins = np.cumsum(sizes) - sizes
-            place = np.arange(len(owner)) - begins[owner]
-            own_ord, own_start, n = (table[c].to_numpy() for c in ("ord", "start", "n"))
-            other = ords != own_ord[owner]
-            cuts = np.ones(len(owner), bool)
-            cuts[1:] = ords[1:] != ords[:-1]
-            if unit.within:
-                other |= starts != own_start[owner] + place
-                cuts[1:] |= starts[1:] != starts[:-1] + 1
-            else:
-                starts = place
-            cuts[begins] = True
-            use = np.flatnonzero((n > 1) | (np.bincount(owner[other], minlength=len(sizes)) > 0))
-            simple = np.bincount(owner[cuts], minlength=len(sizes))[use] == 1
-            cls, sid = table["cls"].to_numpy()[use].tolist(), table["sid"].to_numpy()[use].tolist()
-            out: list[tuple] = []
-            for k, (b, size, one) in enumerate(zip(begins[use].tolist(), sizes[use].tolist(), simple.tolist(), strict=True)):
-                if one:
-                    least = int(ords[b])
-                    blob = struct.pack("=3q", 0, least, int(starts[b]))
-                else:
-                    part = slice(b, b + size)
-                    least, blob = int(ords[part].min()), pack_firsts(ords[part], starts[part], cuts[part])
-                out.append((cls[k], sid[k], least, blob))
-            columns = zip(*out, strict=True) if out else ((), (), (), ())
-            return pa.table([pa.array(c, pa.int64() if k < 3 else pa.binary()) for k, c in enumerate(columns)], ["cls", "sid", "least", "firsts"])
+            return pack_segments(table, *verify(table), within)
+
+        in_buckets = lambda rows: rows.withColumn("bucket", F.pmod("cls", F.lit(self.buckets))).groupBy("bucket").applyInArrow(run, FIRSTS)
+        if hot.isEmpty():
+            return in_buckets(distinct)
+        hot = F.broadcast(self.work.save("hot", hot))  # at most one row for each HOT segments
+        return in_buckets(distinct.join(hot, "cls", "left_anti")).unionByName(self._by_window(self.work.save("spread", distinct.join(hot, "cls", "left_semi"))))
+
+    def _by_window(self, distinct: DataFrame) -> DataFrame:
+        """The same, by an aggregation over the windows' texts and a join back to the segments, which Spark can split however often a window stands."""
+        unit = self.unit
 
-        return distinct.groupBy("bucket").applyInArrow(run, "cls long, sid long, least long, firsts binary")
+        def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    cls, sid, seg, doc, start = (batch.column(c)[i].as_py() for c in range(5))
+                    wins = unit.windows(seg)
+                    n = len(wins)
+                    columns = [pa.array([cls] * n, pa.int64()), pa.array([sid] * n, pa.int64()), pa.array(range(n), pa.int64()), pa.array(wins, pa.binary()), pa.array([doc] * n, pa.int64()), pa.array(range(start, start + n), pa.int64())]
+                    yield pa.RecordBatch.from_arrays(columns, ["cls", "sid", "k", "win", "ord", "start"])
+
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                table = pa.Table.from_batches([batch])
+                lists = batch.column(batch.schema.get_field_index("w"))
+                flat = lists.flatten()
+                sizes = np.diff(lists.offsets.to_numpy())
+                yield from pack_segments(table, sizes, flat.field("o").to_numpy(), flat.field("s").to_numpy(), unit.within).to_batches()
+
+        rows = self.work.save("windows", distinct.select("cls", "sid", "seg", "ord", "start").mapInArrow(explode, "cls long, sid long, k long, win binary, ord long, start long"))
+        first = rows.groupBy("win").agg(F.min(F.struct("ord", "start")).alias("f"))
+        placed = rows.select("cls", "sid", "k", "win").join(first.hint("merge"), "win").groupBy("cls", "sid").agg(F.sort_array(F.collect_list(F.struct("k", F.col("f.ord").alias("o"), F.col("f.start").alias("s")))).alias("w"))
+        return placed.join(distinct.select("cls", "sid", "ord", "start", "n").hint("merge"), ["cls", "sid"]).mapInArrow(pack, FIRSTS)
 
     def outcome(self, segments: DataFrame, firsts: DataFrame) -> DataFrame:
         """doc_id, size, n_removed, n_spans, kept_sha256 for each row of the documents."""

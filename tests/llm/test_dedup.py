@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from chronolex.llm import exact_dedup, fingerprint_log, near_copies, simhash, suffixes
+from chronolex.llm import exact_dedup, fingerprint_log, near_copies, repeats, simhash, suffixes
 from chronolex.llm.common import Workspace
 from chronolex.llm.components import connected_components
 
@@ -225,6 +225,17 @@ def passages(spark):
     return spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
 
 
+@pytest.mark.parametrize("hot", [0, 2])
+def test_hot_classes_are_compared_by_window(spark, monkeypatch, hot):
+    monkeypatch.setattr(repeats, "HOT", hot)
+    docs = passages(spark)
+    rows = rows_of(docs)
+    found = Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows_of(suffixes.remove_repeats(docs)))
+    assert found == slow_removal(rows, lambda t: (t or "").encode(), 50, False)
+    found = Counter((r["doc_id"], r["n_words"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows_of(fingerprint_log.remove_repeats(docs, 2)) if r["doc_id"] != 100)
+    assert found == Counter({k: n for k, n in slow_removal(rows, words, 20, True).items() if k[0] != 100})
+
+
 @pytest.mark.parametrize("source", [passages, documents])
 def test_byte_passages(spark, source):
     docs = source(spark)
