@@ -25,7 +25,10 @@ PITCHES, LONGEST, STEP, SILENCE = 12, 16, 0.05, 1e-3
 #: (kind, lowest pitch, pitches, frames) of each filter; kinds: 0 against all pitches, 1 high against low, 2 early against late, 3 crosswise.
 FILTERS = tuple((i % 4, (5 * i) % (PITCHES + 1 - h), h, w) for i in range(16) for h in ((4, 6, 12, 8)[i // 4],) for w in ((4, 8, 12, 16)[(i + i // 4) % 4],))
 GRAY = np.array([0, 1, 3, 2], np.uint32)
-LEAST_VOTES, LEAST_OVERLAP, MOST_ERROR = 1, 8, 0.25
+LEAST_VOTES, LEAST_OVERLAP, MOST_ERROR = 2, 8, 0.25
+#: Bits, the least certain ones, of which a recording that asks also tries the other value.
+WEAK = 3
+LEVELS = np.array([-STEP, 0, STEP])
 #: Frames that the stand-in sound of a text fills at least: as many as a fingerprint of LEAST_OVERLAP integers needs.
 SPOKEN = LONGEST + FRAME // HOP + LEAST_OVERLAP
 
@@ -70,11 +73,12 @@ def chroma(samples: np.ndarray) -> np.ndarray:
     return np.where(size > SILENCE * FRAME, strength / np.maximum(size, 1e-9), 0)
 
 
-def packed(frames: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A 32-bit integer for each frame that has LONGEST - 1 frames after it, and whether any of those sounds."""
+def packed(frames: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A 32-bit integer for each frame that has LONGEST - 1 frames after it, whether any of those sounds, and the same integers
+    with one of their WEAK least certain bits turned each: a level next to a threshold differs from that beyond it by one bit."""
     n = len(frames) - LONGEST + 1
     if n < 1:
-        return np.empty(0, np.uint32), np.empty(0, bool)
+        return np.empty(0, np.uint32), np.empty(0, bool), np.empty((WEAK, 0), np.uint32)
     image = np.zeros((len(frames) + 1, PITCHES + 1))
     image[1:, 1:] = frames.cumsum(axis=0).cumsum(axis=1)
     t = np.arange(n)
@@ -83,7 +87,8 @@ def packed(frames: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return (image[t + t1, y1] - image[t + t0, y1] - image[t + t1, y0] + image[t + t0, y0]) / ((t1 - t0) * (y1 - y0))
 
     codes = np.zeros(n, np.uint32)
-    for kind, y, h, w in FILTERS:
+    doubt, turn = np.empty((len(FILTERS), n)), np.empty((len(FILTERS), n), np.uint32)
+    for i, (kind, y, h, w) in enumerate(FILTERS):
         my, mt = y + h // 2, w // 2
         if kind == 0:
             a, b = mean(0, w, y, my), mean(0, w, 0, PITCHES)
@@ -93,30 +98,37 @@ def packed(frames: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             a, b = mean(0, mt, y, y + h), mean(mt, w, y, y + h)
         else:
             a, b = mean(0, mt, y, my) + mean(mt, w, my, y + h), mean(mt, w, y, my) + mean(0, mt, my, y + h)
-        level = np.searchsorted([-STEP, 0, STEP], np.log((1 + np.maximum(a, 0)) / (1 + np.maximum(b, 0))), "right")
-        codes = (codes << np.uint32(2)) | GRAY[level]
-    return codes, mean(0, LONGEST, 0, PITCHES) > 0
-
-
-def fingerprint(media: bytes | None) -> tuple[np.ndarray, np.ndarray]:
-    """The packed integers (as int32), and the places at which a new integer begins that is not silence."""
-    codes, sounds = packed(chroma(samples_of(media)))
+        value = np.log((1 + np.maximum(a, 0)) / (1 + np.maximum(b, 0)))
+        codes = (codes << np.uint32(2)) | GRAY[np.searchsorted(LEVELS, value, "right")]
+        far = np.abs(value[:, None] - LEVELS)
+        near = far.argmin(axis=1)
+        doubt[i] = far[t, near]
+        turn[i] = (GRAY[near] ^ GRAY[near + 1]) << np.uint32(2 * (len(FILTERS) - 1 - i))
+    weakest = np.argpartition(doubt, WEAK, axis=0)[:WEAK]
+    return codes, mean(0, LONGEST, 0, PITCHES) > 0, codes ^ np.take_along_axis(turn, weakest, axis=0)
+
+
+def fingerprint(media: bytes | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The packed integers (as int32), the places at which a new integer begins that is not silence, and there the WEAK turned
+    integers, one place after the other."""
+    codes, sounds, turned = packed(chroma(samples_of(media)))
     new = np.r_[True, codes[1:] != codes[:-1]] if len(codes) else np.empty(0, bool)
-    return codes.view(np.int32), np.flatnonzero(new & sounds).astype(np.int32)
+    marks = np.flatnonzero(new & sounds).astype(np.int32)
+    return codes.view(np.int32), marks, np.ascontiguousarray(turned[:, marks].T).view(np.int32).ravel()
 
 
 def fingerprints(media: DataFrame, column: str = "media") -> DataFrame:
-    """The other columns, then _chronolex_codes and _chronolex_marks; recordings that are null, unreadable or shorter than the longest filter have empty arrays."""
+    """The other columns, then _chronolex_codes, _chronolex_marks and _chronolex_turned (see ``fingerprint``); recordings that are null, unreadable or shorter than the longest filter have empty arrays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [fingerprint(m.as_py()) for m in batch.column(batch.num_columns - 1)]
-            arrays = [pa.array([m[k] for m in made], pa.list_(pa.int32())) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *arrays], [*batch.schema.names[:-1], "_chronolex_codes", "_chronolex_marks"])
+            arrays = [pa.array([m[k] for m in made], pa.list_(pa.int32())) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *arrays], [*batch.schema.names[:-1], "_chronolex_codes", "_chronolex_marks", "_chronolex_turned"])
 
     kinds = {c: k for c, k in media.dtypes if c != column}
     rows = media.select(*[F.col(f"`{c}`") for c in kinds], F.col(f"`{column}`"))
-    return rows.mapInArrow(run, ", ".join([*(f"`{c}` {k}" for c, k in kinds.items()), "_chronolex_codes array<int>, _chronolex_marks array<int>"]))
+    return rows.mapInArrow(run, ", ".join([*(f"`{c}` {k}" for c, k in kinds.items()), "_chronolex_codes array<int>, _chronolex_marks array<int>, _chronolex_turned array<int>"]))
 
 
 def _part(codes: Column, start: Column, n: Column) -> Column:
@@ -124,14 +136,16 @@ def _part(codes: Column, start: Column, n: Column) -> Column:
 
 
 def alignments(classes: DataFrame) -> DataFrame:
-    """From (id, asks, codes, marks), one row for each distinct fingerprint: id, other, offset, votes, overlap, error.
+    """From (id, asks, codes, marks, turned), one row for each distinct fingerprint: id, other, offset, votes, overlap, error.
 
     For each id that asks, every other one that shares LEAST_VOTES marks at one offset and whose bit error at the offset with most
     votes is at most MOST_ERROR. offset: frames by which the place in the other recording is later. Ties of votes go to the
     smaller error, then distance, then offset.
     """
     marks = classes.select("id", "asks", F.explode("marks").alias("at"), "codes").select("id", "asks", "at", F.element_at("codes", F.col("at") + 1).alias("code"))
-    ask = marks.filter("asks").select("id", F.col("at").alias("own"), "code")
+    own = classes.filter("asks").select("id", F.posexplode("marks").alias("i", "own"), "codes", "turned")
+    tried = F.concat(F.array(F.element_at("codes", F.col("own") + 1)), F.slice("turned", F.col("i") * WEAK + 1, F.lit(WEAK)))
+    ask = own.select("id", "own", F.explode(tried).alias("code"))
     votes = ask.join(marks.select(F.col("id").alias("other"), "at", "code"), "code").filter("id != other")
     votes = votes.groupBy("id", "other", (F.col("at") - F.col("own")).alias("offset")).agg(F.count(F.lit(1)).alias("votes")).filter(F.col("votes") >= LEAST_VOTES)
     best = votes.withColumn("most", F.max("votes").over(Window.partitionBy("id", "other"))).filter("votes = most").drop("most")
@@ -157,12 +171,12 @@ def match_recordings(media: DataFrame, keys: list[str], asks: Column, column: st
     made = ("n_codes", "class_id", "class_size", "asks", "n_matches", "best_class", "offset", "votes", "bit_error")
     names = {c: f"_chronolex_key_{i}" for i, c in enumerate(keys)}
     own = media.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()], F.coalesce(asks, F.lit(False)).alias("_chronolex_asks"), F.col(f"`{column}`").alias("_chronolex_media"))
-    rows = fingerprints(own, "_chronolex_media").withColumnsRenamed({"_chronolex_codes": "codes", "_chronolex_marks": "marks", "_chronolex_asks": "asks"})
+    rows = fingerprints(own, "_chronolex_media").withColumnsRenamed({"_chronolex_codes": "codes", "_chronolex_marks": "marks", "_chronolex_turned": "turned", "_chronolex_asks": "asks"})
     name = F.when(F.size("codes") > 0, F.sha2(F.array_join(F.transform("codes", lambda c: F.hex(c.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))), ","), 256))
     rows = work.save("prints", rows.withColumn("class_id", name))
-    classes = rows.filter("class_id is not null").groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"), F.max("asks").alias("asks"), F.first("codes").alias("codes"), F.first("marks").alias("marks"))
+    classes = rows.filter("class_id is not null").groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"), F.max("asks").alias("asks"), F.first("codes").alias("codes"), F.first("marks").alias("marks"), F.first("turned").alias("turned"))
     classes = work.save("classes", classes)
-    found = alignments(classes.select(F.col("class_id").alias("id"), "asks", "codes", "marks"))
+    found = alignments(classes.select(F.col("class_id").alias("id"), "asks", "codes", "marks", "turned"))
     order = F.struct("error", (-F.col("votes")).alias("least_votes"), "other", "offset", "votes")
     summary = work.save("matches", found.groupBy("id").agg(F.count(F.lit(1)).alias("n_matches"), F.min(order).alias("best")))
     per_class = classes.select("class_id", "class_size").join(summary.withColumnRenamed("id", "class_id"), "class_id", "left")

@@ -422,7 +422,7 @@ def test_pages(spark):
 def test_packed_integers_against_plain_sums():
     rng = np.random.default_rng(1)
     frames = rng.random((24, media.PITCHES))
-    codes, sounds = media.packed(frames)
+    codes, sounds, turned = media.packed(frames)
     assert len(codes) == 24 - media.LONGEST + 1 and sounds.all()
     for t in (0, 5, 8):
         code = 0
@@ -437,6 +437,7 @@ def test_packed_integers_against_plain_sums():
             value = math.log((1 + a) / (1 + b))
             code = code << 2 | (0, 1, 3, 2)[(value >= -media.STEP) + (value >= 0) + (value >= media.STEP)]
         assert int(codes[t]) == code
+    assert (np.bitwise_count(turned ^ codes) == 1).all() and all(len(set(column)) == media.WEAK for column in turned.T.tolist())
 
 
 def test_recordings_align(spark):
@@ -467,8 +468,8 @@ def test_alignments_against_all_offsets(spark):
         clips.append(x[media.HOP * at : media.HOP * (at + n)] * rng.uniform(0.3, 1) + rng.normal(0, rng.uniform(0, 500), media.HOP * n))
     prints = [media.fingerprint(media.wav(c)) for c in clips]
     expected = {}
-    for a, (x, _) in enumerate(prints):
-        for b, (y, _) in enumerate(prints):
+    for a, (x, _, _) in enumerate(prints):
+        for b, (y, _, _) in enumerate(prints):
             if a != b:
                 errors = []
                 for off in range(-len(x) + 8, len(y) - 7):
@@ -477,8 +478,8 @@ def test_alignments_against_all_offsets(spark):
                     errors.append((np.bitwise_count((p[:n] ^ q[:n]).view(np.uint32)).sum() / (32 * n), off))
                 if errors and min(errors)[0] <= 0.15:
                     expected[a, b] = min(errors)[1]
-    rows = [(i, True, codes.tolist(), marks.tolist()) for i, (codes, marks) in enumerate(prints)]
-    found = {(r["id"], r["other"]): r for r in rows_of(media.alignments(spark.createDataFrame(rows, "id long, asks boolean, codes array<int>, marks array<int>")))}
+    rows = [(i, True, codes.tolist(), marks.tolist(), turned.tolist()) for i, (codes, marks, turned) in enumerate(prints)]
+    found = {(r["id"], r["other"]): r for r in rows_of(media.alignments(spark.createDataFrame(rows, "id long, asks boolean, codes array<int>, marks array<int>, turned array<int>")))}
     right = [p for p, off in expected.items() if p in found and found[p]["offset"] == off]
     print("recall", len(right) / len(expected), len(expected))
     assert len(expected) > 100 and len(right) >= 0.9 * len(expected)
