@@ -62,13 +62,16 @@ def first_date(created: Column) -> Column:
     return F.try_to_date(F.regexp_extract(created, r"([0-9]{1,2} [A-Za-z]{3} [0-9]{4})", 1), "d MMM yyyy")
 
 
-HYPHENS = "‐‑‒–—−"
+HYPHENS, JOINS = "‐‑‒–—−", 30
 
 
 def tokens(text: Column) -> Column:
-    """Lower-case words (with inner hyphens and apostrophes) and numbers, and each other sign as a token of its own."""
+    """Lower-case words (with up to JOINS inner hyphens and apostrophes) and numbers, and each other sign as a token of its own.
+
+    Repetitions of a group are bounded, as Java's engine recurses over them and would run out of stack on long junk.
+    """
     part = r"[\p{L}\p{N}][\p{L}\p{N}\p{M}]*"
-    return F.regexp_extract_all(F.lower(F.translate(text, HYPHENS, "-" * len(HYPHENS))), F.lit(rf"{part}(?:[-'’]{part})*|[^\p{{L}}\p{{N}}\p{{M}}\p{{Z}}\p{{C}}]"), F.lit(0))
+    return F.regexp_extract_all(F.lower(F.translate(text, HYPHENS, "-" * len(HYPHENS))), F.lit(rf"{part}(?:[-'’]{part}){{0,{JOINS}}}|[^\p{{L}}\p{{N}}\p{{M}}\p{{Z}}\p{{C}}]"), F.lit(0))
 
 
 def lemma(token: Column, stop: frozenset[str] = STOPWORDS) -> Column:

@@ -49,30 +49,35 @@ def papers(records: DataFrame, wanted: list[str], cutoff: str, flags: dict[str,
     return out
 
 
-def _phrases(tagged: DataFrame, doc: str, token: Column) -> Column:
-    """The tokens as one string: each is ``token`` of its zipped (lemmas, pos), a line break where that is null."""
-    return F.array_join(F.transform(F.arrays_zip("lemmas", "pos"), token), " ", "\n")
-
-
 def _barrier(t: Column) -> Column:
     return t["pos"].isin(*BARRIERS) | ~t["lemmas"].rlike(r"[\p{L}\p{N}]")
 
 
+def _tokens() -> Column:
+    return F.arrays_zip("lemmas", "pos")
+
+
 def noun_chunks(tagged: DataFrame, most: int = 5, doc: str = "id") -> DataFrame:
     """(doc, cand): maximal runs of adjectives and then nouns, and every suffix of them, of at most ``most`` tokens.
 
-    A document is read once, as a string of its tokens with their class; nothing is shuffled but what leaves it.
+    A document is read once, as a string of its tokens with a mark of their class and line breaks where a run ends: at any
+    other token, and before an adjective after a noun. Nothing is shuffled but what leaves it.
     """
-    kind = lambda t: F.when(~t["lemmas"].rlike(r"[\p{L}\p{N}]"), None).when(t["pos"].isin(*NOUN), F.lit("/N")).when(t["pos"].isin(*ADJ), F.lit("/A"))
-    text = F.concat(_phrases(tagged, doc, lambda t: F.concat(t["lemmas"], kind(t))), F.lit(" "))
-    spans = F.transform(F.regexp_extract_all(text, F.lit(r"(?:[^ \n]+/A )*(?:[^ \n]+/N )+"), F.lit(0)), lambda s: F.split(F.rtrim(F.regexp_replace(s, "/[AN] ", " ")), " "))
+    word = lambda t: t["lemmas"].rlike(r"[\p{L}\p{N}]")
+    noun, adj = (lambda t: word(t) & t["pos"].isin(*NOUN)), (lambda t: word(t) & t["pos"].isin(*ADJ))
+    kind = F.transform(_tokens(), lambda t: F.when(noun(t), "N").when(adj(t), "A").otherwise("-"))
+    rows = tagged.select(doc, "lemmas", kind.alias("_k"))
+    after = lambda i: (i > 0) & (F.coalesce(F.get("_k", i - 1), F.lit("")) == "N")
+    piece = lambda w, i: F.when(F.get("_k", i) == "N", F.concat(w, F.lit("\u0001"))).when(F.get("_k", i) == "A", F.concat(F.when(after(i), "\n ").otherwise(""), w)).otherwise("\n")
+    runs = F.filter(F.split(F.array_join(F.transform("lemmas", piece), " "), "\n"), lambda r: F.contains(r, F.lit("\u0001")))
+    spans = F.transform(runs, lambda r: F.split(F.trim(F.translate(r, "\u0001", "")), " "))
     suffixes = lambda w: F.transform(F.sequence(F.lit(1), F.least(F.size(w), F.lit(most))), lambda n: F.array_join(F.slice(w, -n, n), " "))
-    return tagged.select(doc, F.explode(F.array_distinct(F.flatten(F.transform(spans, suffixes)))).alias("cand"))
+    return rows.select(doc, F.explode(F.array_distinct(F.flatten(F.transform(spans, suffixes)))).alias("cand"))
 
 
 def rake_phrases(tagged: DataFrame, stop: frozenset[str] = STOPWORDS, most: int = 5, doc: str = "id") -> DataFrame:
     """(doc, cand): runs between stop words and barriers of at most ``most`` tokens. The phrases only; they aren't scored."""
-    text = _phrases(tagged, doc, lambda t: F.when(~_barrier(t) & ~t["lemmas"].isin(*sorted(stop)), t["lemmas"]))
+    text = F.array_join(F.transform(_tokens(), lambda t: F.when(~_barrier(t) & ~t["lemmas"].isin(*sorted(stop)), t["lemmas"])), " ", "\n")
     runs = F.filter(F.split(text, r" ?\n ?"), lambda r: (r != "") & (n_tokens(r) <= most))
     return tagged.select(doc, F.explode(F.array_distinct(runs)).alias("cand"))
 

@@ -39,7 +39,7 @@ CTE = {
     "ls": "SELECT concept, year, count(DISTINCT paper_id) AS n FROM lb GROUP BY ALL",
     "lw": "SELECT a.concept, min(a.year) AS t FROM ls a JOIN ls b ON a.concept = b.concept AND b.year = a.year + 1, ky WHERE a.n >= k AND b.n >= k AND a.year <= 1999 GROUP BY 1",
     "bt": "SELECT concept, min(year) AS coinage_year, any_value(t) AS cry FROM ls LEFT JOIN lw USING (concept) GROUP BY 1",
-    "dc": r"SELECT doc_id AS id, DATE '2016-01-01' + CAST(doc_id % 3650 AS INT) AS v1_date, [{lemma} for x in regexp_extract_all(lower(translate(text, '‐‑‒–—−', '------')), '[\p{{L}}\p{{N}}][\p{{L}}\p{{N}}\p{{M}}]*(?:[-''’][\p{{L}}\p{{N}}][\p{{L}}\p{{N}}\p{{M}}]*)*|[^\p{{L}}\p{{N}}\p{{M}}\p{{Z}}\p{{C}}]')] AS words FROM documents",
+    "dc": r"SELECT doc_id AS id, DATE '2016-01-01' + CAST(doc_id % 3650 AS INT) AS v1_date, [{lemma} for x in regexp_extract_all(lower(translate(text, '‐‑‒–—−', '------')), '[\p{{L}}\p{{N}}][\p{{L}}\p{{N}}\p{{M}}]*(?:[-''’][\p{{L}}\p{{N}}][\p{{L}}\p{{N}}\p{{M}}]*){{0,30}}|[^\p{{L}}\p{{N}}\p{{M}}\p{{Z}}\p{{C}}]')] AS words FROM documents",
     "tk": "SELECT id, v1_date, unnest(words) AS lemma, unnest(range(1, len(words) + 1)) AS i FROM dc",
     "tg": "SELECT *, CASE {tag} END AS pos FROM tk",
     "nl": r"SELECT id, v1_date, [CASE WHEN regexp_matches(x, '[\p{L}\p{N}]') THEN x END for x in words] AS w FROM dc",
@@ -960,7 +960,7 @@ def _(b: Baskets) -> DataFrame:
     return merges.string_variants(_terms(b))
 
 
-_SURFACE = r"""SELECT cand, count(*) AS df FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(translate(text, '‐‑‒–—−', '------')), '[\p{L}\p{N}][\p{L}\p{N}\p{M}]*(?:[-''’][\p{L}\p{N}][\p{L}\p{N}\p{M}]*)*'))) AS cand FROM documents)
+_SURFACE = r"""SELECT cand, count(*) AS df FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(translate(text, '‐‑‒–—−', '------')), '[\p{L}\p{N}][\p{L}\p{N}\p{M}]*(?:[-''’][\p{L}\p{N}][\p{L}\p{N}\p{M}]*){0,30}'))) AS cand FROM documents)
     WHERE regexp_matches(cand, '\p{L}') GROUP BY 1 HAVING count(*) >= 9"""
 
 
@@ -1000,7 +1000,7 @@ def _(b: Baskets) -> DataFrame:
 #: Edges of the merge map: spelling variants are timeless, plurals are dated by their member's first occurrence.
 _EDGES = {
     "sv": _VARIANT, "pe": _PLURAL,
-    "fd": r"""SELECT cand, min(DATE '2016-01-01' + CAST(doc_id % 3650 AS INT)) AS first_date FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(translate(text, '‐‑‒–—−', '------')), '[\p{L}\p{N}][\p{L}\p{N}\p{M}]*(?:[-''’][\p{L}\p{N}][\p{L}\p{N}\p{M}]*)*'))) AS cand FROM documents) GROUP BY 1""",
+    "fd": r"""SELECT cand, min(DATE '2016-01-01' + CAST(doc_id % 3650 AS INT)) AS first_date FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(translate(text, '‐‑‒–—−', '------')), '[\p{L}\p{N}][\p{L}\p{N}\p{M}]*(?:[-''’][\p{L}\p{N}][\p{L}\p{N}\p{M}]*){0,30}'))) AS cand FROM documents) GROUP BY 1""",
     "ee": "SELECT member AS a, canonical AS b, DATE '1900-01-01' AS d FROM sv UNION ALL SELECT member, canonical, first_date FROM pe JOIN fd ON fd.cand = member",
     "bo": "SELECT a, b FROM ee UNION SELECT b, a FROM ee",
     "rc": "SELECT a AS node, a AS o FROM bo UNION SELECT rc.node, bo.b FROM rc JOIN bo ON bo.a = rc.o",

@@ -91,6 +91,12 @@ def test_candidates_against_plain_code(spark):
     assert found == expected
 
 
+def test_long_runs(spark):
+    long = spark.createDataFrame([(1, ["net"] * 30_000, ["NOUN"] * 30_000), (2, ["deep"] * 30_000 + ["net"], ["ADJ"] * 30_000 + ["NOUN"])], "id int, lemmas array<string>, pos array<string>")
+    assert {(r.id, len(r.cand.split())) for r in corpus.noun_chunks(long).collect()} == {(i, n) for i in (1, 2) for n in range(1, 6)}
+    assert len(one(spark, text.tokens(F.col("t")), t="a-" * 40_000)) > 40_000 / 31
+
+
 def test_grams_end_with_segments(spark):
     words = spark.createDataFrame([(1, ["we", "saw", "dog", ".", "cat", "ran", "2", "2"])], "id int, words array<string>")
     assert cands(corpus.ngram_postings(words, (1, 2, 3), ("id",))) == {"we", "saw", "dog", "we saw", "saw dog", "we saw dog", "cat", "ran", "cat ran", "ran 2", "cat ran 2", "ran 2 2"}
