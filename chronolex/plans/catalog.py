@@ -54,7 +54,7 @@ CTE = {
         FROM (SELECT lemma, pos, count(*) AS n FROM tg GROUP BY ALL) GROUP BY 1""",
     "rk": r"SELECT DISTINCT id, cand FROM (SELECT id, string_agg(lemma, ' ' ORDER BY i) AS cand, count(*) AS n FROM (SELECT *, sum(stops::INT) OVER (PARTITION BY id ORDER BY i) AS grp FROM (SELECT *, lemma IN ({stop}) OR NOT regexp_matches(lemma, '[\p{{L}}\p{{N}}]') AS stops FROM tk)) WHERE NOT stops GROUP BY id, grp) WHERE n <= 5",
     "ch": """SELECT DISTINCT id, array_to_string(l[len(l) - n + 1:], ' ') AS cand FROM (SELECT id, l, unnest(range(1, least(5, len(l)) + 1)) AS n FROM (SELECT id, list(lemma ORDER BY i) AS l FROM
-        (SELECT *, sum(((pos NOT IN ('NOUN', 'ADJ')) OR (pos = 'ADJ' AND before = 'NOUN'))::INT) OVER (PARTITION BY id ORDER BY i) AS grp FROM (SELECT *, lag(pos) OVER (PARTITION BY id ORDER BY i) AS before FROM tg)) WHERE pos IN ('NOUN', 'ADJ') GROUP BY id, grp HAVING bool_or(pos = 'NOUN')))""",
+        (SELECT *, sum(((pos NOT IN ('NOUN', 'ADJ')) OR (pos = 'ADJ' AND before = 'NOUN'))::INT) OVER (PARTITION BY id ORDER BY i) AS grp FROM (SELECT *, lag(pos, 1, '') OVER (PARTITION BY id ORDER BY i) AS before FROM tg)) WHERE pos IN ('NOUN', 'ADJ') GROUP BY id, grp HAVING bool_or(pos = 'NOUN')))""",
     "mk": r"SELECT cand, bit_or(m)::INT AS src_mask FROM (SELECT cand, 1 AS m FROM rk UNION ALL SELECT cand, 2 FROM ch) WHERE regexp_matches(cand, '\p{L}') GROUP BY 1",
     "no": "SELECT * FROM mk WHERE length(cand) - length(replace(cand, ' ', '')) NOT IN (1, 2)",
     "ab": """SELECT id, v1_date, cand, 4 AS own FROM g2 UNION ALL SELECT id, v1_date, cand, 4 FROM g3
