@@ -177,20 +177,28 @@ def test_taken_words_against_plain_code(spark, monkeypatch):
     names, targets = sorted(sizes, key=lambda s: (s is None, s or "")), slow_targets(sizes, (5, 2, 1))
     n = {s: -(-sizes[s] // mixing.BLOCK) for s in names}
     amount = {s: min(2 * n[s], math.floor(targets[s] * n[s] / sizes[s] + 0.5)) for s in names}
-    total, begin, shards, blocks = sum(amount.values()), 0, Counter(), Counter()
+    total, begin, shards, blocks, passes = sum(amount.values()), 0, Counter(), Counter(), defaultdict(set)
     for no, s in enumerate(names):
         for q in range(amount[s]):
             shards[slow_permuted(begin + q, total, (7, "i")) // 8, s] += 1
-            blocks[s, slow_permuted(q % n[s], n[s], (7, "i"), (no, "i"), (q // n[s], "l"))] += 1
+            block = slow_permuted(q % n[s], n[s], (7, "i"), (no, "i"), (q // n[s], "l"))
+            blocks[s, block] += 1
+            passes[s, q // n[s]].add(block)
         begin += amount[s]
-    expected = Counter()
+    expected, texts = Counter(), Counter()
     for s in names:
         off = 0
-        own = [(spark_hash((i, "l"), (t, "s"), (7, "i")), i, len(t.split())) for i, t, x in rows if x == s]
-        for _, i, size in sorted(own, key=lambda r: (r[0] % 64, r[0])):
-            expected[i, size, sum(blocks[s, at // mixing.BLOCK] for at in range(off, off + size))] += 1
-            off += size
+        own = [(spark_hash((i, "l"), (t, "s"), (7, "i")), i, t) for i, t, x in rows if x == s]
+        for _, i, t in sorted(own, key=lambda r: (r[0] % 64, r[0])):
+            w = t.split()
+            expected[i, len(w), sum(blocks[s, at // mixing.BLOCK] for at in range(off, off + len(w)))] += 1
+            for p in (0, 1):
+                if kept := [x for k, x in enumerate(w, off) if k // mixing.BLOCK in passes[s, p]]:
+                    texts[i, s, " ".join(kept)] += 1
+            off += len(w)
     assert found == expected
+    mixed = mixing.mix_documents(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert Counter((r["doc_id"], r["source"], r["text"]) for r in rows_of(mixed)) == texts
     work = Workspace(spark, "t")
     table = mixing.source_targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long"))
     drawn = mixing.slots(work.save("sources", table), per_shard=8).groupBy("shard", "source_no").count()
