@@ -118,7 +118,7 @@ def r6(*names: str) -> list:
 
 @query("concept_year_series", with_("SELECT * FROM ser", BASE))
 def _(b: Baskets) -> DataFrame:
-    return b.series
+    return registry.series(b.concepts())
 
 
 @query("merge_asof_resolve", with_("""SELECT concept, count(DISTINCT paper_id) AS n_papers FROM (SELECT paper_id, CASE WHEN effective_date <= DATE '1997-12-31' THEN cluster ELSE term END AS concept
