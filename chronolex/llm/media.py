@@ -2,7 +2,7 @@
 
 A recording (WAV bytes) becomes frames of twelve pitch classes. Filters over an integral image of the frames compare areas
 of pitch and time; each gives two bits in Gray code, sixteen of them one packed integer for each frame. Recordings that share
-integers vote for the offset between them; at the offset with most votes the bit error over the overlap decides.
+pairs of neighbouring integers vote for the offset between them; at the offset with most votes the bit error over the overlap decides.
 """
 
 from __future__ import annotations
@@ -25,9 +25,9 @@ PITCHES, LONGEST, STEP, SILENCE = 12, 16, 0.05, 1e-3
 #: (kind, lowest pitch, pitches, frames) of each filter; kinds: 0 against all pitches, 1 high against low, 2 early against late, 3 crosswise.
 FILTERS = tuple((i % 4, (5 * i) % (PITCHES + 1 - h), h, w) for i in range(16) for h in ((4, 6, 12, 8)[i // 4],) for w in ((4, 8, 12, 16)[(i + i // 4) % 4],))
 GRAY = np.array([0, 1, 3, 2], np.uint32)
-LEAST_VOTES, LEAST_OVERLAP, MOST_ERROR = 2, 8, 0.25
+LEAST_OVERLAP, MOST_ERROR = 8, 0.25
 #: Bits, the least certain ones, of which a recording that asks also tries the other value.
-WEAK = 3
+WEAK = 2
 LEVELS = np.array([-STEP, 0, STEP])
 #: Frames that the stand-in sound of a text fills at least: as many as a fingerprint of LEAST_OVERLAP integers needs.
 SPOKEN = LONGEST + FRAME // HOP + LEAST_OVERLAP
@@ -138,16 +138,18 @@ def _part(codes: Column, start: Column, n: Column) -> Column:
 def alignments(classes: DataFrame) -> DataFrame:
     """From (id, asks, codes, marks, turned), one row for each distinct fingerprint: id, other, offset, votes, overlap, error.
 
-    For each id that asks, every other one that shares LEAST_VOTES marks at one offset and whose bit error at the offset with most
-    votes is at most MOST_ERROR. offset: frames by which the place in the other recording is later. Ties of votes go to the
-    smaller error, then distance, then offset.
+    For each id that asks, every other one that shares a pair of neighbouring marks, both integers and the frames between them, and
+    whose bit error at the offset with most such votes is at most MOST_ERROR. Pairs are the join key, as single integers are far
+    too common. offset: frames by which the place in the other recording is later. Ties of votes go to the smaller error, then
+    distance, then offset. A recording of one steady tone has one mark and matches nothing but its own class.
     """
-    marks = classes.select("id", "asks", F.explode("marks").alias("at"), "codes").select("id", "asks", "at", F.element_at("codes", F.col("at") + 1).alias("code"))
-    own = classes.filter("asks").select("id", F.posexplode("marks").alias("i", "own"), "codes", "turned")
-    tried = F.concat(F.array(F.element_at("codes", F.col("own") + 1)), F.slice("turned", F.col("i") * WEAK + 1, F.lit(WEAK)))
-    ask = own.select("id", "own", F.explode(tried).alias("code"))
-    votes = ask.join(marks.select(F.col("id").alias("other"), "at", "code"), "code").filter("id != other")
-    votes = votes.groupBy("id", "other", (F.col("at") - F.col("own")).alias("offset")).agg(F.count(F.lit(1)).alias("votes")).filter(F.col("votes") >= LEAST_VOTES)
+    pairs = classes.filter(F.size("marks") > 1).select("*", F.explode(F.sequence(F.lit(0), F.size("marks") - 2)).alias("i"))
+    at = lambda k: F.get("marks", F.col("i") + k)
+    code = lambda k: F.element_at("codes", at(k) + 1)
+    tried = lambda k: F.concat(F.array(code(k)), F.slice("turned", (F.col("i") + k) * WEAK + 1, F.lit(WEAK)))
+    index = pairs.select(F.col("id").alias("other"), at(0).alias("at"), code(0).alias("one"), code(1).alias("two"), (at(1) - at(0)).alias("gap"))
+    ask = pairs.filter("asks").select("id", at(0).alias("own"), (at(1) - at(0)).alias("gap"), F.explode(tried(0)).alias("one"), tried(1).alias("two")).withColumn("two", F.explode("two"))
+    votes = ask.join(index, ["one", "two", "gap"]).filter("id != other").groupBy("id", "other", (F.col("at") - F.col("own")).alias("offset")).agg(F.count(F.lit(1)).alias("votes"))
     best = votes.withColumn("most", F.max("votes").over(Window.partitionBy("id", "other"))).filter("votes = most").drop("most")
     best = best.join(classes.select("id", F.col("codes").alias("mine")).hint("merge"), "id").join(classes.select(F.col("id").alias("other"), "codes").hint("merge"), "other")
     skip, late = F.greatest(F.lit(0), -F.col("offset")), F.greatest(F.lit(0), F.col("offset"))
