@@ -90,8 +90,8 @@ class Baskets:
 
     @cached_property
     def labels(self) -> DataFrame:
-        """Concepts of the finest level only, for graphs whose nodes don't contain each other; written once, as nearly all units read it."""
-        return checkpoint(self.events.filter(n_tokens(F.col("term")) == LABEL_TOKENS).withColumnRenamed("term", "concept"))
+        """Concepts of the finest level only, for graphs whose nodes don't contain each other; not written, so that a unit's years reach the scan."""
+        return self.events.filter(n_tokens(F.col("term")) == LABEL_TOKENS).withColumnRenamed("term", "concept")
 
     def edges(self, origin: int) -> DataFrame:
         return graph.project(self.labels, origin, self.cfg)
