@@ -42,6 +42,12 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > total, bitorder="little").view(np.uint64)[0])
 
 
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """The SimHash of each row of a matrix of hashes."""
+    bits = np.unpackbits(np.ascontiguousarray(hashes).view(np.uint8).reshape(*hashes.shape, 8), axis=2, bitorder="little")
+    return np.packbits(2 * bits.sum(axis=1, dtype=np.int32) > hashes.shape[1], axis=1, bitorder="little").view(np.uint64).ravel()
+
+
 def fingerprints(docs: DataFrame, digest: bool = False) -> DataFrame:
     """doc_id, fp (the fingerprint's bits as a signed long) and, if asked for, the text's digest for each row; null text counts as empty."""
     more = [F.unhex(F.sha2(text_or_empty(), 256)).alias("digest")] if digest else []

@@ -179,6 +179,42 @@ def test_near_stages_keep_rows_without_or_with_clashing_ids(spark, drop):
     assert kept == Counter([(None, t) for t in lone] + [(3, copied)] + [(5, t) for t in twice])
 
 
+def slow_chains(text, size, length):
+    """SimHashes of the shingles that follow each other in the order of their hashes, from each start."""
+    w = words(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    h = sorted({xxh64_intdigest(" ".join(w[i : i + size]).encode(), 42) for i in range(max(1, len(w) - size + 1))})
+    chains = [[h[(i + j) % len(h)] for j in range(min(length, len(h)))] for i in range(len(h))]
+    return {sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in c) > len(c)) for c in chains}
+
+
+def test_similar_stage_takes_simhashes_of_chains_as_keys(spark):
+    rows = rows_of(similar_cases(spark).withColumn("digest", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))))
+    text = {bytes(r["digest"]): r["text"] for r in rows}
+    for r in near_copies.sketches(similar_cases(spark)).collect():
+        keys, slow = {k & (1 << 64) - 1 for k in r["keys"]}, slow_chains(text[bytes(r["digest"])], 5, 4)
+        assert len(keys) == len(r["keys"]) and (keys == slow if r["n"] < 128 else keys < slow and len(keys) > 30)
+
+
+@pytest.mark.parametrize(("common", "apart"), [(4, 1), (8, 2), (12, 3), (40, 10), (100, 25)])
+def test_similar_sets_share_a_chain_wherever_they_differ(common, apart):
+    """At a similarity of 0.8, also where what differs is as evenly spread over the ring as can be, and all in one text."""
+    rng = np.random.default_rng(8)
+    for spread in [True, *[False] * 40]:
+        h = np.sort(rng.integers(0, 1 << 64, common + apart, dtype=np.uint64))
+        other = np.arange(common + apart) % 5 == 4 if spread else rng.permutation(common + apart) < apart
+        for own in (np.zeros(common + apart, bool), rng.random(common + apart) < 0.5):
+            a, b = h[~other | own], h[~(other & own)]
+            assert set(near_copies.chain_keys(a, near_copies.chain_length(0.8))) & set(near_copies.chain_keys(b, near_copies.chain_length(0.8)))
+
+
+def test_ring_holds_simhashes_of_segments():
+    h = np.random.default_rng(3).integers(0, 1 << 64, 1500, dtype=np.uint64)
+    planes = np.unpackbits(near_copies.ring(h).view(np.uint8), bitorder="little").reshape(near_copies.PLANES, near_copies.BINS)
+    for segment in range(near_copies.BINS):
+        own = [int(x) for x in h if int(x) >> 55 == segment]
+        assert planes[:, segment].tolist() == [2 * sum(x >> b & 1 for x in own) > len(own) for b in range(near_copies.PLANES)]
+
+
 def test_pipeline_drops_similar_texts(spark):
     import corpus_pipeline
 
