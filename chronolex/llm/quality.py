@@ -2,7 +2,8 @@
 
 P(rating <= j) = sigmoid(threshold_j - weights . features), with one set of weights for all grades and ordered thresholds.
 Features are hashed: words without their outer punctuation, their first letters, shapes of tokens, and how often tokens repeat. The model is
-fitted on the driver, on at most ``SAMPLE`` labelled rows, chosen by a hash of doc_id; it scores all rows where they are read.
+fitted on the driver, on at most ``SAMPLE`` labelled rows, chosen by a hash of doc_id; it scores all rows where they are read. Features
+that get no weight are found by counts in Spark and don't come to the driver.
 """
 
 from __future__ import annotations
@@ -15,14 +16,18 @@ from zlib import crc32
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronolex.llm.common import Workspace
+
 #: Labelled rows to fit on, at most; all rows are scored.
 SAMPLE = 20_000
 DIM, LEAST_ROWS, LEAST_Z, STEPS, RATE, RIDGE = 1 << 20, 4, 3.0, 150, 0.2, 1e-6
 GRADES = 3
 PREFIXES = (4, 5, 6)
+#: Rows that the fit adds up at once.
+BLOCK = 1000
 #: Tokens whose slots a worker remembers.
 MEMO = 100_000
 _EDGES = re.compile(r"^\W+|\W+$")
@@ -82,41 +87,55 @@ class Ordinal:
         return self.tails(score).sum(axis=1)
 
 
-def fit(rows: list[np.ndarray], ratings: np.ndarray, grades: int = GRADES, least_rows: int = LEAST_ROWS, least_z: float = LEAST_Z, most_weight: float = 0.0) -> Ordinal:
-    """Adam steps on the mean log loss with a ridge. Features in under ``least_rows`` rows, or whose rows' ratings together lie
-    less than ``least_z`` standard errors from the mean, get no weight: neutral words must not add up in long texts. No weight
-    is above ``most_weight``: at zero, features can only lower a grade, so good words don't make up for a bad one; at infinity
-    the regression is unrestricted.
+def tells[T: (Column, np.ndarray)](seen: T, total: T, squares: T, n: int, whole: int, least_rows: int = LEAST_ROWS, least_z: float = LEAST_Z) -> T:
+    """Whether features may get a weight, from their number of rows and the sums of these rows' ratings and of the squares, as doubles;
+    all ``n`` ratings add up to ``whole``. The sums are of integers, so that neither their order nor rounding decides ties."""
+    pull = total * n - seen * whole  # n times the sum of deviations from the mean
+    spread = squares * n**2 - total * (2 * n * whole) + seen * whole**2  # n * n times the sum of their squares
+    return (seen >= least_rows) & (pull * pull >= spread * least_z**2) & (pull * pull >= int(least_z > 0))
 
-    Without rows the thresholds are minus infinity: everything passes.
-    """
-    if not rows:
-        return Ordinal(np.zeros(DIM, np.float32), np.full(grades - 1, -np.inf))
-    mean = ratings.mean()
-    seen, pull, spread = np.zeros(DIM), np.zeros(DIM), np.zeros(DIM)
+
+def fit(rows: list[np.ndarray], ratings: np.ndarray, grades: int = GRADES, least_rows: int = LEAST_ROWS, least_z: float = LEAST_Z, most_weight: float = 0.0) -> Ordinal:
+    """``descend`` without the features in under ``least_rows`` rows and those whose rows' ratings together lie less than
+    ``least_z`` standard errors from the mean, which get no weight: neutral words must not add up in long texts."""
+    seen, total, squares = np.zeros(DIM), np.zeros(DIM), np.zeros(DIM)
     for at in range(0, len(rows), 500):
         part = rows[at : at + 500]
         slots = np.concatenate(part)
-        off = np.repeat(ratings[at : at + 500] - mean, [len(r) for r in part])
+        own = np.repeat(ratings[at : at + 500], [len(r) for r in part])
         seen += np.bincount(slots, minlength=DIM)
-        pull += np.bincount(slots, off, DIM)
-        spread += np.bincount(slots, off**2, DIM)
-    often = (seen >= least_rows) & (np.abs(pull) >= least_z * np.sqrt(np.maximum(spread, 1e-9)))
-    kept = [r[often[r]] for r in rows]
-    owner = np.repeat(np.arange(len(rows)), [len(k) for k in kept])
-    used, column = np.unique(np.concatenate(kept), return_inverse=True)
-    n, beyond = len(rows), ratings[:, None] > np.arange(grades - 1)
+        total += np.bincount(slots, own, DIM)
+        squares += np.bincount(slots, own**2, DIM)
+    kept = tells(seen, total, squares, len(rows), int(ratings.sum()), least_rows, least_z)
+    return descend([r[kept[r]] for r in rows], ratings, grades, most_weight)
+
+
+def descend(kept: list[np.ndarray], ratings: np.ndarray, grades: int = GRADES, most_weight: float = 0.0) -> Ordinal:
+    """Adam steps on the mean log loss with a ridge, over the features of each row. No weight is above ``most_weight``: at zero,
+    features can only lower a grade, so good words don't make up for a bad one; at infinity the regression is unrestricted.
+
+    Without rows the thresholds are minus infinity: everything passes.
+    """
+    if not kept:
+        return Ordinal(np.zeros(DIM, np.float32), np.full(grades - 1, -np.inf))
+    used = np.zeros(DIM, bool)
+    for row in kept:
+        used[row] = True
+    place, k, blocks = np.cumsum(used, dtype=np.int32) - np.int32(1), int(used.sum()), []
+    for at in range(0, len(kept), BLOCK):  # a block at a time, so that no long array of doubles is made in a step
+        part = kept[at : at + BLOCK]
+        blocks.append((slice(at, at + len(part)), np.repeat(np.arange(len(part), dtype=np.int32), [len(r) for r in part]), place[np.concatenate(part)]))
+    n, beyond = len(kept), ratings[:, None] > np.arange(grades - 1)
     share = np.clip(beyond.mean(axis=0), 1e-3, 1 - 1e-3)
     start = np.minimum.accumulate(share)
     first = -np.log(start / (1 - start))
     # thresholds: the first, then the logarithms of the gaps, so they stay ordered
-    theta = np.concatenate([np.zeros(len(used)), first[:1], np.log(np.maximum(np.diff(first), 0.05))])
+    theta = np.concatenate([np.zeros(k), first[:1], np.log(np.maximum(np.diff(first), 0.05))])
     m, v = np.zeros_like(theta), np.zeros_like(theta)
-    k = len(used)
     for step in range(1, STEPS + 1):
         gaps = np.exp(theta[k + 1 :])
         cuts = theta[k] + np.r_[0, np.cumsum(gaps)]
-        score = np.bincount(owner, theta[:k][column], n)
+        score = np.concatenate([np.bincount(owner, theta[:k][column], rows.stop - rows.start) for rows, owner, column in blocks])
         above = 1 / (1 + np.exp(-np.clip(score[:, None] - cuts, -500, 500)))
         edges = np.concatenate([np.ones((n, 1)), above, np.zeros((n, 1))], axis=1)
         high, low = edges[np.arange(n), ratings], edges[np.arange(n), ratings + 1]
@@ -126,7 +145,8 @@ def fit(rows: list[np.ndarray], ratings: np.ndarray, grades: int = GRADES, least
         up, down = rise[np.arange(n), ratings] / p, rise[np.arange(n), ratings + 1] / p
         by_score = (down - up) / n
         by_cut = np.array([((ratings == j + 1) * up - (ratings == j) * down).sum() / n for j in range(grades - 1)])
-        grad = np.concatenate([np.bincount(column, by_score[owner], k) + RIDGE * theta[:k], [by_cut.sum()], gaps * np.cumsum(by_cut[::-1])[::-1][1:]])
+        by_weight = sum(np.bincount(column, by_score[rows][owner], k) for rows, owner, column in blocks)
+        grad = np.concatenate([by_weight + RIDGE * theta[:k], [by_cut.sum()], gaps * np.cumsum(by_cut[::-1])[::-1][1:]])
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         theta -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         np.minimum(theta[:k], most_weight, out=theta[:k])
@@ -150,17 +170,30 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal:
-    """Fit on the bounded sample; only its feature slots come to the driver."""
+    """``fit`` on the bounded sample. Which features tell is found by counts in Spark; of each row only these come to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
         for batch in batches:
-            slots = [features.of(t.as_py() or "").tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(slots, pa.binary()), batch.column(2)], ["doc_id", "slots", "rating"])
+            slots = pa.array([features.of(t.as_py() or "") for t in batch.column(1)], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), slots, batch.column(2)], ["doc_id", "slots", "rating"])
 
+    work = Workspace(docs.sparkSession, "quality")
     rows = labelled(docs, labels, sample).select("doc_id", "text", "rating")
-    found = rows.mapInArrow(run, "doc_id long, slots binary, rating int").toArrow().sort_by([("doc_id", "ascending"), ("slots", "ascending")])
-    return fit([np.frombuffer(s.as_buffer(), np.int32) for s in found["slots"]], found["rating"].to_numpy().astype(np.int64))
+    rows = work.save("slots", rows.mapInArrow(run, "doc_id long, slots array<int>, rating int"))
+    n, whole = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("rating"), F.lit(0))).first()
+    sums = [F.count(F.lit(1)), F.sum("rating"), F.sum(F.col("rating") * F.col("rating"))]
+    counts = rows.select(F.explode("slots").alias("slot"), "rating").groupBy("slot").agg(*[x.cast("double").alias(c) for x, c in zip(sums, "abc")])
+    telling = np.sort(counts.filter(tells(F.col("a"), F.col("b"), F.col("c"), n, whole)).select("slot").toArrow()["slot"].to_numpy())
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [np.intersect1d(s.values.to_numpy(), telling, assume_unique=True).tobytes() for s in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary()), batch.column(2)], ["doc_id", "slots", "rating"])
+
+    found = rows.mapInArrow(keep, "doc_id long, slots binary, rating int").toArrow().sort_by("doc_id")
+    work.close()
+    return descend([np.frombuffer(s.as_buffer(), np.int32) for s in found["slots"]], found["rating"].to_numpy().astype(np.int64))
 
 
 def score(docs: DataFrame, model: Ordinal, least: float = 0.5) -> DataFrame:

@@ -276,6 +276,26 @@ def test_fit_is_the_best_of_all_weights():
         assert all(w <= most for w in weights) and (most > 0 or weights[2] == 0)
 
 
+def test_training_brings_only_telling_features_to_the_driver(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = [(i, text + "".join(f" own{i}x{j}" for j in range(200)), kind) for i, (text, kind) in enumerate(rated(rng, 600))]
+    docs = spark.createDataFrame([(i, text) for i, text, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(k == 2), int(k == 0)) for i, _, k in rows], "doc_id long, quality int, toxic int")
+    features, sizes, collect = quality.Features(), [], type(docs).toArrow
+    slots = [features.of(text) for _, text, _ in rows]
+    monkeypatch.setattr(type(docs), "toArrow", lambda self: sizes.append((found := collect(self)).nbytes) or found)
+    model, whole = quality.train(docs, labels), quality.fit(slots, np.array([k for _, _, k in rows]))
+    assert (model.weights == whole.weights).all() and (model.thresholds == whole.thresholds).all() and (model.weights < 0).any()
+    assert 0 < sum(sizes) < sum(s.nbytes for s in slots) / 10
+
+
+def test_ties_of_telling_features_are_exact():
+    for n, whole in ((997, 1700), (20_000, 35_001)):
+        for rating in (0.0, 1.0, 2.0):  # rows of one rating lie exactly as many standard errors from the mean as the root of their number
+            seen = np.arange(1.0, 200.0)
+            assert (quality.tells(seen, seen * rating, seen * rating**2, n, whole, 1, 3.0) == (seen >= 9)).all()
+
+
 def test_sample_is_bounded_by_rows(spark):
     docs = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(2, None), (3, "c"), (None, "d")], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (2, 1, 0), (3, 1, 1)], "doc_id long, quality int, toxic int")
