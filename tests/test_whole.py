@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import inspect
 from collections import Counter
 
@@ -9,7 +10,7 @@ import pytest
 
 from chronolex.operators import evaluate, models
 from chronolex.operators.components import union_find
-from chronolex.plans import catalog
+from chronolex.plans import baskets, catalog
 
 
 def run(spark, folder, name, **tables):
@@ -93,3 +94,23 @@ def test_queries_run_at_full_settings(spark, monkeypatch, name, module, operator
     with pytest.raises(Called) as call:
         catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
     assert call.value.args[0] == expected
+
+
+STAR = {
+    "orders": ([(o, dt.datetime(1997, 1 + o % 12, 1), o % 7) for o in range(100)], "o_orderkey long, o_orderdate timestamp, o_custkey long"),
+    "part": ([(p, f"{'red' if p % 2 else 'blue'} ring", ("ECONOMY", "SMALL")[p % 2]) for p in range(6)], "p_partkey long, p_name string, p_type string"),
+    "lineitem": ([(o, (o * 5 + i) % 6, (o + i) % 4) for o in range(100) for i in range(3)], "l_orderkey long, l_partkey long, l_suppkey long"),
+}
+
+
+def test_events_of_few_papers_a_task(spark, tmp_path, monkeypatch):
+    for table, (rows, schema) in STAR.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{table}.parquet")
+    monkeypatch.setattr(baskets, "TASK_PAPERS", 5)
+    b = baskets.Baskets(spark, str(tmp_path))
+    assert b.tasks == 20 and b.events.rdd.getNumPartitions() == 20
+    terms = lambda p: {f"{'red' if p % 2 else 'blue'} ring", f"{'red ring small' if p % 2 else 'blue ring economy'}", "ring"}
+    expected = {(o, t) for o, p, _ in STAR["lineitem"][0] for t in terms(p)}
+    found = [(r.paper_id, r.term) for r in b.events.collect()]
+    assert set(found) == expected and len(found) == len(expected)
+    assert "/chronolex-" in b.merge_map.inputFiles()[0]  # written: its size is known, so that papers are not gathered by term
