@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import random
 
+import pyarrow as pa
 import pytest
 
 from chronolex.config import Config
@@ -97,3 +98,26 @@ def test_event_log(tmp_path):
     a, b = log_event(str(path), {"what": "merge"}), log_event(str(path), {"what": "merge", "undone": True})
     assert a != b and len(path.read_text().splitlines()) == 2
     assert sha256_obj({"a": 1, "b": 2}) == sha256_obj({"b": 2, "a": 1})
+
+
+@pytest.mark.parametrize("most", [0, 5, 1_000_000])
+def test_groups_of_parts_are_folded_in_order(spark, monkeypatch, most):
+    rng = random.Random(9)
+    links = {p: {f"a{rng.randrange(40)}" for _ in range(p % 4)} for p in range(60)}
+    items = [(f"g{rng.randrange(4)}", rng.randrange(3), p) for p in range(60) for _ in range(3)]
+    within = [(f"g{g}", y, t) for g in range(4) for t in range(2) for y in (t, t + 1)]
+    rows = spark.createDataFrame([(p, a) for p, own in links.items() for a in own], "p int, a string")
+    found = count_groups(spark.createDataFrame(items, "g string, y int, p int"), ["g", "t"], "p", rows, "a", spark.createDataFrame(within, "g string, y int, t int"))
+    expected = {}
+    for g, t in {(g, t) for g, _, t in within}:
+        own = {p for x, y, p in items if x == g and y in (t, t + 1)}
+        expected[g, t] = len(set(union_find([e for p in own for e in [(f"p{p}", f"p{p}"), *((f"p{p}", a) for a in links[p])]]).values()))
+    assert {(r.g, r.t): r.n_groups for r in found.collect()} == expected
+
+    monkeypatch.setattr(components, "TASK_EDGES", most)
+    ids = lambda x: [int(a[1:]) for a in sorted(links[x])] or None
+    order = sorted((f"{g} {t}", p) for g, t in expected for p in {p for x, y, p in items if x == g and y in (t, t + 1)})
+    names = sorted({k for k, _ in order})
+    batches = [pa.RecordBatch.from_pydict({"_group": [names.index(k) for k, _ in order[i : i + 7]], "_ids": pa.array([ids(p) for _, p in order[i : i + 7]], pa.list_(pa.int64()))}) for i in range(0, len(order), 7)]
+    counted = [(names[g], n) for b in components._folded(batches) for g, n in zip(*b.to_pydict().values(), strict=True)]
+    assert sorted(counted) == sorted((f"{g} {t}", n) for (g, t), n in expected.items())
