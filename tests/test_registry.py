@@ -118,6 +118,19 @@ def test_groups_of_parts_are_folded_in_order(spark, monkeypatch, most):
     ids = lambda x: [int(a[1:]) for a in sorted(links[x])] or None
     order = sorted((f"{g} {t}", p) for g, t in expected for p in {p for x, y, p in items if x == g and y in (t, t + 1)})
     names = sorted({k for k, _ in order})
-    batches = [pa.RecordBatch.from_pydict({"_group": [names.index(k) for k, _ in order[i : i + 7]], "_ids": pa.array([ids(p) for _, p in order[i : i + 7]], pa.list_(pa.int64()))}) for i in range(0, len(order), 7)]
+    batches = [pa.RecordBatch.from_pydict({"_group": [names.index(k) for k, _ in order[i : i + 7]], "_ids": pa.array([ids(p) for _, p in order[i : i + 7]], pa.list_(pa.int64())), "_alone": [None if ids(p) else str(p) for _, p in order[i : i + 7]]}) for i in range(0, len(order), 7)]
     counted = [(names[g], n) for b in components._folded(batches) for g, n in zip(*b.to_pydict().values(), strict=True)]
     assert sorted(counted) == sorted((f"{g} {t}", n) for (g, t), n in expected.items())
+
+
+@pytest.mark.parametrize("most", [3, 1_000_000])
+def test_components_from_trees(spark, monkeypatch, most):
+    rng = random.Random(3)
+    edges = [(f"n{rng.randrange(150)}", f"n{rng.randrange(150)}") for _ in range(110)] + [("é", "z"), ("ab", "b")]
+    monkeypatch.setattr(components, "TASK_EDGES", most)
+    steps = []
+    monkeypatch.setattr(components, "_labels_by_steps", lambda e, n=None, run=components._labels_by_steps: steps.append(e.count()) or run(e, n))
+    nodes = spark.createDataFrame([("lone",), ("é",)], "node string")
+    found = {r.node: r.root for r in label_components(spark.createDataFrame(edges, "a string, b string").coalesce(1), nodes).collect()}
+    assert found == union_find(edges) | {"lone": "lone"}
+    assert steps[0] < len({n for e in edges for n in e}) / 2  # only roots of trees that share a node are followed
