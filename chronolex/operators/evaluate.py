@@ -46,10 +46,10 @@ def node_features(nodes: DataFrame, concepts: DataFrame, edges: DataFrame, origi
     return rows.select("*", *[z_score(F.col(c).cast("double"), w).alias(f"z_{c}") for c in names])
 
 
-def node_author_influx(nodes: DataFrame, concepts: DataFrame, authors: DataFrame, origin: int) -> DataFrame:
+def node_author_influx(nodes: DataFrame, concepts: DataFrame, authors: DataFrame, origin: int, tasks: int | None = None) -> DataFrame:
     """(region_id, node, author_influx_node): share of a node's authors of this year that it hadn't in the two before; 0 without any."""
     papers = concepts.filter(F.col("year").between(origin - 2, origin)).select(F.col("concept").alias("node"), "paper_id", "year").distinct()
-    influx = author_influx(papers, authors, "node", origin)
+    influx = author_influx(papers, authors, "node", origin, tasks)
     return nodes.join(influx, "node", "left").select("region_id", "node", F.coalesce("author_influx", F.lit(0.0)).alias("author_influx_node"))
 
 
@@ -86,7 +86,7 @@ def scores(ranks: DataFrame, truth: DataFrame, k: int) -> DataFrame:
 
 
 def weighted(per_region: DataFrame, *keys: str) -> DataFrame:
-    """Means over regions, weighted by births."""
+    """Means over regions, weighted by births; without keys one row, of nulls where there are no births."""
     mean = lambda c: (F.sum(F.col("n_births") * F.col(c)) / F.sum("n_births")).alias(c)
     return per_region.groupBy(*keys).agg(F.sum("n_births").alias("n_births"), *[mean(c) for c in ("recall_at_k", "hit_rate", "mean_true_rank", "avg_precision")])
 

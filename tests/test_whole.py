@@ -8,7 +8,7 @@ from collections import Counter
 
 import pytest
 
-from chronolex.operators import evaluate, models
+from chronolex.operators import evaluate, features, models
 from chronolex.operators.components import union_find
 from chronolex.plans import baskets, catalog
 
@@ -114,3 +114,15 @@ def test_events_of_few_papers_a_task(spark, tmp_path, monkeypatch):
     found = [(r.paper_id, r.term) for r in b.events.collect()]
     assert set(found) == expected and len(found) == len(expected)
     assert "/chronolex-" in b.merge_map.inputFiles()[0]  # written: its size is known, so that papers are not gathered by term
+
+
+def test_k_sweep_without_births_has_a_row_for_each_k(spark, tmp_path):
+    assert sorted(run(spark, tmp_path, "k_sweep", **STAR)) == [(k, None, None, None) for k in (1, 5, 10, 20)]
+
+
+def test_author_influx_is_shared_by_tasks(spark):
+    papers = spark.createDataFrame([("u", 1, 2000), ("u", 2, 1999), ("v", 1, 2000)], "unit string, paper_id int, year int")
+    authors = spark.createDataFrame([(1, "a"), (1, "b"), (2, "b")], "paper_id int, author string")
+    out = features.author_influx(papers, authors, "unit", 2000, 7)
+    assert {r.unit: r.author_influx for r in out.collect()} == {"u": 0.5, "v": 1.0}
+    assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().toString()
