@@ -261,3 +261,10 @@ def test_definitions_are_looked_for_at_brackets(spark):
     rows = frame.select("t", *[squeezed(f(g)).alias(f"{n}{g}") for n, f in (("e", every), ("n", taken)) for g in (1, 2)]).collect()
     assert sum(len(r.e2 or []) for r in rows) > 100
     assert [(r.t, r.n1, r.n2) for r in rows] == [(r.t, r.e1, r.e2) for r in rows]
+
+
+def test_c_value_reads_its_terms_once(spark):
+    terms = spark.createDataFrame([("a b", 4), ("a", 9)], "cand string, df long")
+    out = termhood.c_value(terms)
+    assert {r.cand: r.n_containers for r in out.collect()} == {"a b": 0, "a": 1}
+    assert all("/chronolex-" in f for f in out.inputFiles()) and out.inputFiles()
